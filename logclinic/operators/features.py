@@ -15,25 +15,40 @@ from logclinic.functions.exceptions import exception_types, with_short
 from logclinic.functions.platforms import MARKERS, UNKNOWN, detect_platform
 from logclinic.functions.redaction import redact
 from logclinic.functions.text import LINE_BREAK, clamp, dotted_suffixes, numbered_lines
+from logclinic.operators.pooling import PIECE_BYTES, find_cuts, pool
 from logclinic.rules.base import RuleBase
+from logclinic.session import ensure_checkpoint_dir
 
 EXCERPT_CHARS = 200
 #: Text on each side of a cut between two pieces that is searched again for signals across the cut.
 SEAM_CHARS = 1 << 16
-_CITE = "array<struct<no:bigint,excerpt:string,signal:string>>"
+#: Pieces whose edges are searched together, and how many of them the group before shares.
+SEAM_PIECES = 64
+SEAM_OVERLAP = 16
 
 
-def excerpt_block(lines: Column, at: Column) -> Column:
-    """Cited line, line before, line after (non-blank ones), redacted, joined and clamped."""
+def _shown(line: Column) -> Column:
+    """Redacted line, cut where no excerpt can still show it."""
+    return F.substring(redact(line), 1, EXCERPT_CHARS + 1)
 
-    def cite(index: Column) -> Column:
-        item = F.get(lines, index)
-        return F.when(
-            (index >= 0) & item.isNotNull(),
-            F.concat(F.lit("line "), item["no"].cast("string"), F.lit(": "), redact(item["line"])),
-        )
 
-    return clamp(F.concat_ws(" | ", cite(at - 1), cite(at - 2), cite(at)), EXCERPT_CHARS)
+def _neighbourhood(lines: Column, at: Column) -> list[Column]:
+    """Number and text of the line at 1-based position ``at``, of the one before and of the one after."""
+
+    def parts(index: Column, prefix: str) -> list[Column]:
+        item = F.when(index >= 0, F.get(lines, index))
+        return [item["no"].alias(prefix + "no"), _shown(item["line"]).alias(prefix + "line")]
+
+    return parts(at - 1, "") + parts(at - 2, "prev_") + parts(at, "next_")
+
+
+def excerpt_block(cite: Column) -> Column:
+    """Cited line, line before, line after (non-blank ones), joined and clamped."""
+
+    def numbered(prefix: str) -> Column:
+        return F.concat(F.lit("line "), cite[prefix + "no"].cast("string"), F.lit(": "), cite[prefix + "line"])
+
+    return clamp(F.concat_ws(" | ", numbered(""), numbered("prev_"), numbered("next_")), EXCERPT_CHARS)
 
 
 def _shows(name: str) -> Callable[[Column], Column]:
@@ -41,7 +56,7 @@ def _shows(name: str) -> Callable[[Column], Column]:
 
 
 def signal_cites(lines: Column, mask: Column) -> Column:
-    """(no, excerpt, signal) for each present signal that some single line shows; first such line."""
+    """Line and neighbours for each present signal that some single line shows; first such line."""
     found = []
     for i, name in enumerate(S.ALL_SIGNALS):
         present = mask.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
@@ -50,17 +65,12 @@ def signal_cites(lines: Column, mask: Column) -> Column:
         found.append(F.when(present, F.struct(F.lit(name).alias("signal"), at.alias("at"))))
     cited = F.filter(F.array(*found), lambda c: c["at"] > 0)
     return F.transform(
-        cited,
-        lambda c: F.struct(
-            F.get(lines, (c["at"] - 1).cast("int"))["no"].alias("no"),
-            excerpt_block(lines, c["at"].cast("int")).alias("excerpt"),
-            c["signal"].alias("signal"),
-        ),
+        cited, lambda c: F.struct(*_neighbourhood(lines, c["at"].cast("int")), c["signal"].alias("name"))
     )
 
 
 def exception_cites(lines: Column, names: Column) -> Column:
-    """(in_frame, no, excerpt, name) per name: first line outside stack frames naming it, else first line at all."""
+    """Line and neighbours per name: first line outside stack frames naming it, else first line at all."""
 
     def cite(name: Column) -> Column:
         named = F.transform(lines, lambda x: F.contains(x["line"], name))
@@ -72,15 +82,15 @@ def exception_cites(lines: Column, names: Column) -> Column:
     cited = F.filter(F.transform(names, cite), lambda c: c["at"] > 0)
     return F.transform(
         cited,
-        lambda c: F.struct(
-            c["in_frame"].alias("in_frame"),
-            F.get(lines, c["at"] - 1)["no"].alias("no"),
-            excerpt_block(lines, c["at"]).alias("excerpt"),
-            c["name"].alias("name"),
-        ),
+        lambda c: F.struct(c["in_frame"].alias("in_frame"), *_neighbourhood(lines, c["at"]), c["name"].alias("name")),
     )
 
 
+def excerpt_text() -> Column:
+    """Text whose lines are cited: the raw text if the source has any, else the pooled text."""
+    return F.when(F.col("raw"), F.coalesce("payload_text", F.lit(""))).otherwise(F.coalesce("payload_text", "text"))
+
+
 def scan_text(pooled: DataFrame, rules: RuleBase) -> DataFrame:
     """Facts per pooled row: signal bits, platform, exception names and cited lines."""
     declared = F.array(*[F.lit(n) for n in rules.declared_exceptions]).cast("array<string>")
@@ -95,7 +105,7 @@ def scan_text(pooled: DataFrame, rules: RuleBase) -> DataFrame:
         .withColumn(
             "lines",
             F.transform(
-                numbered_lines(F.coalesce("payload_text", "text")),
+                numbered_lines(excerpt_text()),
                 lambda x: F.struct(x["no"], x["line"], S.folded(x["line"]).alias("low")),
             ),
         )
@@ -103,14 +113,32 @@ def scan_text(pooled: DataFrame, rules: RuleBase) -> DataFrame:
         .withColumn(
             "exception_cites", exception_cites(F.col("lines"), F.array_intersect("exception_keys", declared))
         )
+        .withColumn("first_line", _edge_line(F.lit(0)))
+        .withColumn("last_line", _edge_line(F.size("lines") - 1))
+        .withColumn("edge", _edge_text())
+        .withColumn("n_lines", F.size(F.split(F.concat(excerpt_text(), F.lit("\n")), LINE_BREAK)) - 1)
         .drop("low", "lines")
     )
 
 
+def _edge_text() -> Column:
+    """Start and end of a piece; a long middle is replaced by characters that end every pattern."""
+    text = F.col("text")
+    head = F.regexp_replace(F.substring(text, 1, SEAM_CHARS), r"\S*$", "")
+    tail = F.regexp_replace(F.substring(text, -SEAM_CHARS, SEAM_CHARS), r"^\S*", "")
+    return F.when(F.length(text) <= 2 * SEAM_CHARS, text).otherwise(F.concat(head, F.lit("\x01`\n\x01"), tail))
+
+
+def _edge_line(index: Column) -> Column:
+    item = F.when(index >= 0, F.get("lines", index))
+    return F.when(item.isNotNull(), F.struct(item["no"].alias("no"), _shown(item["line"]).alias("line")))
+
+
 FEATURE_COLUMNS = [
     "source", "n_events", "mask", "text_platform", "event_platform", "text_exceptions", "first_exception",
     "event_error_types", "observed", "exception_keys", "has_stack", "has_metadata", "signal_cites", "exception_cites",
 ]
+PIECE_COLUMNS = ["piece", "cut", "n_lines", "first_line", "last_line", "edge"]
 
 
 def finish(facts: DataFrame) -> DataFrame:
@@ -129,14 +157,130 @@ def finish(facts: DataFrame) -> DataFrame:
     )
 
 
-def source_features(pooled: DataFrame, rules: RuleBase, single: bool = False) -> DataFrame:
-    """One row of facts per source; ``single`` promises that no source was cut into pieces."""
-    scanned = scan_text(pooled, rules)
-    if single:
-        return finish(scanned.select(FEATURE_COLUMNS))
-    return finish(join_pieces(scanned))
+def source_features(events: DataFrame, rules: RuleBase, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """One row of facts per source of an event table.
+
+    Sources are measured first.  Only when some exceed ``piece_bytes`` does the plan contain the cutting path; its
+    per-piece facts (small, the text is gone) are checkpointed once because several aggregations read them.
+    """
+    cuts = find_cuts(events, piece_bytes)
+    if cuts.isEmpty():
+        return finish(scan_text(pool(events), rules).select(FEATURE_COLUMNS))
+    ensure_checkpoint_dir(events.sparkSession)
+    placed_cuts = cuts.checkpoint()
+    scanned = scan_text(pool(events, placed_cuts), rules).select(*FEATURE_COLUMNS, *PIECE_COLUMNS)
+    scanned = scanned.checkpoint()
+    whole = scanned.where(~F.col("cut")).select(FEATURE_COLUMNS)
+    pieces = scanned.where("cut")
+    return finish(whole.unionByName(_rejoined(pieces).select(FEATURE_COLUMNS)))
+
 
+def text_features(pooled: DataFrame, rules: RuleBase) -> DataFrame:
+    """One row of facts per pooled source that is known to be whole."""
+    return finish(scan_text(pooled, rules).select(FEATURE_COLUMNS))
 
-def join_pieces(scanned: DataFrame) -> DataFrame:
-    """Rejoin the facts of sources that were cut; sources with one piece pass through unchanged."""
-    raise NotImplementedError
+
+def _rejoined(pieces: DataFrame) -> DataFrame:
+    order = Window.partitionBy("source").orderBy("piece")
+    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    # one small row per piece: its rank, where its lines start and the nearest non-blank lines outside it
+    layout = (
+        pieces.select("source", "piece", "n_lines", "first_line", "last_line")
+        .withColumn("rank", F.row_number().over(order))
+        .withColumn("start", F.coalesce(F.sum("n_lines").over(earlier), F.lit(0)))
+        .withColumn("first_line", _moved(F.col("first_line"), F.col("start")))
+        .withColumn("last_line", _moved(F.col("last_line"), F.col("start")))
+        .withColumn("line_before", F.last("last_line", ignorenulls=True).over(earlier))
+        .withColumn("line_after", F.first("first_line", ignorenulls=True).over(later))
+        .select("source", "piece", "rank", "start", "line_before", "line_after")
+    )
+    placed = pieces.drop("first_line", "last_line", "n_lines").join(layout, ["source", "piece"])
+    facts = placed.groupBy("source").agg(
+        F.sum("n_events").alias("n_events"),
+        F.bit_or("mask").alias("mask"),
+        _first_marked().alias("text_platform"),
+        F.expr("min_by(event_platform, rank) filter (where event_platform is not null)").alias("event_platform"),
+        F.expr("min_by(first_exception, rank) filter (where first_exception is not null)").alias("first_exception"),
+        F.bool_or("has_stack").alias("has_stack"),
+        F.bool_or("has_metadata").alias("has_metadata"),
+    )
+    for column in ("text_exceptions", "event_error_types", "observed", "exception_keys"):
+        facts = facts.join(_collected(placed, column), "source", "left")
+    for column in ("signal_cites", "exception_cites"):
+        facts = facts.join(_first_cites(placed, column), "source", "left")
+    empty = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("text_exceptions", "event_error_types", "observed", "exception_keys")}
+    seams = _seam_masks(placed).groupBy("source").agg(F.bit_or("seam_mask").alias("seam_mask"))
+    return (
+        facts.join(seams, "source", "left")
+        .withColumn("mask", F.col("mask").bitwiseOR(F.coalesce("seam_mask", F.lit(0).cast("bigint"))))
+        .withColumns(empty)
+    )
+
+
+def _moved(line: Column, start: Column) -> Column:
+    return F.when(line.isNotNull(), F.struct((line["no"] + start).alias("no"), line["line"].alias("line")))
+
+
+def _first_marked() -> Column:
+    """Platform of highest priority found in any piece."""
+    order = F.array(*[F.lit(p) for p in [*MARKERS, UNKNOWN]])
+    return F.get(order, (F.min(F.array_position(order, F.col("text_platform"))) - 1).cast("int"))
+
+
+def _collected(placed: DataFrame, column: str) -> DataFrame:
+    """Distinct values over all pieces of a source."""
+    return (
+        placed.select("source", F.explode(column).alias("value"))
+        .distinct()
+        .groupBy("source")
+        .agg(F.array_sort(F.collect_list("value")).alias(column))
+    )
+
+
+def _first_cites(placed: DataFrame, column: str) -> DataFrame:
+    """First citation per signal or exception over all pieces, numbers counted through the whole source."""
+    cite = F.col("cite")
+    flags = [F.col("cite.in_frame").alias("in_frame")] if column == "exception_cites" else []
+    before, after = F.col("line_before"), F.col("line_after")
+
+    def number(prefix: str, outside: Column) -> Column:
+        return F.coalesce(cite[prefix + "no"] + F.col("start"), outside["no"]).alias(prefix + "no")
+
+    moved = F.struct(
+        *flags,
+        (cite["no"] + F.col("start")).alias("no"),
+        cite["line"].alias("line"),
+        number("prev_", before),
+        F.coalesce(cite["prev_line"], before["line"]).alias("prev_line"),
+        number("next_", after),
+        F.coalesce(cite["next_line"], after["line"]).alias("next_line"),
+        cite["name"].alias("name"),
+    )
+    return (
+        placed.select("source", "start", "line_before", "line_after", F.explode(column).alias("cite"))
+        .select("source", moved.alias("cite"))
+        .groupBy("source", "cite.name")
+        .agg(F.min("cite").alias("cite"))
+        .groupBy("source")
+        .agg(F.collect_list("cite").alias(column))
+    )
+
+
+def _seam_masks(placed: DataFrame) -> DataFrame:
+    """Signals that only show when the ends of neighbouring pieces are read together.
+
+    Neighbouring pieces are grouped by rank, a few pieces belonging to two groups, and only their edges are joined.
+    """
+    rank = F.col("rank")
+    group = F.floor(rank / SEAM_PIECES)
+    groups = F.when(rank % SEAM_PIECES < SEAM_OVERLAP, F.array(group, group - 1)).otherwise(F.array(group))
+    joined = F.array_join(F.transform("edges", lambda e: e["edge"]), "\n")
+    return (
+        placed.where(F.col("edge") != "")
+        .select("source", "rank", "edge", F.explode(groups).alias("group"))
+        .groupBy("source", "group")
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "edge"))).alias("edges"))
+        .select("source", joined.alias("text"))
+        .withColumn("low", S.folded(F.col("text")))
+        .select("source", S.signal_mask(F.col("text"), F.col("low")).alias("seam_mask"))
+    )

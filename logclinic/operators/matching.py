@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logclinic.functions import scoring
 from logclinic.functions.platforms import UNKNOWN
 from logclinic.functions.signals import HEURISTIC
+from logclinic.operators.features import excerpt_block
 from logclinic.rules.base import RuleBase
 
 
@@ -18,6 +19,12 @@ def trigger_keys() -> Column:
     )
 
 
+def _first_cite(cites: str, matched: str) -> Column:
+    """Excerpt of the earliest citation that belongs to the match; the struct order is the line order."""
+    first = F.array_min(F.filter(cites, lambda c: F.array_contains(matched, c["name"])))
+    return F.when(first.isNotNull(), excerpt_block(first))
+
+
 def match_rules(features: DataFrame, rules: RuleBase, keep_unmatched: bool = False) -> DataFrame:
     """One row per (source, matching rule) with score and evidence inputs.
 
@@ -42,16 +49,8 @@ def match_rules(features: DataFrame, rules: RuleBase, keep_unmatched: bool = Fal
         .withColumn("heuristic_signals", F.array_intersect("matched_signals", heuristic))
         .withColumn("matched_exceptions", F.array_sort(F.array_intersect("exceptions", "exception_keys")))
         .withColumn("platform_match", F.col("platform") != UNKNOWN)
-        .withColumn(
-            "signal_excerpt",
-            F.array_min(F.filter("signal_cites", lambda c: F.array_contains("matched_signals", c["signal"])))["excerpt"],
-        )
-        .withColumn(
-            "exception_excerpt",
-            F.array_min(F.filter("exception_cites", lambda c: F.array_contains("matched_exceptions", c["name"])))[
-                "excerpt"
-            ],
-        )
+        .withColumn("signal_excerpt", _first_cite("signal_cites", "matched_signals"))
+        .withColumn("exception_excerpt", _first_cite("exception_cites", "matched_exceptions"))
         .withColumn(
             "score",
             scoring.score(

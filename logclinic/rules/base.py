@@ -45,9 +45,10 @@ class RuleBase:
 
     def table(self, spark: SparkSession) -> DataFrame:
         """One row per rule, ordered lists as arrays, plus ``severity_rank``."""
-        return spark.createDataFrame(self.rows, schema.RULES).withColumn(
-            "severity_rank", severity_rank(F.col("severity"))
-        )
+        rules = spark.createDataFrame(self.rows, schema.RULES)
+        lists = [f for f in schema.RULES.fields if f.dataType.typeName() == "array"]
+        filled = {f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in lists}
+        return rules.withColumns(filled).withColumn("severity_rank", severity_rank(F.col("severity")))
 
     def triggers(self, spark: SparkSession) -> DataFrame:
         """(key, rule...) with one row per observation that can make a rule match.
