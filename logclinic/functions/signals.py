@@ -8,7 +8,6 @@ text, so a text that carries none of the guard words never reaches the regular-e
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -278,55 +277,58 @@ def folded(text: Column) -> Column:
     )
 
 
-def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+# Conditions are built as SQL text: there are hundreds of small terms, and one parse is far cheaper than one call each.
 
 
-def _guarded(text: Column, low: Column, phrases: list[str]) -> Column:
+def _raw(regex: str) -> str:
+    """SQL literal of a regular expression, quotes written as escapes the expression engine knows."""
+    return "r'" + regex.replace("'", r"\x27") + "'"
+
+
+def _guarded(text: str, low: str, phrases: list[str]) -> str:
     words = sorted({guard_word(p) for p in phrases})
-    return _any([F.contains(low, F.lit(w)) for w in words]) & F.rlike(text, F.lit(_JAVA_FLAGS + pattern(phrases)))
+    guard = " OR ".join(f"contains({low}, '{w}')" for w in words)
+    return f"(({guard}) AND {text} RLIKE {_raw(_JAVA_FLAGS + pattern(phrases))})"
 
 
-def signal_condition(name: str, text: Column, low: Column) -> Column:
-    """Boolean column: does ``text`` show the signal?  ``low`` must be ``folded(text)``."""
+def signal_condition(name: str, text: str, low: str) -> str:
+    """SQL condition: does ``text`` show the signal?  ``low`` names the folded text."""
     if name == "driver_oom":
-        return oom_condition(low) & _guarded(text, low, DRIVER_HINTS)
+        return f"({oom_condition(low)} AND {_guarded(text, low, DRIVER_HINTS)})"
     if name == "stacktrace_present":
         stack = STACK_PATTERN.replace(r"\s", WHITE)
-        return F.contains(text, F.lit("(")) & F.rlike(text, F.lit("(?mUd)" + stack))
+        return f"(contains({text}, '(') AND {text} RLIKE {_raw('(?mUd)' + stack)})"
     return _guarded(text, low, SIGNALS[name])
 
 
-def oom_condition(low: Column) -> Column:
-    return F.contains(low, F.lit(OOM_TOKEN.lower()))
-
-
-def signals_of(text: Column, low: Column, wanted: Column | None = None) -> Column:
-    """Sorted array of the signals present in ``text``; ``wanted`` restricts the names that are tried."""
-    tests = []
-    for name in ALL_SIGNALS:
-        hit = signal_condition(name, text, low)
-        if wanted is not None:
-            hit = F.array_contains(wanted, name) & hit
-        tests.append(F.when(hit, F.lit(name)))
-    return F.array_compact(F.array(*tests))
+def oom_condition(low: str) -> str:
+    return f"contains({low}, '{OOM_TOKEN.lower()}')"
 
 
-def signal_mask(text: Column, low: Column) -> Column:
-    """The same facts as a BIGINT bit set (plus the two driver_oom halves), additive with ``bit_or``."""
-    bits = [F.when(signal_condition(n, text, low), F.lit(1 << i)).otherwise(F.lit(0)) for i, n in enumerate(ALL_SIGNALS)]
-    bits.append(F.when(oom_condition(low), F.lit(1 << OOM_BIT)).otherwise(F.lit(0)))
-    bits.append(F.when(_guarded(text, low, DRIVER_HINTS), F.lit(1 << HINT_BIT)).otherwise(F.lit(0)))
-    return reduce(lambda a, b: a.bitwiseOR(b), [b.cast("bigint") for b in bits])
+def signal_mask(text: str = "text", low: str = "low") -> Column:
+    """Signals of a text column as a BIGINT bit set (plus the two driver_oom halves), additive with ``bit_or``."""
+    conditions = [signal_condition(name, text, low) for name in ALL_SIGNALS]
+    conditions += [oom_condition(low), _guarded(text, low, DRIVER_HINTS)]
+    return F.expr(" | ".join(f"if({c}, {1 << i}L, 0L)" for i, c in enumerate(conditions)))
 
 
-def mask_signals(mask: Column) -> Column:
+def mask_signals(mask: str = "mask") -> Column:
     """Bit set back to the sorted array of names."""
     both = (1 << OOM_BIT) | (1 << HINT_BIT)
-    names = []
+    terms = []
     for i, name in enumerate(ALL_SIGNALS):
-        on = mask.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
+        on = f"({mask} & {1 << i}L) <> 0"
         if name == "driver_oom":
-            on = on | (mask.bitwiseAND(F.lit(both).cast("bigint")) == both)
-        names.append(F.when(on, F.lit(name)))
-    return F.array_compact(F.array(*names))
+            on = f"({on} OR ({mask} & {both}L) = {both}L)"
+        terms.append(f"if({on}, '{name}', NULL)")
+    return F.expr(f"array_compact(array({', '.join(terms)}))")
+
+
+def first_lines(lines: str, mask: str) -> Column:
+    """For each signal in ``mask``: (signal, at), the position of the first of ``lines`` that shows it, 0 for none."""
+    terms = []
+    for i, name in enumerate(ALL_SIGNALS):
+        hits = f"transform({lines}, x -> {signal_condition(name, 'x.line', 'x.low')})"
+        found = f"named_struct('signal', '{name}', 'at', CAST(array_position({hits}, true) AS INT))"
+        terms.append(f"if(({mask} & {1 << i}L) <> 0, {found}, NULL)")
+    return F.expr(f"array_compact(array({', '.join(terms)}))")

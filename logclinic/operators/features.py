@@ -5,8 +5,6 @@ After this step the text is gone: what travels on is a few hundred bytes per sou
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +18,8 @@ from logclinic.rules.base import RuleBase
 from logclinic.session import ensure_checkpoint_dir
 
 EXCERPT_CHARS = 200
+#: Start of the pooled text kept for short citations.
+HEAD_CHARS = 200
 #: Text on each side of a cut between two pieces that is searched again for signals across the cut.
 SEAM_CHARS = 1 << 16
 #: Pieces whose edges are searched together, and how many of them the group before shares.
@@ -51,22 +51,10 @@ def excerpt_block(cite: Column) -> Column:
     return clamp(F.concat_ws(" | ", numbered(""), numbered("prev_"), numbered("next_")), EXCERPT_CHARS)
 
 
-def _shows(name: str) -> Callable[[Column], Column]:
-    return lambda x: S.signal_condition(name, x["line"], x["low"])
-
-
-def signal_cites(lines: Column, mask: Column) -> Column:
+def signal_cites(lines: str, mask: str) -> Column:
     """Line and neighbours for each present signal that some single line shows; first such line."""
-    found = []
-    for i, name in enumerate(S.ALL_SIGNALS):
-        present = mask.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
-        hits = F.transform(lines, _shows(name))
-        at = F.array_position(hits, F.lit(True))
-        found.append(F.when(present, F.struct(F.lit(name).alias("signal"), at.alias("at"))))
-    cited = F.filter(F.array(*found), lambda c: c["at"] > 0)
-    return F.transform(
-        cited, lambda c: F.struct(*_neighbourhood(lines, c["at"].cast("int")), c["signal"].alias("name"))
-    )
+    cited = F.filter(S.first_lines(lines, mask), lambda c: c["at"] > 0)
+    return F.transform(cited, lambda c: F.struct(*_neighbourhood(F.col(lines), c["at"]), c["signal"].alias("name")))
 
 
 def exception_cites(lines: Column, names: Column) -> Column:
@@ -96,7 +84,7 @@ def scan_text(pooled: DataFrame, rules: RuleBase) -> DataFrame:
     declared = F.array(*[F.lit(n) for n in rules.declared_exceptions]).cast("array<string>")
     return (
         pooled.withColumn("low", S.folded(F.col("text")))
-        .withColumn("mask", S.signal_mask(F.col("text"), F.col("low")))
+        .withColumn("mask", S.signal_mask())
         .withColumn("text_platform", detect_platform(F.lower("text")))
         .withColumn("text_exceptions", exception_types(F.col("text")))
         .withColumn("first_exception", F.get("text_exceptions", F.lit(0)))
@@ -109,7 +97,7 @@ def scan_text(pooled: DataFrame, rules: RuleBase) -> DataFrame:
                 lambda x: F.struct(x["no"], x["line"], S.folded(x["line"]).alias("low")),
             ),
         )
-        .withColumn("signal_cites", signal_cites(F.col("lines"), F.col("mask")))
+        .withColumn("signal_cites", signal_cites("lines", "mask"))
         .withColumn(
             "exception_cites", exception_cites(F.col("lines"), F.array_intersect("exception_keys", declared))
         )
@@ -117,6 +105,7 @@ def scan_text(pooled: DataFrame, rules: RuleBase) -> DataFrame:
         .withColumn("last_line", _edge_line(F.size("lines") - 1))
         .withColumn("edge", _edge_text())
         .withColumn("n_lines", F.size(F.split(F.concat(excerpt_text(), F.lit("\n")), LINE_BREAK)) - 1)
+        .withColumn("head", F.substring("text", 1, HEAD_CHARS))
         .drop("low", "lines")
     )
 
@@ -136,15 +125,19 @@ def _edge_line(index: Column) -> Column:
 
 FEATURE_COLUMNS = [
     "source", "n_events", "mask", "text_platform", "event_platform", "text_exceptions", "first_exception",
-    "event_error_types", "observed", "exception_keys", "has_stack", "has_metadata", "signal_cites", "exception_cites",
+    "event_error_types", "observed", "exception_keys", "has_stack", "has_metadata", "signal_cites", "exception_cites", "head",
+]
+SOURCE_COLUMNS = [
+    "source", "n_events", "platform", "signals", "error_types", "first_exception", "observed", "exception_keys",
+    "has_stack", "has_metadata", "signal_cites", "exception_cites", "head",
 ]
 PIECE_COLUMNS = ["piece", "cut", "n_lines", "first_line", "last_line", "edge"]
 
 
 def finish(facts: DataFrame) -> DataFrame:
     """Derived columns shared by whole and rejoined sources."""
-    return (
-        facts.withColumn("signals", S.mask_signals(F.col("mask")))
+    return _fenced(
+        facts.withColumn("signals", S.mask_signals())
         .withColumn(
             "platform",
             F.when(F.col("text_platform") != UNKNOWN, F.col("text_platform")).otherwise(
@@ -153,10 +146,20 @@ def finish(facts: DataFrame) -> DataFrame:
         )
         .withColumn("error_types", F.array_sort(F.array_union("event_error_types", "text_exceptions")))
         .withColumn("has_stack", F.col("has_stack") | F.array_contains("signals", "stacktrace_present"))
-        .drop("mask", "text_platform", "event_platform", "text_exceptions")
+        .select(SOURCE_COLUMNS)
     )
 
 
+def _fenced(facts: DataFrame) -> DataFrame:
+    """Same rows, but filters stated later stay above this point.
+
+    A filter on a computed column (joins and explodes add null checks on their own) would otherwise be pushed below
+    the computation, repeating every text search once per mention.
+    """
+    row = F.struct(*facts.columns)
+    return facts.select(F.explode_outer(F.array(row)).alias("row")).select("row.*")
+
+
 def source_features(events: DataFrame, rules: RuleBase, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """One row of facts per source of an event table.
 
@@ -203,6 +206,7 @@ def _rejoined(pieces: DataFrame) -> DataFrame:
         F.expr("min_by(first_exception, rank) filter (where first_exception is not null)").alias("first_exception"),
         F.bool_or("has_stack").alias("has_stack"),
         F.bool_or("has_metadata").alias("has_metadata"),
+        F.min_by("head", "rank").alias("head"),
     )
     for column in ("text_exceptions", "event_error_types", "observed", "exception_keys"):
         facts = facts.join(_collected(placed, column), "source", "left")
@@ -282,5 +286,5 @@ def _seam_masks(placed: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("rank", "edge"))).alias("edges"))
         .select("source", joined.alias("text"))
         .withColumn("low", S.folded(F.col("text")))
-        .select("source", S.signal_mask(F.col("text"), F.col("low")).alias("seam_mask"))
+        .select("source", S.signal_mask().alias("seam_mask"))
     )

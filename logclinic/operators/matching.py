@@ -9,7 +9,7 @@ from logclinic.functions import scoring
 from logclinic.functions.platforms import UNKNOWN
 from logclinic.functions.signals import HEURISTIC
 from logclinic.operators.features import excerpt_block
-from logclinic.rules.base import RuleBase
+from logclinic.rules.base import RuleBase, signal_table
 
 
 def trigger_keys() -> Column:
@@ -25,7 +25,9 @@ def _first_cite(cites: str, matched: str) -> Column:
     return F.when(first.isNotNull(), excerpt_block(first))
 
 
-def match_rules(features: DataFrame, rules: RuleBase, keep_unmatched: bool = False) -> DataFrame:
+def match_rules(
+    features: DataFrame, rules: RuleBase, keep_unmatched: bool = False, keep_cites: bool = False
+) -> DataFrame:
     """One row per (source, matching rule) with score and evidence inputs.
 
     With ``keep_unmatched`` every source appears at least once, ``rule_id`` being null on rows without a match.
@@ -63,7 +65,37 @@ def match_rules(features: DataFrame, rules: RuleBase, keep_unmatched: bool = Fal
         )
         .withColumn("band", scoring.band(F.col("score")))
     )
+    if keep_cites:
+        return matched
     return matched.drop("keys", "trigger", "signal_cites", "exception_cites", "positive", "exceptions")
 
 
+def match_positive(features: DataFrame, rules: RuleBase) -> DataFrame:
+    """(source, rule_id, signal) for every observed signal that supports a rule."""
+    return _by_signal(features, rules, "positive")
+
+
+def match_negative(features: DataFrame, rules: RuleBase) -> DataFrame:
+    """(source, rule_id) for every rule one of whose negative signals was observed."""
+    return _by_signal(features, rules, "negative").select("source", "rule_id").distinct()
+
+
+def _by_signal(features: DataFrame, rules: RuleBase, polarity: str) -> DataFrame:
+    declared = signal_table(rules.table(features.sparkSession), polarity).select("rule_id", "signal")
+    observed = features.select("source", F.explode("signals").alias("signal"))
+    return observed.join(F.broadcast(declared), "signal").select("source", "rule_id", "signal")
+
+
+def match_exceptions(features: DataFrame, rules: RuleBase) -> DataFrame:
+    """(source, rule_id, exception) where an observed name is, or ends in a dot and, the declared one."""
+    declared = rules.table(features.sparkSession).select("rule_id", F.explode("exceptions").alias("exception"))
+    observed = features.select("source", F.explode("exception_keys").alias("exception"))
+    return observed.join(F.broadcast(declared), "exception").select("source", "rule_id", "exception")
+
+
+def with_rule_attributes(matches: DataFrame, rules: RuleBase) -> DataFrame:
+    """Add the descriptive attributes of the rules."""
+    return matches.join(F.broadcast(rules.table(matches.sparkSession)), "rule_id")
+
+
 _RULE_COLUMNS = ["rule_id", "name", "category", "severity_rank", "platforms", "exceptions", "positive"]

@@ -1,0 +1,9 @@
+"""Independent SQL answers to the queries, written for DuckDB."""
+
+from __future__ import annotations
+
+
+def all_statements() -> dict[str, str]:
+    from oracle import core
+
+    return {**core.STATEMENTS}
