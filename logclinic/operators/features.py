@@ -13,6 +13,7 @@ from logclinic.functions.exceptions import exception_types, with_short
 from logclinic.functions.platforms import MARKERS, UNKNOWN, detect_platform
 from logclinic.functions.redaction import redact
 from logclinic.functions.text import LINE_BREAK, clamp, dotted_suffixes, numbered_lines
+from logclinic.operators.fence import fenced
 from logclinic.operators.pooling import PIECE_BYTES, find_cuts, pool
 from logclinic.rules.base import RuleBase
 from logclinic.session import ensure_checkpoint_dir
@@ -136,7 +137,7 @@ PIECE_COLUMNS = ["piece", "cut", "n_lines", "first_line", "last_line", "edge"]
 
 def finish(facts: DataFrame) -> DataFrame:
     """Derived columns shared by whole and rejoined sources."""
-    return _fenced(
+    return fenced(
         facts.withColumn("signals", S.mask_signals())
         .withColumn(
             "platform",
@@ -150,16 +151,6 @@ def finish(facts: DataFrame) -> DataFrame:
     )
 
 
-def _fenced(facts: DataFrame) -> DataFrame:
-    """Same rows, but filters stated later stay above this point.
-
-    A filter on a computed column (joins and explodes add null checks on their own) would otherwise be pushed below
-    the computation, repeating every text search once per mention.
-    """
-    row = F.struct(*facts.columns)
-    return facts.select(F.explode_outer(F.array(row)).alias("row")).select("row.*")
-
-
 def source_features(events: DataFrame, rules: RuleBase, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """One row of facts per source of an event table.
 

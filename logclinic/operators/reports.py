@@ -81,13 +81,14 @@ def top_matches(report: DataFrame) -> DataFrame:
 
 def report_with_empty(report: DataFrame, sources: DataFrame) -> DataFrame:
     """Add a zero-event report for every source (such as a blank file) that produced no event."""
-    filled = sources.select("source").join(report, "source", "left")
-    empty = filled["status"].isNull()
-    return (
-        filled.withColumn("platform", F.coalesce("platform", F.lit("unknown")))
-        .withColumn("event_count", F.coalesce("event_count", F.lit(0).cast("bigint")))
-        .withColumn("message", F.when(empty, F.lit(NO_MATCH_MESSAGE)).otherwise(F.col("message")))
-        .withColumn("error_types", F.coalesce("error_types", F.array().cast("array<string>")))
-        .withColumn("status", F.coalesce("status", F.lit("insufficient_evidence")))
-        .withColumn("matches", F.when(F.col("matches").isNull(), F.filter(F.array(F.get("matches", F.lit(0))), lambda m: m.isNotNull())).otherwise(F.col("matches")))
+    empty = sources.select("source").join(report.select("source"), "source", "left_anti").select(
+        "source",
+        F.lit("unknown").alias("platform"),
+        F.lit(0).cast("bigint").alias("event_count"),
+        F.array().cast("array<string>").alias("error_types"),
+        F.array().cast(report.schema["matches"].dataType).alias("matches"),
+        F.lit("insufficient_evidence").alias("status"),
+        F.lit(None).cast("string").alias("top_band"),
+        F.lit(NO_MATCH_MESSAGE).alias("message"),
     )
+    return report.unionByName(empty)

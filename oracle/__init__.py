@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_statements() -> dict[str, str]:
-    from oracle import core
+    from oracle import core, inputs
 
-    return {**core.STATEMENTS}
+    return {**core.STATEMENTS, **inputs.STATEMENTS}
