@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_statements() -> dict[str, str]:
-    from oracle import core, inputs
+    from oracle import context, core, inputs
 
-    return {**core.STATEMENTS, **inputs.STATEMENTS}
+    return {**core.STATEMENTS, **inputs.STATEMENTS, **context.STATEMENTS}

@@ -6,6 +6,6 @@ from collections.abc import Callable
 
 
 def all_queries() -> dict[str, Callable]:
-    from workload import core_queries, input_queries
+    from workload import context_queries, core_queries, input_queries
 
-    return {**core_queries.QUERIES, **input_queries.QUERIES}
+    return {**core_queries.QUERIES, **input_queries.QUERIES, **context_queries.QUERIES}

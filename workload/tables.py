@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logclinic import schema
+from logclinic.operators.investigate import Context
 from workload.templates import FAILURES, FIELDS, TEMPLATES
 
 _TEMPLATE_SCHEMA = "tkey string, name string, kind string, ids string, band string, status string, ext string, " \
@@ -116,3 +117,90 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring(priority, 1, 1).alias("stage"),
         F.when(failed, F.concat(F.lit("run stopped: "), cause, F.col("o_orderkey").cast("string"))).alias("error"),
     )
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, user_id) of the derived failure sources."""
+    week = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-w"), F.weekofyear("ts").cast("string"))
+    return read(spark, sf_dir, "events").select(week.alias("source"), "user_id").distinct()
+
+
+def order_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two schema snapshots per order, one per line status; columns come from its lines."""
+    parity = F.col("l_linenumber") % 2
+    return (
+        read(spark, sf_dir, "lineitem")
+        .select(
+            F.col("l_orderkey"),
+            F.when(F.col("l_linestatus") == "F", 0).otherwise(1).alias("tbl_ord"),
+            F.concat(F.lit("lines_"), F.lower("l_linestatus")).alias("table_name"),
+            (F.ascii("l_returnflag") * 2 + parity).alias("pos"),
+            F.concat(F.lit("c_"), "l_returnflag", parity.cast("string")).alias("column_name"),
+            F.concat(F.lit("t"), (F.col("l_suppkey") % 3).cast("string")).alias("data_type"),
+        )
+        .groupBy("l_orderkey", "tbl_ord", "table_name", "pos", "column_name")
+        .agg(F.min("data_type").alias("data_type"))
+    )
+
+
+def schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_schemas(spark, sf_dir).withColumn("source", F.concat(F.lit("k"), F.col("l_orderkey").cast("string")))
+
+
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sample per source and event type."""
+    week = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-w"), F.weekofyear("ts").cast("string"))
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return (
+        read(spark, sf_dir, "events")
+        .groupBy(week.alias("source"), F.col("event_type").alias("name"))
+        .agg(F.count("*").cast("double").alias("value"), F.max(k).alias("hi"), F.min(k).alias("lo"))
+        .select(
+            "source",
+            F.ascii("name").cast("bigint").alias("ord"),
+            "name",
+            "value",
+            F.lit("events").alias("unit"),
+            F.create_map(
+                F.lit("stage"), (F.col("hi") % 5 + 1).cast("string"), F.lit("executor_id"), (F.col("lo") % 3).cast("string")
+            ).alias("labels"),
+            F.when(F.col("name") == "error", F.lit("1w")).alias("window"),
+        )
+    )
+
+
+def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One plan text per part."""
+    trouble = (
+        F.when(F.col("p_brand") == "Brand#1", "\nauthentication failed password=x")
+        .when(F.col("p_brand") == "Brand#2", "\nMissing an output location for shuffle ")
+        .when(F.col("p_brand") == "Brand#3", "\nskewed partition ")
+        .otherwise("\nExchange ")
+    )
+    text = F.concat(
+        F.lit("== Physical Plan ==\nScan "), "p_name", F.lit(" ["), "p_type", F.lit("]"), trouble,
+        F.col("p_partkey").cast("string"),
+    )
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("source"), text.alias("plan")
+    )
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Further log lines of a source: the messages of its events."""
+    events = failure_events(spark, sf_dir)
+    return events.where("error_message IS NOT NULL").select(
+        "source", F.col("seq").alias("n"), F.translate("error_message", "\n", " ").alias("line")
+    )
+
+
+def context(spark: SparkSession, sf_dir: str) -> Context:
+    """Context tables of the derived failure sources, joined to the given tables by user."""
+    sources = _sources(spark, sf_dir)
+    user = F.col("user_id")
+    by_customer = runs(spark, sf_dir).withColumnRenamed("source", "customer")
+    customer = sources.withColumn("customer", F.concat(F.lit("c"), user.cast("string")))
+    own_runs = customer.join(by_customer, "customer").drop("customer", "user_id")
+    own_schemas = sources.join(order_schemas(spark, sf_dir), user == F.col("l_orderkey")).drop("l_orderkey", "user_id")
+    own_plans = sources.join(plans(spark, sf_dir).drop("source"), user == F.col("p_partkey")).select("source", "plan")
+    return Context(own_runs, own_schemas, metrics(spark, sf_dir), own_plans, log_lines(spark, sf_dir))
