@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 def all_statements() -> dict[str, str]:
-    from oracle import context, core, inputs
+    from oracle import context, core, inputs, quality
 
-    return {**core.STATEMENTS, **inputs.STATEMENTS, **context.STATEMENTS}
+    modules = (core, inputs, context, quality)
+    return {name: sql for module in modules for name, sql in module.STATEMENTS.items()}

@@ -48,11 +48,11 @@ UNION ALL SELECT q.source, q.probe_no, q.tool, r.ordinal, {_STATE} FROM cprobe q
 UNION ALL SELECT q.source, q.probe_no, q.tool, 1, c.base_run || c.other_run FROM cprobe q JOIN ccompare c USING (source) WHERE tool = 'compare_runs'
 UNION ALL SELECT q.source, q.probe_no, q.tool, l.n, l.n || ': ' || l.line FROM cprobe q JOIN vlogs l USING (source) WHERE tool = 'search_logs' AND contains(lower(l.line), q.arg1)
 UNION ALL SELECT q.source, q.probe_no, q.tool, 1, r.rule_id FROM cprobe q JOIN rules r ON contains(r.category, q.arg1) WHERE tool = 'search_knowledge_base'""")
-cte("cresult", "SELECT q.source, q.rule_id, q.probe_no, q.tool, q.arg1, q.arg2, count(l.probe_no) AS n_lines, CASE WHEN count(l.probe_no) > 0 OR q.tool IN ('search_logs', 'search_knowledge_base') THEN 'success' ELSE 'unavailable' END AS status FROM cprobe q LEFT JOIN clines l ON l.source = q.source AND l.probe_no = q.probe_no GROUP BY ALL")
+cte("cresult", "SELECT q.source, q.rule_id, q.probe_no, q.tool, q.arg1, q.arg2, count(l.probe_no) AS n_lines, CASE WHEN count(l.probe_no) > 0 OR q.tool IN ('search_logs', 'search_knowledge_base') THEN 'success' ELSE 'unavailable' END AS status FROM cprobe q LEFT JOIN clines l ON l.source = q.source AND l.probe_no = q.probe_no GROUP BY q.source, q.rule_id, q.probe_no, q.tool, q.arg1, q.arg2")
 cte("cdetail", f"SELECT source, probe_no, string_agg({redact('line')}, chr(10) ORDER BY seq) AS text FROM clines WHERE tool <> 'search_knowledge_base' GROUP BY source, probe_no")
 cte("csignal", " UNION ALL ".join(f"SELECT source, probe_no, {lit(n)} AS signal FROM cdetail WHERE regexp_matches(text, {r})" for n, r in SIGNAL_REGEX.items()))
 cte("cverified", "SELECT q.source, q.rule_id, q.probe_no, q.tool, (SELECT arg_min(n.signal, n.ordinal) FROM rule_neg n JOIN csignal s ON s.signal = n.signal WHERE n.rule_id = q.rule_id AND s.source = q.source AND s.probe_no = q.probe_no) AS contradiction, coalesce((SELECT string_agg(n.signal, ',' ORDER BY n.ordinal) FROM rule_pos n JOIN csignal s ON s.signal = n.signal WHERE n.rule_id = q.rule_id AND s.source = q.source AND s.probe_no = q.probe_no), '') AS supports FROM cresult q")
-cte("cstop", "SELECT source, rule_id, max(probe_no) AS n_probes, min(probe_no) FILTER (WHERE contradiction IS NOT NULL AND probe_no <= 8) AS stop_no FROM cverified GROUP BY ALL")
+cte("cstop", "SELECT source, rule_id, max(probe_no) AS n_probes, min(probe_no) FILTER (WHERE contradiction IS NOT NULL AND probe_no <= 8) AS stop_no FROM cverified GROUP BY source, rule_id")
 cte("crecord", """SELECT t.source, t.rule_id, CASE WHEN NOT (f.has_plan OR f.t1 IS NOT NULL OR f.has_metrics OR f.has_current OR f.has_previous OR f.has_logs) THEN 'insufficient_context' WHEN s.stop_no IS NULL AND s.n_probes > 8 THEN 'limit_reached' ELSE 'success' END AS status, coalesce(s.stop_no, least(s.n_probes, 8), 0) AS tool_calls, s.stop_no IS NOT NULL AS contradicted, v.contradiction, v.tool AS contradicted_by, s.n_probes FROM ctop t JOIN cflags f ON f.source = t.source LEFT JOIN cstop s ON s.source = t.source LEFT JOIN cverified v ON v.source = t.source AND v.probe_no = s.stop_no""")
 
 SQL = {

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 
 def all_queries() -> dict[str, Callable]:
-    from workload import context_queries, core_queries, input_queries
+    from workload import context_queries, core_queries, input_queries, quality_queries
 
-    return {**core_queries.QUERIES, **input_queries.QUERIES, **context_queries.QUERIES}
+    modules = (core_queries, input_queries, context_queries, quality_queries)
+    return {name: query for module in modules for name, query in module.QUERIES.items()}

@@ -204,3 +204,48 @@ def context(spark: SparkSession, sf_dir: str) -> Context:
     own_schemas = sources.join(order_schemas(spark, sf_dir), user == F.col("l_orderkey")).drop("l_orderkey", "user_id")
     own_plans = sources.join(plans(spark, sf_dir).drop("source"), user == F.col("p_partkey")).select("source", "plan")
     return Context(own_runs, own_schemas, metrics(spark, sf_dir), own_plans, log_lines(spark, sf_dir))
+
+
+def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every derived input as a labelled case; one template carries a wrong band, so that grading has work to do."""
+    wrong = F.when(F.col("name") == "spark-stage", "LOW").otherwise(F.col("band"))
+    return inputs(spark, sf_dir).select(
+        "source",
+        F.col("source").alias("name"),
+        "kind",
+        F.concat("kind", F.lit("/"), "name").alias("label"),
+        F.col("status").alias("expected_status"),
+        F.when(F.col("ids") == "", F.array().cast("array<string>")).otherwise(F.split("ids", ",")).alias("expected_ids"),
+        wrong.alias("expected_band"),
+    )
+
+
+def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earlier results: every case passed, benchmark items were cases that no longer exist."""
+    gone = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("gone-"), F.col("item_id").cast("string")).alias("name"))
+    return inputs(spark, sf_dir).select(F.col("source").alias("name")).unionByName(gone).withColumn("ok", F.lit(True))
+
+
+def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user rule base as JSON texts, one per part; many of them are faulty on purpose."""
+    size = F.col("p_size")
+    none = F.array().cast("array<string>")
+    brand = F.replace("p_brand", F.lit("#"), F.lit(""))
+    number = F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0")
+    fields = {
+        "rule_id": F.when(size % 7 == 0, F.concat(F.lower("p_brand"), number)).otherwise(F.concat(F.upper(brand), F.lit("-"), number)),
+        "name": F.col("p_name"),
+        "category": F.when(size % 5 == 0, F.col("p_type")).otherwise(F.concat(F.lit("parts."), F.lower("p_type"))),
+        "severity": F.lit("medium"),
+        "platforms": F.when(size % 6 == 0, none).when(size % 6 == 1, F.array(F.lit("spark"), F.lit("spark")))
+        .when(size % 6 == 2, F.array(F.lit("Spark!"))).otherwise(F.array(F.lit("spark"))),
+        "exceptions": F.when(size % 4 == 0, none).otherwise(F.array(F.concat(brand, F.lit("Error")))),
+        "positive": F.when(size % 3 == 0, none).when(size % 3 == 1, F.array(F.lit("data_skew"), F.lit("data_skew")))
+        .otherwise(F.array(F.lit("executor_oom"), F.lit("Bad Signal"))),
+        "negative": F.when(size % 2 == 0, F.array(F.lit("dns_failure"))).otherwise(F.array(F.concat(F.lit("no_such_"), F.lower(brand)))),
+        "hypotheses": F.when(size % 8 == 0, none).otherwise(F.array(F.lit("worn_part"))),
+        "refs": F.when(size % 9 == 0, F.array().cast(schema.RULES["refs"].dataType)).otherwise(
+            F.array(F.struct(F.lit("manual").alias("title"), F.lit("https://example.org/").alias("url")))
+        ),
+    }
+    return read(spark, sf_dir, "part").select(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("text"))
