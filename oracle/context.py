@@ -55,7 +55,19 @@ cte("cverified", "SELECT q.source, q.rule_id, q.probe_no, q.tool, (SELECT arg_mi
 cte("cstop", "SELECT source, rule_id, max(probe_no) AS n_probes, min(probe_no) FILTER (WHERE contradiction IS NOT NULL AND probe_no <= 8) AS stop_no FROM cverified GROUP BY source, rule_id")
 cte("crecord", """SELECT t.source, t.rule_id, CASE WHEN NOT (f.has_plan OR f.t1 IS NOT NULL OR f.has_metrics OR f.has_current OR f.has_previous OR f.has_logs) THEN 'insufficient_context' WHEN s.stop_no IS NULL AND s.n_probes > 8 THEN 'limit_reached' ELSE 'success' END AS status, coalesce(s.stop_no, least(s.n_probes, 8), 0) AS tool_calls, s.stop_no IS NOT NULL AS contradicted, v.contradiction, v.tool AS contradicted_by, s.n_probes FROM ctop t JOIN cflags f ON f.source = t.source LEFT JOIN cstop s ON s.source = t.source LEFT JOIN cverified v ON v.source = t.source AND v.probe_no = s.stop_no""")
 
+# JSON contexts, answered from the columns they were written from
+cte("xorder", "SELECT 'o' || o_orderkey AS source, o_orderkey AS k, o_orderstatus AS st, o_orderpriority AS pr, CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN 'previous_runs' WHEN '5-LOW' THEN 'metrics' END AS reason FROM orders")
+cte("xgood", "SELECT * FROM xorder WHERE reason IS NULL")
 SQL = {
+    "context_normalize": """SELECT source, 'error' AS kind, 0 AS ord, reason AS content FROM xorder WHERE reason IS NOT NULL
+UNION ALL SELECT source, 'run', 0, 'true/r' || k || CASE st WHEN 'F' THEN '/failed/-/3' ELSE '/unknown/-/-' END FROM xgood WHERE st IN ('F', 'O')
+UNION ALL SELECT source, 'run', o, c FROM xgood, (VALUES (1, 'false//done/j/-'), (2, 'false/b/unknown/-/-')) v(o, c)
+UNION ALL SELECT source, 'schema', o, c FROM xgood, (VALUES (0, '0/t2/b/-'), (1, '0/t2/a/int'), (0, '1/x/c/-')) v(o, c)
+UNION ALL SELECT source, 'metric', 0, 'rows/' || k::DOUBLE::VARCHAR || '/-/-' FROM xgood
+UNION ALL SELECT source, 'metric', 1, 'bytes/2.5/mb/' || k FROM xgood
+UNION ALL SELECT source, 'plan', 0, 'Scan ' || k FROM xgood
+UNION ALL SELECT source, 'log', 1, 'l' || k FROM xgood
+UNION ALL SELECT source, 'log', 2, '' FROM xgood""",
     "get_logs": f"SELECT source, n, {redact('line')} AS line FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n) AS rn FROM (SELECT source, n, line FROM vlogs UNION ALL SELECT source, n, line FROM vdoclines) WHERE {stripped('line')} <> '') WHERE rn <= 5",
     "search_logs": "SELECT source, count(*) AS matches, min(n) AS first_no FROM vlogs WHERE contains(lower(line), 'spark') GROUP BY source",
     "get_run": f"SELECT source, run_id, status, job, stage, {redact('error')} AS error, 'current' AS asked FROM vruns WHERE n = 1 UNION ALL SELECT r.source, r.run_id, r.status, r.job, r.stage, {redact('r.error')}, 'named' FROM vruns r JOIN (SELECT 'c' || o_custkey AS source, 'run-' || min(o_orderkey) AS run_id FROM orders GROUP BY o_custkey) w ON w.source = r.source AND w.run_id = r.run_id",

@@ -10,6 +10,7 @@ from logclinic.operators import investigate as I
 from logclinic.operators.reports import top_matches
 from logclinic.plans.investigate import investigation
 from logclinic.rules.base import RuleBase
+from logclinic.sources.context import parse_context
 from workload import tables as W
 from workload.core_queries import reports, single_reports
 
@@ -124,7 +125,32 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("probe_no", F.col("probe_no").cast("bigint"))
 
 
+def context_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    """All context tables and rejects as one long table."""
+    found, errors = parse_context(W.context_texts(spark, sf))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+
+    def rows(frame: DataFrame, kind: str, order: str | None, *columns: str) -> DataFrame:
+        place = F.col(order).cast("bigint") if order else F.lit(0).cast("bigint")
+        return frame.select("source", F.lit(kind).alias("kind"), place.alias("ord"), F.concat_ws("/", *[text(c) for c in columns]).alias("content"))
+
+    metrics = found.metrics.withColumn("stage", F.try_element_at("labels", F.lit("stage")))
+    parts = [
+        rows(found.runs, "run", "ordinal", "is_current", "run_id", "status", "job", "stage"),
+        rows(found.schemas, "schema", "pos", "tbl_ord", "table_name", "column_name", "data_type"),
+        rows(metrics, "metric", "ord", "name", "value", "unit", "stage"),
+        rows(found.plans, "plan", None, "plan"),
+        rows(found.log_lines, "log", "n", "line"),
+        rows(errors, "error", None, "reason"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 QUERIES = {
+    "context_normalize": context_normalize,
     "get_logs": get_logs,
     "search_logs": search_logs,
     "get_run": get_run,

@@ -249,3 +249,22 @@ def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     }
     return read(spark, sf_dir, "part").select(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("text"))
+
+
+def context_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON context per order; form and faults depend on status and priority."""
+    key = F.col("o_orderkey").cast("string")
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    current = F.when(status == "F", F.concat(F.lit('{"run_id": "r'), key, F.lit('", "status": "failed", "stage": "3"}'))).when(
+        status == "O", F.concat(F.lit('"r'), key, F.lit('"'))
+    ).otherwise("null")
+    runs_key = F.when(priority == "1-URGENT", "runs").otherwise("previous_runs")
+    older = F.when(priority == "4-NOT SPECIFIED", '["a", 7]').otherwise('[{"status": "done", "job": "j"}, "b"]')
+    metric = F.when(priority == "5-LOW", '"many"').otherwise(F.concat(F.lit('{"value": 2.5, "unit": "mb", "labels": {"stage": "'), key, F.lit('"}}')))
+    text = F.concat(
+        F.lit('{"current_run": '), current, F.lit(', "'), runs_key, F.lit('": '), older, F.lit(', "logs": ["l'), key,
+        F.lit('", ""], "metrics": {"rows": '), key, F.lit(', "bytes": '), metric,
+        F.lit('}, "schemas": {"t2": {"columns": ["b", "a"], "data_types": {"a": "int"}}, "t1": {"table": "x", "columns": ["c"]}}, "query_plan": "Scan '),
+        key, F.lit('"}'),
+    )
+    return read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), key).alias("source"), text.alias("text"))
