@@ -105,12 +105,18 @@ def scan_text(pooled: DataFrame, rules: RuleBase) -> DataFrame:
         .withColumn("first_line", _edge_line(F.lit(0)))
         .withColumn("last_line", _edge_line(F.size("lines") - 1))
         .withColumn("edge", _edge_text())
-        .withColumn("n_lines", F.size(F.split(F.concat(excerpt_text(), F.lit("\n")), LINE_BREAK)) - 1)
+        .withColumn("n_lines", _line_count())
         .withColumn("head", F.substring("text", 1, HEAD_CHARS))
         .drop("low", "lines")
     )
 
 
+def _line_count() -> Column:
+    """Lines the cited text takes up once the next piece follows on a new line; none if there is no text."""
+    text = excerpt_text()
+    return F.when(text == "", 0).otherwise(F.size(F.split(F.concat(text, F.lit("\n")), LINE_BREAK)) - 1)
+
+
 def _edge_text() -> Column:
     """Start and end of a piece; a long middle is replaced by characters that end every pattern."""
     text = F.col("text")

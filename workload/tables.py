@@ -19,6 +19,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Use all cores when a table is so small that its scan has fewer partitions; larger scans stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def template_rows() -> list[tuple]:
     rows = []
     for key, t in TEMPLATES.items():
@@ -47,7 +53,7 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type") == "error", F.concat(F.lit("error-"), (F.col("event_id") % len(FAILURES)).cast("string"))
     ).otherwise(F.col("event_type"))
     events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", key.alias("tkey"))
-    return events.join(F.broadcast(templates(spark)), "tkey")
+    return spread(events).join(F.broadcast(templates(spark)), "tkey")
 
 
 def _events(spark: SparkSession, sf_dir: str, source: Column) -> DataFrame:
@@ -86,9 +92,10 @@ def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Real prose as raw logs."""
-    return read(spark, sf_dir, "documents").select(
+    named = read(spark, sf_dir, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source"), "text"
     )
+    return spread(named)
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
