@@ -111,7 +111,7 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
 
 def render_metrics(result: DataFrame) -> DataFrame:
     """The one metrics row as text and as JSON."""
-    shown = lambda c: F.coalesce(F.format_string("%.3f", c), F.lit("n/a"))
+    shown = lambda c: F.when(c.isNotNull(), F.format_string("%.3f", c)).otherwise("n/a")
     rows = [F.concat(F.rpad(F.lit("  " + r.replace("_", " ")), 27, " "), shown(F.col(r))) for r in RATIOS]
     head = [
         F.format_string("Cases: %d (%d positive, %d negative, %d malformed)", "total", "positive", "negative", "malformed"),
