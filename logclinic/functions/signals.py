@@ -251,8 +251,8 @@ def pattern(phrases: list[str], white: str = WHITE) -> str:
     return "|".join(expand(p, white) for p in phrases)
 
 
-def guard_word(phrase: str) -> str:
-    """Longest literal run every match of ``phrase`` must contain, lower-cased."""
+def guard_words(phrase: str) -> list[str]:
+    """Literal runs every match of ``phrase`` must contain, lower-cased, longest first."""
     text = phrase
     while re.search(r"\([^()]*\)", text):  # groups may be optional or alternative
         text = re.sub(r"\([^()]*\)[?*]?", "\0", text)
@@ -261,7 +261,8 @@ def guard_word(phrase: str) -> str:
     text = re.sub(r".[?*]", "\0", text)
     text = text.replace("\\.", ".").replace("\\", "")
     runs = re.split("[\0\1 +]", text)
-    return max(runs, key=len).lower()
+    words = {r.lower() for r in runs if len(r) >= 3}
+    return sorted(words, key=lambda w: (-len(w), w))
 
 
 def _mask(text: str) -> str:
@@ -286,8 +287,8 @@ def _raw(regex: str) -> str:
 
 
 def _guarded(text: str, low: str, phrases: list[str]) -> str:
-    words = sorted({guard_word(p) for p in phrases})
-    guard = " OR ".join(f"contains({low}, '{w}')" for w in words)
+    guards = {" AND ".join(f"contains({low}, '{w}')" for w in guard_words(p)) for p in phrases}
+    guard = " OR ".join(f"({g})" for g in sorted(guards))
     return f"(({guard}) AND {text} RLIKE {_raw(_JAVA_FLAGS + pattern(phrases))})"
 
 

@@ -29,9 +29,13 @@ def is_blank(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """All lines of ``text`` in order; a final line break opens no further line and an empty text has none."""
-    parts = F.split(text, LINE_BREAK)
-    dropped = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return F.when(text != "", dropped).otherwise(F.array().cast("array<string>"))
+    ends_in_break = F.rlike(F.right(text, F.lit(1)), F.lit("^(?:" + LINE_BREAK + ")"))
+    chopped = (
+        F.when(F.endswith(text, F.lit("\r\n")), F.substring(text, F.lit(1), F.length(text) - 2))
+        .when(ends_in_break, F.substring(text, F.lit(1), F.length(text) - 1))
+        .otherwise(text)
+    )
+    return F.when(text != "", F.split(chopped, LINE_BREAK)).otherwise(F.array().cast("array<string>"))
 
 
 def numbered_lines(text: Column) -> Column:
@@ -42,19 +46,19 @@ def numbered_lines(text: Column) -> Column:
     return F.filter(numbered, lambda s: s["line"] != "")
 
 
-def first_line(text: Column) -> Column:
+def first_line(all_lines: Column) -> Column:
     """First non-blank line, trimmed; null when there is none."""
-    return F.get(F.filter(F.transform(lines(text), strip), lambda x: x != ""), F.lit(0))
+    return F.get(F.filter(F.transform(all_lines, strip), lambda x: x != ""), F.lit(0))
 
 
-def stack_lines(text: Column) -> Column:
+def stack_lines(all_lines: Column) -> Column:
     """The stack-frame lines of a raw log joined by line feeds; null when there is none."""
 
     def is_frame(x: Column) -> Column:
         return reduce(lambda a, b: a | b, [F.startswith(x, F.lit(m)) for m in STACK_LINE_STARTS])
 
-    frames = F.filter(lines(text), is_frame)
-    return F.when(F.size(frames) > 0, F.array_join(frames, "\n"))
+    joined = F.array_join(F.filter(all_lines, is_frame), "\n")
+    return F.nullif(joined, F.lit(""))
 
 
 def clamp(text: Column, limit: int) -> Column:

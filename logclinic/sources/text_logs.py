@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logclinic import schema
-from logclinic.functions.text import first_line, is_blank, stack_lines
+from logclinic.functions.text import first_line, is_blank, lines, stack_lines
 
 #: Accepted size of one input.
 MAX_INPUT_BYTES = 10 * 1024 * 1024
@@ -47,12 +47,13 @@ def text_events(texts: DataFrame) -> DataFrame:
         "seq": F.lit(1).cast("bigint"),
         "platform": F.lit("unknown"),
         "severity": F.lit("ERROR"),
-        "error_message": first_line(F.col("text")),
-        "stacktrace": stack_lines(F.col("text")),
+        "error_message": first_line(F.col("all_lines")),
+        "stacktrace": stack_lines(F.col("all_lines")),
         "payload_text": F.col("text"),
         "source": F.col("source"),
     }
     columns = [
         derived.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.EVENTS.fields
     ]
-    return texts.where(~is_blank(F.col("text"))).select(columns)
+    split = texts.select("source", "text", lines(F.col("text")).alias("all_lines"))
+    return split.where(~is_blank(F.col("text"))).select(columns)
