@@ -8,6 +8,7 @@ text, so a text that carries none of the guard words never reaches the regular-e
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -306,11 +307,41 @@ def oom_condition(low: str) -> str:
     return f"contains({low}, '{OOM_TOKEN.lower()}')"
 
 
+@cache
+def _gated() -> dict[str, dict[str, list[str]]]:
+    """Phrases of all signals by gate: a few short texts so that every phrase needs one of them, largest groups first.
+
+    A text that lacks a gate skips all its phrases with one search.
+    """
+    left = {(name, p): guard_words(p) for name, alternatives in SIGNALS.items() for p in alternatives}
+    groups: dict[str, dict[str, list[str]]] = {}
+    while left:
+        tally: dict[str, int] = {}
+        for words in left.values():
+            for gate in {w[i:j] for w in words for i in range(len(w)) for j in range(i + 4, len(w) + 1)} | set(words):
+                tally[gate] = tally.get(gate, 0) + 1
+        best = max(tally, key=lambda g: (tally[g], len(g), g))
+        for name, p in [k for k, words in left.items() if any(best in w for w in words)]:
+            groups.setdefault(best, {}).setdefault(name, []).append(p)
+            del left[name, p]
+    return groups
+
+
 def signal_mask(text: str = "text", low: str = "low") -> Column:
     """Signals of a text column as a BIGINT bit set (plus the two driver_oom halves), additive with ``bit_or``."""
-    conditions = [signal_condition(name, text, low) for name in ALL_SIGNALS]
-    conditions += [oom_condition(low), _guarded(text, low, DRIVER_HINTS)]
-    return F.expr(" | ".join(f"if({c}, {1 << i}L, 0L)" for i, c in enumerate(conditions)))
+    bit = {name: 1 << i for i, name in enumerate(ALL_SIGNALS)}
+    terms = []
+    for gate, group in _gated().items():
+        bits = [f"if({_guarded(text, low, alternatives)}, {bit[name]}L, 0L)" for name, alternatives in group.items()]
+        terms.append(f"if(contains({low}, '{gate}'), {' | '.join(bits)}, 0L)")
+    hint = _guarded(text, low, DRIVER_HINTS)
+    both = bit["driver_oom"] | 1 << OOM_BIT | 1 << HINT_BIT
+    terms.append(
+        f"if({oom_condition(low)}, if({hint}, {both}L, {1 << OOM_BIT}L), if({hint}, {1 << HINT_BIT}L, 0L))"
+    )
+    stack = signal_condition("stacktrace_present", text, low)
+    terms.append(f"if({stack}, {bit['stacktrace_present']}L, 0L)")
+    return F.expr(" | ".join(f"({t})" for t in terms))
 
 
 def mask_signals(mask: str = "mask") -> Column:
