@@ -33,6 +33,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer_path()).withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logclinic.llm.host_rules import judge
+
+    return judge(documents(spark, sf_dir))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logclinic.llm.jaccard_join import near_duplicates
 
@@ -48,6 +54,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_token_counts": op3_token_counts,
+    "op5_host_rules": op5_host_rules,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
 }
