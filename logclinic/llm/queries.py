@@ -33,12 +33,31 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer_path()).withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logclinic.llm.decontaminate import find_leaks
+
+    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logclinic.llm.host_rules import judge
 
     return judge(documents(spark, sf_dir))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logclinic.llm.pii import find_pii
+
+    found = find_pii(documents(spark, sf_dir))
+    base = ("email", "ip", "card", "phone")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *(count(kind).alias(f"n_{kind}") for kind in base),
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"), joined("spans").alias("spans"),
+    )
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logclinic.llm.jaccard_join import near_duplicates
 
@@ -51,12 +70,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logclinic.llm.language_id import identify
+
+    return identify(documents(spark, sf_dir)).drop("row_hash")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_decontaminate": op4_decontaminate,
     "op5_host_rules": op5_host_rules,
+    "op6_pii": op6_pii,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
+    "op10_language_id": op10_language_id,
 }
 
 #: SQL where it can express the operator.
