@@ -27,6 +27,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logclinic.llm.quality_crf import classify, train
+
+    docs = documents(spark, sf_dir)
+    return classify(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logclinic.llm.token_counts import count_tokens
 
@@ -58,6 +65,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logclinic.llm.masked_lm import score, train
+
+    docs = documents(spark, sf_dir)
+    return score(docs, *train(docs))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logclinic.llm.jaccard_join import near_duplicates
 
@@ -78,10 +92,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_quality_crf": op2_quality_crf,
     "op3_token_counts": op3_token_counts,
     "op4_decontaminate": op4_decontaminate,
     "op5_host_rules": op5_host_rules,
     "op6_pii": op6_pii,
+    "op7_masked_lm": op7_masked_lm,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
