@@ -6,8 +6,8 @@
    others come first in the rare-first order and can match nothing.
 3. The prefix of a class, |x| - ceil(t |x|) + 1 shingles in rare-first order, mostly lies among its unique shingles; what is
    left of it are the join keys.
-4. Near copies meet under hundreds of keys.  Each class is therefore first compared with the smallest class under its
-   commonest keys, and the links found are closed to components.  Then only classes of different components that share a
+4. Near copies meet under hundreds of keys.  Each class is therefore first compared with the most typical class under
+   its commonest keys, and the links found are closed to components.  Then only classes of different components that share a
    key are compared, after length and positional filter.  So every link between components is found, while the pairs
    inside a group of near copies are never written out.
 5. A pair is verified once: a suffix filter bounds the overlap by parts of the sets, then the sets are intersected.
@@ -35,7 +35,7 @@ from logclinic.llm.staging import prepare, shuffle_partitions, staged
 WORDS = 5
 #: Similarity in hundredths.
 PERCENT = 75
-#: Commonest prefix keys under which a class is compared with the smallest class first.
+#: Commonest prefix keys under which a class is compared with the most typical class first.
 STAR_KEYS = 3
 NULL_ID = (1 << 63) - 1
 
@@ -217,10 +217,11 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
             F.sort_array("keys.hash").alias("hashes"),
             F.slice("keys.hash", F.lit(1), F.size("keys") - least + 1).alias("prefix"),
             (F.col("n") - F.size("keys")).alias("n_unique"),
+            (F.aggregate("keys", F.lit(0.0), lambda total, k: total + k["frequency"]) / F.col("n")).alias("commonness"),
         )
     )
     sets = staged(shared, "sets")
-    entries = sets.select("doc_id", "n", "n_unique", F.size("prefix").alias("n_keys"), F.posexplode("prefix").alias("at", "hash"))
+    entries = sets.select("doc_id", "n", "n_unique", "commonness", F.size("prefix").alias("n_keys"), F.posexplode("prefix").alias("at", "hash"))
 
     star = _verified(staged(_star_pairs(entries, percent), "pairs"), sets, percent)
     star_links = staged(star, "links")
@@ -245,28 +246,36 @@ def _similar_lengths(x, y, percent: int):
 
 
 def _star_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Each class with the smallest class under its commonest keys; keys are salted, as many classes may share one."""
+    """Each class with the most typical class under its commonest keys; keys are salted, as many classes may share one.
+
+    The most typical class of a key is the one whose shingles are commonest on average: among edited copies of a text,
+    the least edited one, which links to most others.
+    """
     salted = entries.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
-    smallest = F.min(F.struct("doc_id", "n"))
-    per_salt = salted.groupBy("hash", "salt").agg(smallest.alias("own"))
-    centers = per_salt.join(per_salt.groupBy("hash").agg(F.min("own").alias("center")), "hash").select("hash", "salt", F.col("center.doc_id").alias("b"), F.col("center.n").alias("n_b"))
+    typical = F.max(F.struct("commonness", "doc_id", "n"))
+    per_salt = salted.groupBy("hash", "salt").agg(typical.alias("own"))
+    centers = per_salt.join(per_salt.groupBy("hash").agg(F.max("own").alias("center")), "hash").select("hash", "salt", F.col("center.doc_id").alias("b"), F.col("center.n").alias("n_b"))
     late = salted.filter(F.col("at") >= F.col("n_keys") - STAR_KEYS)
     met = late.join(centers, ["hash", "salt"]).filter((F.col("doc_id") != F.col("b")) & _similar_lengths(F.col("n"), F.col("n_b"), percent))
-    return met.select(F.col("doc_id").alias("a"), "b").distinct()
+    return met.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
 
 
 def _cross_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of different components that share a prefix key and pass the length and positional filter."""
-    labelled = entries.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = labelled.withColumn("place", F.col("n_unique") + F.col("at"))
-    per_key = labelled.groupBy("hash", "component").count().select("hash", "component")
-    mixed = per_key.groupBy("hash").count().filter("count > 1").select("hash")
-    per_key = staged(per_key.join(mixed, "hash"), "keys")
-    one, two = per_key.withColumnRenamed("component", "c_a"), per_key.withColumnRenamed("component", "c_b")
-    wanted = one.join(two, "hash").filter("c_a < c_b")
-    side = lambda s: labelled.select("hash", F.col("component").alias(f"c_{s}"), F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("place").alias(f"p_{s}"))
+    labelled = entries.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+        "hash", "doc_id", "n", (F.col("n_unique") + F.col("at")).alias("place"), F.coalesce("component", "doc_id").alias("component")
+    )
+    # of two components under a key, at most one is the largest there: one side of each pair is outside of it
+    sizes = labelled.groupBy("hash", "component").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("hash").agg(F.max(F.struct("size", "component")).alias("largest"), F.count("*").alias("n_components"))
+    mixed = staged(largest.filter("n_components > 1").select("hash", F.col("largest.component").alias("largest")), "keys")
+    met = staged(labelled.join(mixed, "hash"), "entries")
+    side = lambda s, rows: rows.select("hash", F.col("component").alias(f"c_{s}"), "largest", F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("place").alias(f"p_{s}"))
+    one = side("a", met.filter("component != largest")).drop("largest")
+    two = side("b", met)
     n_a, n_b, p_a, p_b = (F.col(x) for x in ("n_a", "n_b", "p_a", "p_b"))
-    reachable = 1 + F.least(n_a - p_a - 1, n_b - p_b - 1)
+    reachable = F.least(n_a - p_a, n_b - p_b)
     near = _similar_lengths(n_a, n_b, percent) & (reachable * (100 + percent) >= (n_a + n_b) * percent)
-    met = wanted.join(side("a"), ["hash", "c_a"]).join(side("b"), ["hash", "c_b"]).filter(near)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    once = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("largest")) | (F.col("a") < F.col("b")))
+    pairs = one.join(two.withColumnRenamed("hash", "hash_b"), (F.col("hash") == F.col("hash_b")) & once & near)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
