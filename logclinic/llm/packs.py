@@ -7,6 +7,8 @@ import struct
 import numpy as np
 import zstandard
 
+LEVEL = 3
+
 
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays of fixed-width values; bytes of equal rank lie together, so that small values and steps compress."""
@@ -16,7 +18,7 @@ def packed(*arrays: np.ndarray) -> bytes:
         parts.append(struct.pack("<ccQ", one.dtype.kind.encode(), str(width).encode(), len(one)))
         raw = np.ascontiguousarray(one).view(np.uint8)
         parts.append(raw.reshape(len(one), width).T.tobytes() if width > 1 else raw.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(parts))
 
 
 def unpacked(blob: bytes) -> list[np.ndarray]:

@@ -1,13 +1,13 @@
 """Substring dedup by super-k-mer partitioning, with words as letters.
 
-A window is a run of 13 words.  The minimiser of a window is the smallest hash among its runs of three words, so equal
+A window is a run of 13 words.  The minimiser of a window is the smallest hash among its runs of two words, so equal
 windows have equal minimisers, and neighbouring windows mostly share one: they travel together as one packed string (a
 super-k-mer) to the bucket of their minimiser.  Sorting the windows of a bucket by hash, and comparing neighbours word by
 word, finds every window's first document exactly.
 
 A block of texts resolves its own repeats before anything travels and sends each distinct window once, from its first
-document there.  However many copies a passage has, a bucket gets it at most once per block.  A bucket takes its
-super-k-mers in slabs and drops what a slab settled, so its memory does not grow with the number of copies.
+document there.  However many copies a passage has, a bucket gets it at most once per block.  A bucket keeps its strings
+compressed and takes them shelf by shelf, dropping what is settled, so it never sorts much at once.
 
 Null and empty texts have no words.  A null id counts as greater than all ids.  Rows with equal ids never remove each
 other's words; equal rows give equal results.  Other columns are ignored; an empty table gives no rows.
@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from logclinic.llm.blocks import BLOCK_BYTES, blocks, coded, hashes_of, list_array, ranges, rolled, starts_of, words_of
 from logclinic.llm.packs import packed, unpacked
 from logclinic.llm.staging import prepare, shuffle_partitions
+from logclinic.llm.tokens import per_text
 
 WINDOW = 13
-MINIMISER = 3
+MINIMISER = 2
 NULL_ID = (1 << 63) - 1
-#: Words that a bucket sorts together.
-SLAB_WORDS = 4 << 20
+#: Words that a bucket sorts together, and the shelves (by minimiser) it can be taken apart by.
+SLAB_WORDS = 1 << 20
+SHELVES = 256
 
 SENT = "bucket int, payload binary, doc_id long, text_hash long, starts array<int>"
 MARKS = "doc_id long, text_hash long, starts array<int>"
@@ -119,32 +121,38 @@ def _send(width: int, minimiser: int, n_buckets: int):
         new = np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(rows) != 0) | (smallest[1:] != smallest[:-1])])
         first = np.flatnonzero(new)
         n_windows = np.diff(np.append(first, len(starts)))
-        bucket = (((smallest[first] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) * np.uint64(n_buckets)) >> np.uint64(24)
-        order = np.argsort(bucket, kind="stable")
-        borders = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
-        names, blobs, size = [], [], 0
+        spread = (smallest[first] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+        bucket = (spread * np.uint64(n_buckets)) >> np.uint64(32)
+        shelf = ((spread * np.uint64(n_buckets)) & np.uint64(0xFFFFFFFF)) * np.uint64(SHELVES) >> np.uint64(32)
+        place = (bucket * np.uint64(SHELVES) + shelf).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        borders = np.searchsorted(place[order], np.arange(n_buckets + 1) * SHELVES)
+        spaced = pc.binary_join_element_wise(words, pa.scalar("", words.type), pa.scalar(" ", words.type))
+        names, blobs, n_words, size = [], [], [], 0
         for b in range(n_buckets):
             own = order[borders[b] : borders[b + 1]]
             if not len(own):
                 continue
             at, length = starts[first[own]], n_windows[own] + width - 1
             row = rows[first[own]]
-            taken = words.take(pa.array(ranges(at, length)))
-            letters = np.frombuffer(taken.buffers()[2], np.uint8) if taken.buffers()[2] else np.zeros(0, np.uint8)
-            sizes = pc.binary_length(taken).to_numpy(zero_copy_only=False).astype(np.uint32)
+            on_shelf = np.bincount(place[own] - b * SHELVES, minlength=SHELVES).astype(np.uint32)
             texts, text_of = np.unique(row, return_inverse=True)
+            taken = spaced.take(pa.array(ranges(at, length)))
+            n_letters = per_text(pc.binary_length(taken).to_numpy(zero_copy_only=False).astype(np.int64), length).astype(np.uint32)
+            letters = np.frombuffer(taken.buffers()[2], np.uint8)[: int(n_letters.sum())]
             names.append(b)
-            blobs.append(packed(ids[texts], text_hashes[texts], text_of.astype(np.uint32), (at - heads[row]).astype(np.uint32), n_windows[own].astype(np.uint32), sizes, letters[: int(sizes.sum())]))
+            n_words.append(int(length.sum()))
+            blobs.append(packed(on_shelf, ids[texts], text_hashes[texts], text_of.astype(np.uint32), (at - heads[row]).astype(np.uint32), n_windows[own].astype(np.uint32), n_letters, letters))
             size += len(blobs[-1])
             if size > 4 << 20:
-                yield _blobs(names, blobs)
-                names, blobs, size = [], [], 0
+                yield _blobs(names, blobs, n_words)
+                names, blobs, n_words, size = [], [], [], 0
         if names:
-            yield _blobs(names, blobs)
+            yield _blobs(names, blobs, n_words)
 
-    def _blobs(names, blobs):
+    def _blobs(names, blobs, n_words):
         none = pa.nulls(len(names), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary()), none, none, pa.nulls(len(names), pa.list_(pa.int32()))], ["bucket", "payload", "doc_id", "text_hash", "starts"])
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary()), none, none, list_array(np.array(n_words, np.int32), np.ones(len(names), np.int64), pa.int32())], ["bucket", "payload", "doc_id", "text_hash", "starts"])
 
     return send
 
@@ -156,11 +164,18 @@ class _Strings:
         self.words, self.ids, self.text_hashes, self.at, self.n_windows = words, ids, text_hashes, at, n_windows
 
     @classmethod
-    def read(cls, blob: bytes) -> _Strings:
-        ids, text_hashes, text_of, at, n_windows, sizes, letters = unpacked(blob)
-        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        words = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(letters))
-        return cls(words, ids[text_of], text_hashes[text_of], at.astype(np.int64), n_windows.astype(np.int64))
+    def read(cls, blob: bytes, shelves: slice) -> _Strings | None:
+        """The strings on some shelves of a packed blob."""
+        on_shelf, ids, text_hashes, text_of, at, n_windows, n_letters, letters = unpacked(blob)
+        ends = np.cumsum(on_shelf, dtype=np.int64)
+        own = slice(ends[shelves.start] - on_shelf[shelves.start], ends[shelves.stop - 1])
+        if own.start == own.stop:
+            return None
+        after = np.cumsum(n_letters, dtype=np.int64)
+        text = letters[after[own.start] - n_letters[own.start] : after[own.stop - 1]]
+        one = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(text) - 1])), pa.py_buffer(np.ascontiguousarray(text)))
+        words = pc.split_pattern(one, " ").flatten()
+        return cls(words, ids[text_of[own]], text_hashes[text_of[own]], at[own].astype(np.int64), n_windows[own].astype(np.int64))
 
     @classmethod
     def joined(cls, parts: list[_Strings]) -> _Strings:
@@ -193,27 +208,38 @@ class _Strings:
 
 
 def _sort_buckets(width: int):
-    """One bucket, in slabs."""
+    """One bucket, a part of its shelves at a time; of a packed blob, `starts` holds the number of words."""
 
     def sort(batches):
-        held, n_words, settled = [], 0, 0
+        blobs, n_words = [], 0
         for batch in batches:
             is_mark = pc.is_null(batch.column("payload"))
             marks = batch.filter(is_mark)
             if marks.num_rows:
                 yield marks.select(["doc_id", "text_hash", "starts"])
-            for blob in batch.column("payload").filter(pc.invert(is_mark)).to_pylist():
-                held.append(_Strings.read(blob))
-                n_words += len(held[-1].words)
-                if n_words > max(SLAB_WORDS, 2 * settled):
+            some = batch.filter(pc.invert(is_mark))
+            blobs += some.column("payload").to_pylist()
+            n_words += pc.sum(some.column("starts").flatten()).as_py() or 0
+        passes = 1
+        while passes < SHELVES and n_words > passes * SLAB_WORDS:
+            passes *= 2
+        for k in range(passes):
+            held, n_held, settled = [], 0, 0
+            for blob in blobs:
+                strings = _Strings.read(blob, slice(k * SHELVES // passes, (k + 1) * SHELVES // passes))
+                if strings is None:
+                    continue
+                held.append(strings)
+                n_held += len(strings.words)
+                if n_held > 2 * max(SLAB_WORDS, settled):
                     marks, rest = _Strings.joined(held).resolved(width)
-                    held, n_words, settled = [rest], len(rest.words), len(rest.words)
+                    held, n_held, settled = [rest], len(rest.words), len(rest.words)
                     if marks is not None:
                         yield marks
-        if held:
-            marks, _ = _Strings.joined(held).resolved(width)
-            if marks is not None:
-                yield marks
+            if held:
+                marks, _ = _Strings.joined(held).resolved(width)
+                if marks is not None:
+                    yield marks
 
     return sort
 
