@@ -241,6 +241,19 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
     )
 
 
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
+    """One document of each component, the one with the smallest id, with all its columns; equal rows stay once.
+
+    Rows with one id and different texts are told apart by their texts.
+    """
+    kind = docs.schema[doc_id].dataType
+    found = near_duplicates(docs, doc_id=doc_id, text=text, **parameters)
+    first = found.filter("doc_id = component_id OR component_id IS NULL").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__key")).distinct()
+    keyed = docs.withColumn("__key", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)))
+    kept = keyed.join(first, "__key", "left_semi").withColumn("__text", F.xxhash64(text))
+    return kept.dropDuplicates(["__key", "__text"]).select(*(F.col(f"`{c}`").cast(kind) if c == doc_id else F.col(f"`{c}`") for c in docs.columns))
+
+
 def _similar_lengths(x, y, percent: int):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
