@@ -1,0 +1,162 @@
+"""Operators that judge rows: rules, personal data, leaks, language."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from logclinic.llm import decontaminate, host_rules, language_id, pii
+from logclinic.llm.queries import QUERIES
+from tests.llm import plain
+from tests.llm.conftest import SMALL, ordered, pairs_of
+
+
+@pytest.mark.parametrize("table", ["odd", "small"])
+def test_measures(table, request):
+    docs = request.getfixturevalue(table)
+    found = host_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert ordered(found.collect()) == ordered((d, *plain.measures(t)) for d, t in pairs_of(docs))
+
+
+def test_plan_of_rules_is_native(small):
+    plan = host_rules.judge(small)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_bad_host_takes_its_texts_along(spark):
+    good = " ".join(f"word{k}" for k in range(80))
+    rows = [(k, good if k % 20 == 0 else "short", "bad.example") for k in range(200)]
+    rows += [(1000 + k, good if k % 20 else "short", f"good{k % 5}.example") for k in range(300)] + [(5000, good, None), (5001, "short", "single.example"), (5002, good, "single.example")]
+    judged = {r["doc_id"]: r for r in host_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len(judged) == len(rows)
+    assert all(judged[k]["host_rejected"] and not judged[k]["kept"] for k in range(200))
+    assert all(judged[1000 + k]["kept"] == (k % 20 != 0) for k in range(300))
+    assert judged[5000]["kept"] and judged[5002]["kept"]  # one failure of two does not condemn a host
+
+
+PII_TEXT = st.lists(st.sampled_from([*"aZ.@-+ ()019%_é\n", "1.2.3.4", "4111 1111 1111 1111", "+1 (555) 555-0100", "a@b.c", "256.1.1.1", "..", "12345678"]), max_size=20).map("".join)
+
+
+@settings(max_examples=500, deadline=None)
+@given(PII_TEXT)
+def test_base_spans(text):
+    found = pii.find_spans(text, "@" in text, bool(re.search("[0-9]", text)))
+    assert [(k, a, b) for k, a, b, _ in found if k in ("email", "ip", "card", "phone")] == plain.base_spans(text)
+
+
+def test_checksums_and_context():
+    found = lambda t: [(k, t[a:b]) for k, a, b, _ in pii.find_spans(t, "@" in t, True)]
+    assert found("Pay to account DE89 3704 0044 0532 0130 00 TODAY please") == [("iban", "DE89 3704 0044 0532 0130 00")]
+    assert found("Pay to account DE88 3704 0044 0532 0130 00 please") == []
+    assert found("call me at 555-123-4567 tonight") == [("local_phone", "555-123-4567")]
+    assert found("part 555-123-4567 fits") == []
+    assert found('x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y') == [("secret", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff")]
+    assert found('the token = "nodigitshereatall" y1') == []
+    near, far = (next(s for *_, s in pii.find_spans(t, False, True)) for t in ("my card 4111111111111111", "x 4111111111111111"))
+    assert near > far
+    assert pii.masked("a@b.c 1", pii.find_spans("a@b.c 1", True, True)) == "<EMAIL> 1"
+
+
+@pytest.mark.parametrize("table", ["odd", "small"])
+def test_pii_tables(table, request):
+    docs = request.getfixturevalue(table)
+    base = F.filter("spans", lambda s: s["kind"].isin("email", "ip", "card", "phone"))
+    found = pii.find_pii(docs).select("doc_id", base.alias("spans")).collect()
+    assert ordered((r["doc_id"], str([(s["kind"], s["start"], s["end"]) for s in r["spans"]])) for r in found) == ordered((d, str(plain.base_spans(t or ""))) for d, t in pairs_of(docs))
+    redacted = pii.redact(docs)
+    assert redacted.columns == docs.columns and redacted.count() == docs.count()
+    assert redacted.filter("text IS NULL").count() == docs.filter("text IS NULL").count()
+    assert all(not plain.base_spans(t) for _, t in pairs_of(redacted) if t)
+
+
+def test_pii_query(spark, small):
+    found = QUERIES["op6_pii"](spark, SMALL).collect()
+    want = {d: plain.base_spans(t or "") for d, t in pairs_of(small)}
+    for r in found:
+        own = want[r["doc_id"]]
+        assert r["base_sha256"] == plain.digest(",".join(f"{k}:{a}:{b}" for k, a, b in own))
+        assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(sum(s[0] == k for s in own) for k in ("email", "ip", "card", "phone"))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("abc", min_size=1, max_size=12), st.text("abc", max_size=30))
+def test_myers(item, text):
+    assert decontaminate.myers(decontaminate.letter_masks(item), len(item), text)[0] == plain.edit_distance_within(item, text)
+
+
+def test_planted_items(spark):
+    pick = random.Random(4)
+    say = lambda n: " ".join("".join(pick.choices("abcdefgh", k=pick.randint(2, 8))) for _ in range(n))
+    items = [say(25) for _ in range(12)]
+    rows, want = [], {}
+    for k, item in enumerate(items):
+        own = list(item)
+        edits = k * len(item) // decontaminate.EDITS_PER // 11
+        for p in pick.sample(range(len(own)), edits):
+            own[p] = "#"
+        rows.append((k, f"{say(40)} {''.join(own).upper()}\n\n{say(40)}"))
+        want[k] = (k, edits)
+    rows += [(100, say(100)), (101, None), (102, ""), (103, items[0][: len(items[0]) // 2]), (103, items[1].replace(" ", "\n"))]
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)] + [(50, None), (51, ""), (52, "short"), (53, items[1])], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert found == {**{(d, i): e for d, (i, e) in want.items()}, (1, 53): want[1][1], (103, 1): 0, (103, 53): 0}
+    assert sorted(r["doc_id"] for r in decontaminate.without_leaks(docs, bench).collect()) == [100, 101, 102, 103]
+
+
+def test_leaks_against_brute_force(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 300")
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    texts = [(d, decontaminate.normal(t)) for d, t in pairs_of(docs)]
+    want = {(d, r["item_id"]) for r in bench.collect() for d, t in texts if decontaminate.normal(r["text"]) in t}
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 2000)  # several passes
+    found = decontaminate.find_leaks(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found if r["distance"] == 0} == want
+
+
+def test_leaks_of_odd_tables(spark, odd, empty):
+    bench = spark.createDataFrame([(1, "word word word word word word"), (None, "emoji “quotes” and 😀 emoji Ünïcödé")], "item_id long, text string")
+    found = decontaminate.find_leaks(odd, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(21, 1)}
+    assert decontaminate.without_leaks(odd, bench).count() == odd.count() - 1
+    assert decontaminate.find_leaks(empty, bench).count() == 0
+    assert decontaminate.find_leaks(odd, bench.limit(0)).count() == 0
+
+
+def test_language_of_documents(small):
+    found = {r["doc_id"]: r for r in language_id.identify(small).collect()}
+    said = {r["doc_id"]: r["lang"] for r in small.select("doc_id", "lang").collect()}
+    assert len(found) == len(said)
+    assert sum(found[d]["language"] == said[d] for d in said) >= 0.98 * len(said)
+    assert sum(r["accepted"] for r in found.values()) >= 0.99 * len(said)
+    untold = language_id.identify(small.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))).collect()
+    assert sum(r["language"] == said[r["doc_id"]] for r in untold) >= 0.97 * len(said)
+
+
+def test_evidence_of_pages(spark, small):
+    """Markup, suffix and host decide where the text does not."""
+    page = lambda lang: f'<!DOCTYPE html><html class="x" lang="{lang}-XX"><body></body></html>'
+    pages = [(k, "zzz 123", page("fr"), "http://a.example.com/x", "h1") for k in range(3)] + [(10, "zzz", "<html>", "https://shop.example.de:80/", "h2"), (11, None, page("es"), None, None)]
+    known = small.select("doc_id", "text", F.concat(F.lit('<html lang="'), "lang", F.lit('">')).alias("html"), F.lit("http://b.example.com/").alias("url"), "source")
+    table = known.unionAll(spark.createDataFrame(pages, "doc_id long, text string, html string, url string, source string").withColumn("doc_id", F.col("doc_id") + 10_000))
+    found = {r["doc_id"]: r for r in language_id.identify(table, declared=None, markup="html", url="url").collect()}
+    assert [found[10_000 + k]["language"] for k in range(3)] == ["fr"] * 3
+    assert found[10_010]["language"] == "de"
+    assert found[10_011]["language"] == "und" and not found[10_011]["accepted"]
+
+
+def test_language_of_odd_tables(odd, empty):
+    found = language_id.identify(odd).collect()
+    assert len(found) == odd.count()
+    assert all(r["accepted"] is not None and 0 <= r["probability"] <= 1 for r in found)
+    assert sum(r["language"] == "und" and r["probability"] == 0 for r in found) == sum(not plain.words(t) for _, t in pairs_of(odd))
+    kept = language_id.accepted_rows(odd)
+    assert kept.columns == odd.columns
+    assert kept.count() == sum(r["accepted"] for r in found)
+    assert language_id.identify(empty).count() == 0 and language_id.accepted_rows(empty).count() == 0
+    assert host_rules.judge(empty).count() == 0 and pii.find_pii(empty).count() == 0 and pii.redact(empty).count() == 0
