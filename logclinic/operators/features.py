@@ -141,7 +141,7 @@ SOURCE_COLUMNS = [
 PIECE_COLUMNS = ["piece", "cut", "n_lines", "first_line", "last_line", "edge"]
 
 
-def finish(facts: DataFrame) -> DataFrame:
+def finish(facts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Derived columns shared by whole and rejoined sources."""
     return fenced(
         facts.withColumn("signals", S.mask_signals())
@@ -153,7 +153,7 @@ def finish(facts: DataFrame) -> DataFrame:
         )
         .withColumn("error_types", F.array_sort(F.array_union("event_error_types", "text_exceptions")))
         .withColumn("has_stack", F.col("has_stack") | F.array_contains("signals", "stacktrace_present"))
-        .select(SOURCE_COLUMNS)
+        .select(*SOURCE_COLUMNS, *keep)
     )
 
 
@@ -175,9 +175,9 @@ def source_features(events: DataFrame, rules: RuleBase, piece_bytes: int = PIECE
     return finish(whole.unionByName(_rejoined(pieces).select(FEATURE_COLUMNS)))
 
 
-def text_features(pooled: DataFrame, rules: RuleBase) -> DataFrame:
-    """One row of facts per pooled source that is known to be whole."""
-    return finish(scan_text(pooled, rules).select(FEATURE_COLUMNS))
+def text_features(pooled: DataFrame, rules: RuleBase, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row of facts per pooled source that is known to be whole; the columns ``keep`` go along."""
+    return finish(scan_text(pooled, rules).select(*FEATURE_COLUMNS, *keep), keep)
 
 
 def _rejoined(pieces: DataFrame) -> DataFrame:

@@ -16,11 +16,11 @@ MATCH_FIELDS = [
 ]
 
 
-def reports(features: DataFrame, rules: RuleBase) -> DataFrame:
+def reports(features: DataFrame, rules: RuleBase, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per source with its ranked matches, status and message.
 
     The only shuffle moves facts and matches (never text) to one place per source; a source has at most as many
-    matches as there are rules.
+    matches as there are rules.  The columns ``keep`` of the features go along.
     """
     candidates = match_rules(features, rules, keep_unmatched=True).withColumn(
         "evidence", F.when(F.col("rule_id").isNotNull(), evidence_items())
@@ -32,6 +32,7 @@ def reports(features: DataFrame, rules: RuleBase) -> DataFrame:
         F.first("n_events").alias("event_count"),
         F.first("error_types").alias("error_types"),
         F.array_sort(F.collect_list(F.when(F.col("rule_id").isNotNull(), ordered))).alias("matches"),
+        *[F.first(c).alias(c) for c in keep],
     )
     return with_status(grouped)
 
@@ -77,18 +78,3 @@ def top_matches(report: DataFrame) -> DataFrame:
     return report.where(F.size("matches") > 0).select(
         "source", *[F.col("matches")[0][c].alias(c) for c in MATCH_FIELDS]
     )
-
-
-def report_with_empty(report: DataFrame, sources: DataFrame) -> DataFrame:
-    """Add a zero-event report for every source (such as a blank file) that produced no event."""
-    empty = sources.select("source").join(report.select("source"), "source", "left_anti").select(
-        "source",
-        F.lit("unknown").alias("platform"),
-        F.lit(0).cast("bigint").alias("event_count"),
-        F.array().cast("array<string>").alias("error_types"),
-        F.array().cast(report.schema["matches"].dataType).alias("matches"),
-        F.lit("insufficient_evidence").alias("status"),
-        F.lit(None).cast("string").alias("top_band"),
-        F.lit(NO_MATCH_MESSAGE).alias("message"),
-    )
-    return report.unionByName(empty)

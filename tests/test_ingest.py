@@ -86,3 +86,34 @@ def test_context_forms(spark):
     assert [(r["tbl_ord"], r["table_name"], r["column_name"], r["data_type"]) for r in found.schemas.orderBy("tbl_ord", "pos").collect()] == [
         (0, "z", "c", "int"), (0, "z", "d", None), (1, "y", None, None)]
     assert found.plans.count() == 1 and found.log_lines.first()["line"] == "x"
+
+
+def test_one_scan_per_table_and_no_join_of_inputs(spark):
+    """Inputs are parsed, validated and pooled inside their rows."""
+    from workload.input_queries import input_status
+
+    plan = input_status(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") == 2
+    assert "SortMergeJoin" not in plan and "anti" not in plan.lower()
+
+
+def test_repeated_lines_and_wrong_items_keep_their_places(spark):
+    rows = [
+        ("a.jsonl", '\n{"message": "one"}\n\n[1]\n{'),
+        ("b.json", '[{"message": "x"}, 5, {"severity": "loud"}]'),
+        ("c.json", '{"severity": "loud"}'),
+        ("d.json", "7"),
+        ("e.jsonl", ""),
+        ("f.json", '[]'),
+        ("g.log", " \n"),
+    ]
+    given = spark.createDataFrame([(n, len(t), t) for n, t in rows], "source string, size long, text string")
+    found = {r["source"]: (r["status"], r["message"], r["event_count"]) for r in diagnose_inputs(given).collect()}
+    assert found["a.jsonl"][:2] == ("input_error", "not_object at 4")
+    assert found["b.json"][:2] == ("input_error", "item_not_object at 2")
+    assert found["c.json"][:2] == ("input_error", "invalid_field:severity at 1")
+    assert found["d.json"][:2] == ("input_error", "not_object_or_array at 1")
+    assert {n: found[n][0] for n in ("e.jsonl", "f.json", "g.log")} == dict.fromkeys(("e.jsonl", "f.json", "g.log"), "insufficient_evidence")
+    assert all(found[n][2] == 0 for n in ("e.jsonl", "f.json", "g.log"))
+    small = {r["source"]: r["message"] for r in diagnose_inputs(given, max_bytes=10).collect()}
+    assert small["a.jsonl"] == "too_large"

@@ -19,10 +19,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Use all cores when a table is so small that its scan has fewer partitions; larger scans stay as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over the session's shuffle partitions, whatever the size: given tables may be a single file."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def template_rows() -> list[tuple]:
@@ -53,7 +52,7 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type") == "error", F.concat(F.lit("error-"), (F.col("event_id") % len(FAILURES)).cast("string"))
     ).otherwise(F.col("event_type"))
     events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", key.alias("tkey"))
-    return spread(events).join(F.broadcast(templates(spark)), "tkey")
+    return dealt(events, "event_id").join(F.broadcast(templates(spark)), "tkey")
 
 
 def _events(spark: SparkSession, sf_dir: str, source: Column) -> DataFrame:
@@ -95,7 +94,7 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = read(spark, sf_dir, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source"), "text"
     )
-    return spread(named)
+    return dealt(named, "source")
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
