@@ -66,7 +66,7 @@ def _post(width: int, n_buckets: int):
     """Rows of each document, and packed postings of the classes of a block."""
 
     def post(batches):
-        for block in blocks(batches, 24 << 20):
+        for block in blocks(batches):
             hashes, counts = shingle_sets(block.column("text"), width)
             ids = block.column("doc_id").to_numpy(zero_copy_only=False)
             heads = np.cumsum(counts) - counts
@@ -119,7 +119,7 @@ def _post(width: int, n_buckets: int):
 
 def _count(batches):
     """One bucket: frequencies of its hashes; postings of the hashes that two or more classes have."""
-    parts = []
+    parts, classes, n_classes = [], [], 0
     for batch in batches:
         is_row = pc.is_null(batch.column("payload"))
         rows = batch.filter(is_row)
@@ -127,16 +127,20 @@ def _count(batches):
             yield _shared(rows.column("doc_id"), rows.column("n"), rows.column("digest_a"), rows.column("digest_b"), pa.nulls(rows.num_rows, pa.int64()), pa.nulls(rows.num_rows, pa.int32()))
         for blob in batch.column("payload").filter(pc.invert(is_row)).to_pylist():
             moves, index, id_steps, digest, n = unpacked(blob)
-            parts.append((np.cumsum(moves), np.cumsum(id_steps)[index], digest[index], n[index].astype(np.int32)))
+            parts.append((np.cumsum(moves), (index.astype(np.uint32) + np.uint32(n_classes))))
+            classes.append((np.cumsum(id_steps), digest, n.astype(np.int32)))
+            n_classes += len(n)
     if not parts:
         return
-    hashes, ids, digest, n = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    hashes, owners = (np.concatenate([p[k] for p in parts]) for k in range(2))
     parts.clear()
-    order = np.argsort(hashes, kind="stable")
-    sorted_hashes = hashes[order]
-    new = np.concatenate([[True], sorted_hashes[1:] != sorted_hashes[:-1]])
-    several = order[~(new & np.concatenate([new[1:], [True]]))]
-    hashes, ids, digest, n = hashes[several], ids[several], digest[several], n[several]
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    several = ~(new & np.concatenate([new[1:], [True]]))
+    hashes, owners = hashes[several], owners[order[several]]
+    del order, new, several
+    ids, digest, n = (np.concatenate([c[k] for c in classes])[owners] for k in range(3))
     order = np.lexsort((ids, digest, hashes))
     hashes, ids, digest, n = hashes[order], ids[order], digest[order], n[order]
     new_hash = np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)]
