@@ -90,13 +90,27 @@ def run_history(runs: DataFrame, limit: int | None = None) -> DataFrame:
     return previous.select("source", "ordinal", *_RUN).withColumn("error", redact(F.col("error")))
 
 
-def compare_runs(runs: DataFrame) -> DataFrame:
-    """Current run next to the first previous one; sources without both are left out."""
+def compare_runs(runs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Current run next to the first previous one; sources without both are left out.
+
+    ``wanted`` (source, base, other) names the runs instead; an id that is null there keeps its default, and among runs
+    of one name previous ones go first.
+    """
+    if wanted is None:
+        named = runs.withColumns({"base_name": F.lit(None).cast("string"), "other_name": F.lit(None).cast("string")})
+    else:
+        named = runs.join(wanted.select("source", F.col("base").alias("base_name"), F.col("other").alias("other_name")), "source")
+    order = F.struct("is_current", "ordinal")
+
+    def chosen(name: str, default: Column) -> Column:
+        fits = F.when(F.col(name).isNull(), default).otherwise(F.col("run_id") == F.col(name))
+        return F.min_by(F.when(fits, _run_struct()), F.when(fits, order))
+
     return (
-        runs.groupBy("source")
+        named.groupBy("source")
         .agg(
-            F.max(F.when(F.col("is_current"), _run_struct())).alias("base"),
-            F.min_by(F.when(~F.col("is_current"), _run_struct()), F.when(~F.col("is_current"), F.col("ordinal"))).alias("other"),
+            chosen("base_name", F.col("is_current")).alias("base"),
+            chosen("other_name", ~F.col("is_current")).alias("other"),
         )
         .where(F.col("base").isNotNull() & F.col("other").isNotNull())
         .select(

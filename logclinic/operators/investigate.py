@@ -158,10 +158,10 @@ def probe_signals(lines: DataFrame, rules: RuleBase) -> DataFrame:
     events = returned.select(
         *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.EVENTS.fields]
     )
-    parts = F.split("source", "\x1f")
-    return source_features(events, rules).select(
-        parts[0].alias("source"), parts[1].cast("int").alias("probe_no"), "signals", "head"
-    )
+    # the number holds no separator, a source may
+    number = F.substring_index("source", "\x1f", -1)
+    own = F.left("source", F.length("source") - F.length(number) - 1)
+    return source_features(events, rules).select(own.alias("source"), number.cast("int").alias("probe_no"), "signals", "head")
 
 
 def verify_probes(results: DataFrame, signals: DataFrame, asked: DataFrame) -> DataFrame:

@@ -75,6 +75,14 @@ def match_positive(features: DataFrame, rules: RuleBase) -> DataFrame:
     return _by_signal(features, rules, "positive")
 
 
+def match_uncontradicted(features: DataFrame, rules: RuleBase) -> DataFrame:
+    """(source, rule_id, signal) for every supporting signal of a rule none of whose negative signals was observed."""
+    declared = rules.table(features.sparkSession).select("rule_id", "negative", F.explode("positive").alias("signal"))
+    observed = features.select("source", "signals", F.explode("signals").alias("signal"))
+    joined = observed.join(F.broadcast(declared), "signal").where(~F.arrays_overlap("signals", "negative"))
+    return joined.select("source", "rule_id", "signal")
+
+
 def match_negative(features: DataFrame, rules: RuleBase) -> DataFrame:
     """(source, rule_id) for every rule one of whose negative signals was observed."""
     return _by_signal(features, rules, "negative").select("source", "rule_id").distinct()

@@ -7,46 +7,27 @@ from pyspark.sql import functions as F
 
 from logclinic import schema
 from logclinic.functions.signals import ALL_SIGNALS
-from logclinic.rules.base import signal_table
+from logclinic.rules.base import format_checks, problems_of, signal_table, with_defaults
 from logclinic.rules.catalog import FAMILIES
 
-# --- fixed values -----------------------------------------------------------------------------------------
-RULE_ID = r"^[A-Z0-9]+-\d{3}$"
-SIGNAL_NAME = r"^[a-z][a-z0-9_]*$"
-CATEGORY = r"^[a-z0-9]+(\.[a-z0-9_]+)*$"
-PLATFORM = r"^[a-z][a-z0-9_-]*$"
-# ----------------------------------------------------------------------------------------------------------
-
-
 def scan_rules(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """JSON rule texts to rules and problems; an id given twice is a problem and none of its rules is kept."""
+    """JSON rule texts to rules (absent lists empty) and problems; an id given twice is a problem and none of its rules is kept."""
     parsed = texts.select(F.from_json("text", schema.RULES).alias("rule")).select("rule.*")
     unreadable = parsed.where("rule_id IS NULL").select(F.lit(None).cast("string").alias("rule_id"), F.lit("unreadable").alias("problem"))
     counts = parsed.where("rule_id IS NOT NULL").groupBy("rule_id").agg(F.count("*").alias("n"))
     twice = counts.where("n > 1").select("rule_id", F.lit("duplicate_id").alias("problem"))
     good = parsed.join(counts.where("n = 1").select("rule_id"), "rule_id", "left_semi")
-    return good, twice.unionByName(unreadable)
+    return with_defaults(good), twice.unionByName(unreadable)
 
 
 def validate_rules(rules: DataFrame) -> DataFrame:
-    """(rule_id, problem) for every format rule a definition breaks."""
-    signals = F.concat("positive", "negative")
-    bad = lambda names, pattern: F.exists(names, lambda n: ~F.rlike(n, F.lit(pattern)))
-    repeated = lambda names: F.size(F.array_distinct(names)) < F.size(names)
-    checks = {
-        "invalid_id": ~F.rlike("rule_id", F.lit(RULE_ID)),
-        "invalid_category": ~F.rlike("category", F.lit(CATEGORY)),
-        "no_platform": F.size("platforms") == 0,
-        "invalid_platform": bad("platforms", PLATFORM),
-        "duplicate_platform": repeated("platforms"),
-        "invalid_signal": bad(signals, SIGNAL_NAME),
-        "duplicate_signal": repeated("positive") | repeated("negative"),
+    """(rule_id, problem) for every format rule a definition breaks and for everything it lacks."""
+    complete = {
         "no_trigger": (F.size("exceptions") == 0) & (F.size("positive") == 0),
         "no_hypothesis": F.size("hypotheses") == 0,
         "no_reference": F.size("refs") == 0,
     }
-    found = F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in checks.items()]))
-    return rules.select("rule_id", F.explode(found).alias("problem"))
+    return problems_of(rules, {**format_checks(), **complete})
 
 
 def registry(spark: SparkSession) -> DataFrame:

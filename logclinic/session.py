@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -23,8 +21,13 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a local one only where nothing is set."""
+    """Use the shared folder that ``spark.checkpoint.dir`` names; without one there is no place all executors see."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="logclinic-checkpoint-"))
+        if shared is None and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            # one machine: driver and executors share its disk
+            shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/.logclinic-checkpoints"
+        if shared is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared)

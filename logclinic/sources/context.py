@@ -36,30 +36,52 @@ def parse_context(texts: DataFrame) -> ParsedContext:
     A mapping that breaks these forms is rejected as a whole.
     """
     first = lambda a, b: f"coalesce({_v(a)}, {_v(b)})"
+    given = {"runs": first("previous_runs", "runs"), "logs": first("log_lines", "logs"), "schemas": _v("schemas"), "metrics": _v("metrics"), "plan": _v("query_plan")}
     doc = fenced(
         texts.selectExpr("source", "text", "try_parse_json(text) AS doc").selectExpr(
             "source",
             "text",
             "doc",
             f"{_v('current_run')} AS current_run",
-            f"try_variant_get({first('previous_runs', 'runs')}, '$', 'array<variant>') AS previous",
-            f"try_variant_get({first('log_lines', 'logs')}, '$', 'array<string>') AS logs",
-            f"try_variant_get({_v('schemas')}, '$', 'map<string,variant>') AS schemas",
-            f"try_variant_get({_v('metrics')}, '$', 'map<string,variant>') AS metrics",
+            *[f"{v} AS given_{n}" for n, v in given.items()],
+            f"try_variant_get({given['runs']}, '$', 'array<variant>') AS previous",
+            f"try_variant_get({given['logs']}, '$', 'array<variant>') AS log_items",
+            f"try_variant_get({given['logs']}, '$', 'array<string>') AS logs",
+            f"try_variant_get({given['schemas']}, '$', 'map<string,variant>') AS schemas",
+            f"try_variant_get({given['metrics']}, '$', 'map<string,variant>') AS metrics",
             # key order only survives in the text itself
             "json_object_keys(get_json_object(text, '$.schemas')) AS tables",
             "json_object_keys(get_json_object(text, '$.metrics')) AS measured",
         )
     )
     is_map = lambda v: f"startswith({_kind(v)}, 'OBJECT')"
-    is_run = lambda v: f"({is_map(v)} OR {_kind(v)} = 'STRING')"
+    absent_or = lambda v, test: f"({_kind(v)} = 'VOID' OR {test})"
+    is_list = lambda v: f"startswith({_kind(v)}, 'ARRAY')"
+    texts_in = lambda values: f"forall(coalesce({values}, array()), t -> {_kind('t')} = 'STRING')"
+    text_fields = lambda v, *names: " AND ".join(absent_or(_v(n, v), f"{_kind(_v(n, v))} = 'STRING'") for n in names)
+    is_run = lambda v: f"({_kind(v)} = 'STRING' OR ({is_map(v)} AND {text_fields(v, 'run_id', 'status', 'job', 'stage', 'error')}))"
+
+    def text_list(v: str) -> str:
+        values = f"try_variant_get({v}, '$', 'array<variant>')"
+        return absent_or(v, f"({is_list(v)} AND {texts_in(values)})")
+
+    def text_map(v: str) -> str:
+        values = f"map_values(try_variant_get({v}, '$', 'map<string,variant>'))"
+        return absent_or(v, f"({is_map(v)} AND {texts_in(values)})")
+
+    is_schema = lambda v: f"({is_map(v)} AND {text_fields(v, 'table')} AND {text_list(_v('columns', v))} AND {text_map(_v('data_types', v))})"
+    is_metric = lambda v: (
+        f"({_kind(v)} RLIKE {_NUMBER} OR ({is_map(v)} AND {text_fields(v, 'name', 'unit', 'window')} "
+        f"AND {_kind(_v('value', v))} RLIKE {_NUMBER} AND {text_map(_v('labels', v))}))"
+    )
     reason = (
         f"CASE WHEN NOT {is_map('doc')} THEN 'not_a_mapping' "
         f"WHEN NOT (is_variant_null(coalesce(current_run, parse_json('null'))) OR {is_run('current_run')}) THEN 'current_run' "
-        f"WHEN exists(coalesce(previous, array()), r -> NOT {is_run('r')}) THEN 'previous_runs' "
-        f"WHEN exists(map_values(coalesce(schemas, map())), s -> NOT {is_map('s')}) THEN 'schemas' "
-        f"WHEN exists(map_values(coalesce(metrics, map())), m -> NOT ({is_map('m')} OR {_kind('m')} RLIKE {_NUMBER})) "
-        "THEN 'metrics' END"
+        f"WHEN NOT {absent_or('given_runs', is_list('given_runs'))} OR exists(coalesce(previous, array()), r -> NOT {is_run('r')}) THEN 'previous_runs' "
+        f"WHEN NOT {absent_or('given_logs', is_list('given_logs'))} OR NOT {texts_in('log_items')} THEN 'log_lines' "
+        f"WHEN NOT {absent_or('given_schemas', is_map('given_schemas'))} OR exists(map_values(coalesce(schemas, map())), s -> NOT {is_schema('s')}) THEN 'schemas' "
+        f"WHEN NOT {absent_or('given_metrics', is_map('given_metrics'))} OR exists(map_values(coalesce(metrics, map())), m -> NOT {is_metric('m')}) THEN 'metrics' "
+        f"WHEN NOT {absent_or('given_plan', f"{_kind('given_plan')} = 'STRING'")} THEN 'query_plan' END"
     )
     checked = fenced(doc.selectExpr("*", f"{reason} AS reason"))
     good = checked.where("reason IS NULL")

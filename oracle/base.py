@@ -79,8 +79,12 @@ def exception_list(column: str) -> str:
 CTES: dict[str, str] = {}
 
 
+#: Expressions read many times: pooled texts and what is searched in them.
+MATERIALIZED = re.compile("_(pool|sig|lines|hits|names)$")
+
+
 def cte(name: str, body: str) -> None:
-    CTES[name] = f"{name} AS ({body})"
+    CTES[name] = f"{name} AS {'MATERIALIZED ' if MATERIALIZED.search(name) else ''}({body})"
 
 
 def statement(select: str, extra: dict[str, str] | None = None) -> str:

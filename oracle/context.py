@@ -56,7 +56,7 @@ cte("cstop", "SELECT source, rule_id, max(probe_no) AS n_probes, min(probe_no) F
 cte("crecord", """SELECT t.source, t.rule_id, CASE WHEN NOT (f.has_plan OR f.t1 IS NOT NULL OR f.has_metrics OR f.has_current OR f.has_previous OR f.has_logs) THEN 'insufficient_context' WHEN s.stop_no IS NULL AND s.n_probes > 8 THEN 'limit_reached' ELSE 'success' END AS status, coalesce(s.stop_no, least(s.n_probes, 8), 0) AS tool_calls, s.stop_no IS NOT NULL AS contradicted, v.contradiction, v.tool AS contradicted_by, s.n_probes FROM ctop t JOIN cflags f ON f.source = t.source LEFT JOIN cstop s ON s.source = t.source LEFT JOIN cverified v ON v.source = t.source AND v.probe_no = s.stop_no""")
 
 # JSON contexts, answered from the columns they were written from
-cte("xorder", "SELECT 'o' || o_orderkey AS source, o_orderkey AS k, o_orderstatus AS st, o_orderpriority AS pr, CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN 'previous_runs' WHEN '5-LOW' THEN 'metrics' END AS reason FROM orders")
+cte("xorder", "SELECT 'o' || o_orderkey AS source, o_orderkey AS k, o_orderstatus AS st, o_orderpriority AS pr, CASE WHEN o_custkey % 20 IN (4, 5) OR (o_orderpriority = '4-NOT SPECIFIED') THEN 'previous_runs' WHEN o_custkey % 20 = 0 THEN 'log_lines' WHEN o_custkey % 20 IN (2, 3) THEN 'schemas' WHEN o_custkey % 20 = 1 OR o_orderpriority = '5-LOW' THEN 'metrics' WHEN o_custkey % 20 = 6 THEN 'query_plan' END AS reason FROM orders")
 cte("xgood", "SELECT * FROM xorder WHERE reason IS NULL")
 SQL = {
     "context_normalize": """SELECT source, 'error' AS kind, 0 AS ord, reason AS content FROM xorder WHERE reason IS NOT NULL

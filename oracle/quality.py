@@ -25,7 +25,7 @@ _ABSTAIN = "expected_status = 'input_error' OR expected_ids = ''"
 _BANDED = f"{_POS} AND expected_band IS NOT NULL"
 # user rules written from the part table
 _BRAND = "replace(p_brand, '#', '')"
-cte("urule0", f"""SELECT CASE WHEN p_size % 7 = 0 THEN lower(p_brand) || lpad((p_partkey % 1000)::VARCHAR, 3, '0') ELSE upper({_BRAND}) || '-' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') END AS rule_id, p_name AS rname, CASE WHEN p_size % 5 = 0 THEN p_type ELSE 'parts.' || lower(p_type) END AS category, 'medium' AS severity, CASE p_size % 6 WHEN 0 THEN [] WHEN 1 THEN ['spark', 'spark'] WHEN 2 THEN ['Spark!'] ELSE ['spark'] END AS platforms, p_size % 4 = 0 AS no_exc, CASE p_size % 3 WHEN 0 THEN [] WHEN 1 THEN ['data_skew', 'data_skew'] ELSE ['executor_oom', 'Bad Signal'] END AS positive, CASE WHEN p_size % 2 = 0 THEN ['dns_failure'] ELSE ['no_such_' || lower({_BRAND})] END AS negative, p_size % 8 = 0 AS no_hyp, p_size % 9 = 0 AS no_ref FROM part""")
+cte("urule0", f"""SELECT CASE WHEN p_size % 7 = 0 THEN lower(p_brand) || lpad((p_partkey % 1000)::VARCHAR, 3, '0') ELSE upper({_BRAND}) || '-' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') END AS rule_id, CASE WHEN p_size % 13 > 0 THEN p_name END AS rname, CASE WHEN p_size % 5 = 0 THEN p_type ELSE 'parts.' || lower(p_type) END AS category, CASE WHEN p_size % 11 = 0 THEN 'loud' ELSE 'medium' END AS severity, CASE p_size % 6 WHEN 0 THEN [] WHEN 1 THEN ['spark', 'spark'] WHEN 2 THEN ['Spark!'] ELSE ['spark'] END AS platforms, p_size % 4 = 0 AS no_exc, CASE p_size % 3 WHEN 0 THEN [] WHEN 1 THEN ['data_skew', 'data_skew'] ELSE ['executor_oom', 'Bad Signal'] END AS positive, CASE WHEN p_size % 2 = 0 THEN ['dns_failure'] ELSE ['no_such_' || lower({_BRAND})] END AS negative, p_size % 8 = 0 AS no_hyp, p_size % 9 = 0 AS no_ref FROM part""")
 cte("urule", "SELECT * FROM urule0 WHERE rule_id IN (SELECT rule_id FROM urule0 GROUP BY rule_id HAVING count(*) = 1)")
 cte("arule", "SELECT rule_id, rname, category, severity, platforms, no_exc, positive, negative, no_hyp, no_ref FROM urule UNION ALL SELECT r.rule_id, r.rname, r.category, r.severity, (SELECT list(platform ORDER BY ordinal) FROM rule_plat p WHERE p.rule_id = r.rule_id), r.rule_id NOT IN (SELECT rule_id FROM rule_exc), (SELECT list(signal ORDER BY ordinal) FROM rule_pos p WHERE p.rule_id = r.rule_id), coalesce((SELECT list(signal ORDER BY ordinal) FROM rule_neg p WHERE p.rule_id = r.rule_id), []), FALSE, FALSE FROM rules r")
 CTES["family_title"] = values("family_title", "family, title, place", [(f, t, i + 1) for i, (f, t) in enumerate(FAMILIES.items())])
@@ -33,6 +33,8 @@ _SIGNALS = "list_concat(positive, negative)"
 _CHECKS = {
     "invalid_id": r"NOT regexp_matches(rule_id, '^[A-Z0-9]+-\d{3}$')",
     "invalid_category": r"NOT regexp_matches(category, '^[a-z0-9]+(\.[a-z0-9_]+)*$')",
+    "no_name": "rname IS NULL",
+    "invalid_severity": "severity NOT IN ('critical', 'high', 'medium', 'low')",
     "no_platform": "len(platforms) = 0",
     "invalid_platform": "len(list_filter(platforms, lambda x: NOT regexp_matches(x, '^[a-z][a-z0-9_-]*$'))) > 0",
     "duplicate_platform": "len(list_distinct(platforms)) < len(platforms)",

@@ -11,7 +11,7 @@ from logclinic.operators import evidence as E
 from logclinic.operators import features as X
 from logclinic.operators import reports as P
 from logclinic.operators.annotate import annotate_events
-from logclinic.operators.matching import match_exceptions, match_negative, match_positive, match_rules, with_rule_attributes
+from logclinic.operators.matching import match_exceptions, match_positive, match_uncontradicted, match_rules, with_rule_attributes
 from logclinic.operators.pooling import has_metadata, pool, pool_single
 from logclinic.plans.diagnose import diagnose_events
 from logclinic.rules.base import RuleBase
@@ -82,8 +82,7 @@ def positive(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def negative_anti(spark: SparkSession, sf: str) -> DataFrame:
-    found = features(spark, sf)
-    return match_positive(found, RULES).join(match_negative(found, RULES), ["source", "rule_id"], "left_anti")
+    return match_uncontradicted(features(spark, sf), RULES)
 
 
 def declared_exceptions(spark: SparkSession, sf: str) -> DataFrame:

@@ -235,22 +235,23 @@ def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user rule base as JSON texts, one per part; many of them are faulty on purpose."""
     size = F.col("p_size")
-    none = F.array().cast("array<string>")
+    none, absent = F.array().cast("array<string>"), F.lit(None).cast("array<string>")
     brand = F.replace("p_brand", F.lit("#"), F.lit(""))
     number = F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0")
     fields = {
         "rule_id": F.when(size % 7 == 0, F.concat(F.lower("p_brand"), number)).otherwise(F.concat(F.upper(brand), F.lit("-"), number)),
-        "name": F.col("p_name"),
+        "name": F.when(size % 13 > 0, F.col("p_name")),
         "category": F.when(size % 5 == 0, F.col("p_type")).otherwise(F.concat(F.lit("parts."), F.lower("p_type"))),
-        "severity": F.lit("medium"),
-        "platforms": F.when(size % 6 == 0, none).when(size % 6 == 1, F.array(F.lit("spark"), F.lit("spark")))
+        "severity": F.when(size % 11 == 0, "loud").when(size % 11 > 1, "medium"),
+        "platforms": F.when(size % 12 == 0, none).when(size % 12 == 6, absent).when(size % 6 == 1, F.array(F.lit("spark"), F.lit("spark")))
         .when(size % 6 == 2, F.array(F.lit("Spark!"))).otherwise(F.array(F.lit("spark"))),
-        "exceptions": F.when(size % 4 == 0, none).otherwise(F.array(F.concat(brand, F.lit("Error")))),
-        "positive": F.when(size % 3 == 0, none).when(size % 3 == 1, F.array(F.lit("data_skew"), F.lit("data_skew")))
+        "exceptions": F.when(size % 8 == 0, none).when(size % 8 == 4, absent).otherwise(F.array(F.concat(brand, F.lit("Error")))),
+        "positive": F.when(size % 6 == 0, none).when(size % 6 == 3, absent).when(size % 3 == 1, F.array(F.lit("data_skew"), F.lit("data_skew")))
         .otherwise(F.array(F.lit("executor_oom"), F.lit("Bad Signal"))),
         "negative": F.when(size % 2 == 0, F.array(F.lit("dns_failure"))).otherwise(F.array(F.concat(F.lit("no_such_"), F.lower(brand)))),
-        "hypotheses": F.when(size % 8 == 0, none).otherwise(F.array(F.lit("worn_part"))),
-        "refs": F.when(size % 9 == 0, F.array().cast(schema.RULES["refs"].dataType)).otherwise(
+        "hypotheses": F.when(size % 16 == 0, none).when(size % 16 == 8, absent).otherwise(F.array(F.lit("worn_part"))),
+        "refs": F.when(size % 18 == 0, F.array().cast(schema.RULES["refs"].dataType)).when(
+            size % 18 != 9,
             F.array(F.struct(F.lit("manual").alias("title"), F.lit("https://example.org/").alias("url")))
         ),
     }
@@ -267,10 +268,17 @@ def context_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs_key = F.when(priority == "1-URGENT", "runs").otherwise("previous_runs")
     older = F.when(priority == "4-NOT SPECIFIED", '["a", 7]').otherwise('[{"status": "done", "job": "j"}, "b"]')
     metric = F.when(priority == "5-LOW", '"many"').otherwise(F.concat(F.lit('{"value": 2.5, "unit": "mb", "labels": {"stage": "'), key, F.lit('"}}')))
+    # containers and fields of a wrong kind
+    form = F.col("o_custkey") % 20
+    logs = F.when(form == 0, '"one line"').otherwise(F.concat(F.lit('["l'), key, F.lit('", ""]')))
+    measured = F.when(form == 1, "[1]").otherwise(F.concat(F.lit('{"rows": '), key, F.lit(', "bytes": '), metric, F.lit("}")))
+    snapshots = F.when(form == 2, '"s"').when(form == 3, '{"t": {"columns": [1]}}').otherwise(
+        '{"t2": {"columns": ["b", "a"], "data_types": {"a": "int"}}, "t1": {"table": "x", "columns": ["c"]}}'
+    )
+    older = F.when(form == 4, '{"a": 1}').when(form == 5, '[{"run_id": "a", "status": 5}]').otherwise(older)
+    plan = F.when(form == 6, "7").otherwise(F.concat(F.lit('"Scan '), key, F.lit('"')))
     text = F.concat(
-        F.lit('{"current_run": '), current, F.lit(', "'), runs_key, F.lit('": '), older, F.lit(', "logs": ["l'), key,
-        F.lit('", ""], "metrics": {"rows": '), key, F.lit(', "bytes": '), metric,
-        F.lit('}, "schemas": {"t2": {"columns": ["b", "a"], "data_types": {"a": "int"}}, "t1": {"table": "x", "columns": ["c"]}}, "query_plan": "Scan '),
-        key, F.lit('"}'),
+        F.lit('{"current_run": '), current, F.lit(', "'), runs_key, F.lit('": '), older, F.lit(', "logs": '), logs, F.lit(', "metrics": '), measured,
+        F.lit(', "schemas": '), snapshots, F.lit(', "query_plan": '), plan, F.lit("}"),
     )
     return read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), key).alias("source"), text.alias("text"))
