@@ -19,10 +19,7 @@ RATIOS = [
 
 
 def grade(cases: DataFrame, reports: DataFrame) -> DataFrame:
-    """One row per case: prediction next to expectation, and a note for every difference.
-
-    Every shipped rule carries actions, so a report with a match always offers a remedy.
-    """
+    """One row per case: prediction next to expectation, and a note for every difference."""
     top = F.get("matches", F.lit(0))
     predicted = reports.select(
         "source",
@@ -31,7 +28,7 @@ def grade(cases: DataFrame, reports: DataFrame) -> DataFrame:
         F.col("top_band").alias("predicted_band"),
         top["score"].alias("top_score"),
         F.coalesce(F.size(top["evidence"]) > 0, F.lit(False)).alias("has_evidence"),
-        top.isNotNull().alias("has_remediation"),
+        F.coalesce(top["n_actions"] > 0, F.lit(False)).alias("has_remediation"),
     )
     quoted = lambda c: F.coalesce(F.concat(F.lit("'"), c, F.lit("'")), F.lit("none"))
     listed = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
@@ -123,3 +120,14 @@ def render_metrics(result: DataFrame) -> DataFrame:
         F.concat_ws("\n", *head, *rows).alias("text"),
         F.to_json(F.struct(*result.columns), {"ignoreNullFields": "false"}).alias("json"),
     )
+
+
+def render_findings(graded: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """(section, name, line): a row for every failing case with its notes and for every regression."""
+    failing = graded.where(~F.col("ok")).select(
+        F.lit("failure").alias("section"), "name", F.concat(F.lit("FAIL "), "name", F.lit(": "), F.array_join("notes", "; ")).alias("line")
+    )
+    if baseline is None:
+        return failing
+    lost = regressions(graded, baseline)
+    return failing.unionByName(lost.select(F.lit("regression").alias("section"), "name", F.concat(F.lit("REGRESSED "), "name").alias("line")))

@@ -171,7 +171,7 @@ def verify_probes(results: DataFrame, signals: DataFrame, asked: DataFrame) -> D
         .join(asked.select("source", "positive", "negative"), "source")
         .withColumn("signals", F.coalesce("signals", F.array().cast("array<string>")))
         .select(
-            "source", "rule_id", "probe_no", "tool", "status", "n_lines", "head",
+            "source", "rule_id", "probe_no", "tool", "arg1", "arg2", "status", "n_lines", "head",
             F.get(F.array_intersect("negative", "signals"), F.lit(0)).alias("contradiction"),
             F.array_intersect("positive", "signals").alias("supports"),
         )
@@ -197,7 +197,7 @@ def investigate(
         .withColumn("stopped_at", F.min(F.when(F.col("contradiction").isNotNull(), F.col("call_no"))).over(Window.partitionBy("source")))
         .where((F.col("call_no") <= limit) & (F.col("stopped_at").isNull() | (F.col("call_no") <= F.col("stopped_at"))))
     )
-    fields = ["probe_no", "tool", "status", "contradiction", "supports", "head"]
+    fields = ["probe_no", "tool", "arg1", "arg2", "status", "n_lines", "contradiction", "supports", "head"]
     folded = executed.groupBy("source").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("calls"))
     record = fenced(plan.join(folded, "source", "left"))
     last = "element_at(calls, -1)"
@@ -245,4 +245,17 @@ def investigate(
         "contradicted_by",
         "contradiction_evidence",
         "findings",
+        # what was asked in order, with the number of returned lines and the start of the answer
+        F.when(
+            F.col("has_context"),
+            F.transform(
+                F.coalesce("calls", F.filter(F.array(F.get("calls", F.lit(0))), lambda c: c.isNotNull())),
+                lambda c: F.struct(
+                    c["tool"].alias("tool"), F.array_compact(F.array(c["arg1"], c["arg2"])).alias("params"), c["status"].alias("status"),
+                    c["n_lines"].alias("lines"), clamp(F.coalesce(c["head"], F.lit("")), 160).alias("detail"),
+                ),
+            ),
+        ).alias("calls"),
+        F.lit(max_iterations).alias("max_iterations"),
+        F.lit(max_calls).alias("max_tool_calls"),
     )

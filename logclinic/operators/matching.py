@@ -106,4 +106,4 @@ def with_rule_attributes(matches: DataFrame, rules: RuleBase) -> DataFrame:
     return matches.join(F.broadcast(rules.table(matches.sparkSession)), "rule_id")
 
 
-_RULE_COLUMNS = ["rule_id", "name", "category", "severity_rank", "platforms", "exceptions", "positive"]
+_RULE_COLUMNS = ["rule_id", "name", "category", "severity_rank", "platforms", "exceptions", "positive", "n_actions"]

@@ -12,7 +12,7 @@ from logclinic.rules.base import RuleBase
 
 MATCH_FIELDS = [
     "severity_rank", "rule_id", "name", "category", "score", "band", "matched_signals", "matched_exceptions",
-    "evidence",
+    "evidence", "n_actions",
 ]
 
 

@@ -107,6 +107,7 @@ class RuleBase:
             self.table(spark)
             .withColumn("rule_keys", keyed)
             .withColumn("trigger", F.explode("rule_keys"))
+            .withColumn("n_actions", F.size("immediate") + F.size("recommended") + F.size("prevention"))
             .drop("hypotheses", "immediate", "recommended", "prevention", "refs", "severity")
         )
 

@@ -69,7 +69,7 @@ UNION ALL SELECT source, 'plan', 0, 'Scan ' || k FROM xgood
 UNION ALL SELECT source, 'log', 1, 'l' || k FROM xgood
 UNION ALL SELECT source, 'log', 2, '' FROM xgood""",
     "get_logs": f"SELECT source, n, {redact('line')} AS line FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n) AS rn FROM (SELECT source, n, line FROM vlogs UNION ALL SELECT source, n, line FROM vdoclines) WHERE {stripped('line')} <> '') WHERE rn <= 5",
-    "search_logs": "SELECT source, count(*) AS matches, min(n) AS first_no FROM vlogs WHERE contains(lower(line), 'spark') GROUP BY source",
+    "search_logs": f"SELECT source, n, {redact('line')} AS line, matches, first_no FROM (SELECT source, n, line, row_number() OVER (PARTITION BY source ORDER BY n) AS rn, count(*) OVER (PARTITION BY source) AS matches, min(n) OVER (PARTITION BY source) AS first_no FROM vlogs WHERE contains(lower(line), 'spark')) WHERE rn <= 3",
     "get_run": f"SELECT source, run_id, status, job, stage, {redact('error')} AS error, 'current' AS asked FROM vruns WHERE n = 1 UNION ALL SELECT r.source, r.run_id, r.status, r.job, r.stage, {redact('r.error')}, 'named' FROM vruns r JOIN (SELECT 'c' || o_custkey AS source, 'run-' || min(o_orderkey) AS run_id FROM orders GROUP BY o_custkey) w ON w.source = r.source AND w.run_id = r.run_id",
     "run_history": f"SELECT source, ordinal, run_id, status, job, stage, {redact('error')} AS error FROM vruns WHERE n BETWEEN 2 AND 4",
     "compare_runs": "SELECT b.source, b.run_id AS base_run, o.run_id AS other_run, b.status AS base_status, o.status AS other_status, b.stage AS base_stage, o.stage AS other_stage FROM vruns b JOIN vruns o ON o.source = b.source AND b.n = 1 AND o.n = 2",

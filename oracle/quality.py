@@ -56,4 +56,9 @@ SQL = {
     "catalog_list": "SELECT rule_id, rname AS name, category, severity, array_to_string(platforms, ', ') AS platforms FROM arule",
     "catalog_groups": f"SELECT g.family, n_rules, name_width, first_id, coalesce(t.title, upper(substr(g.family, 1, 1)) || lower(substr(g.family, 2))) AS title, coalesce(t.place, {len(FAMILIES) + 1}) AS place FROM (SELECT split_part(category, '.', 1) AS family, count(*) AS n_rules, max(length(rname)) AS name_width, min(rule_id) AS first_id FROM arule GROUP BY 1) g LEFT JOIN family_title t USING (family)",
 }
+_RATIOS = ["accuracy", "precision", "recall", "abstention_quality", "confidence_calibration", "evidence_coverage", "unsupported_claim_rate", "remediation_coverage", "regression_rate", "tool_efficiency"]
+_SHOWN = " || chr(10) || ".join(f"'  ' || rpad('{r.replace('_', ' ')}', 25, ' ') || coalesce(printf('%.3f', {r}), 'n/a')" for r in _RATIOS)
+_HEAD = "'Cases: ' || total || ' (' || positive || ' positive, ' || negative || ' negative, ' || malformed || ' malformed)' || chr(10) || 'Result: ' || passed || '/' || total || ' passed' || chr(10) || chr(10) || 'Metrics' || chr(10) || "
+SQL["eval_render"] = f"""SELECT 'summary' AS section, '' AS name, {_HEAD}{_SHOWN} AS line FROM ({SQL['eval_metrics']})
+UNION ALL SELECT 'failure', source, 'FAIL ' || source || ': ' || notes FROM qgrade WHERE notes <> '' UNION ALL SELECT 'regression', bname, 'REGRESSED ' || bname FROM qregr"""
 STATEMENTS = {name: statement(sql) for name, sql in SQL.items()}

@@ -102,3 +102,40 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination(120)
     got = {r["source"].rsplit("/", 1)[-1]: r["status"] for r in spark.read.parquet(out).collect()}
     assert got == {"a.log": "diagnosed", "b.log": "insufficient_evidence"}
+
+
+def test_investigation_is_shown_in_every_report(spark):
+    from logclinic.operators.investigate import Context
+    from logclinic.plans.investigate import investigation
+
+    frame = events(spark, {"source": "s", "error_message": "org.apache.spark.FetchFailedException: data skew", "platform": "spark"})
+    report = diagnose_events(frame, RULES)
+    none = lambda schema: spark.createDataFrame([], schema)
+    context = Context(
+        none("source string, ordinal long, is_current boolean, run_id string, status string, job string, stage string, error string"),
+        none("source string, tbl_ord int, table_name string, pos int, column_name string, data_type string"),
+        none("source string, ord long, name string, value double, unit string, labels map<string,string>, window string"),
+        none("source string, plan string"),
+        spark.createDataFrame([("s", 1, "Missing an output location for shuffle 3")], "source string, n long, line string"),
+    )
+    record = investigation(report, context, RULES).record
+    first = record.first()
+    assert first["calls"] and first["max_tool_calls"] == 20 and first["max_iterations"] == 8
+    assert {c["tool"] for c in first["calls"]} >= {"search_logs"} and all(c["status"] for c in first["calls"])
+    shown = R.report_json(report, RULES, record).first()["json"]
+    assert '"investigation":{"rule_id"' in shown and '"calls":[{' in shown
+    markdown, plain = R.report_markdown(report, RULES, record).first()["markdown"], R.report_text(report, RULES, record).first()["text"]
+    for text in (markdown, plain):
+        assert "Investigation" in text and "of 20 tool calls" in text and "search_logs" in text
+    assert '"investigation":null' in R.report_json(report, RULES).first()["json"]
+
+
+def test_remediation_needs_actions(spark):
+    from logclinic.operators.evaluate import grade
+
+    rules = [("OWN-001", "Own", "own.thing", "critical", ["spark"], ["LateError"], [], [], ["h"], [], [], [], [("t", "u")]),
+             ("OWN-002", "Other", "own.thing", "high", ["spark"], ["EarlyError"], [], [], ["h"], [], ["do"], [], [("t", "u")])]
+    own = RuleBase.from_table(spark.createDataFrame(rules, RULES.table(spark).drop("severity_rank").schema))
+    found = diagnose_events(events(spark, {"source": "a", "error_type": "LateError"}, {"source": "b", "error_type": "EarlyError"}), own)
+    cases = spark.createDataFrame([(s, "positive", s, s, "insufficient_evidence", ["OWN"], None) for s in "ab"], "name string, kind string, label string, source string, expected_status string, expected_ids array<string>, expected_band string")
+    assert {r["name"]: r["has_remediation"] for r in grade(cases, found).collect()} == {"a": False, "b": True}

@@ -23,8 +23,9 @@ def get_logs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_logs(spark: SparkSession, sf: str) -> DataFrame:
-    _, counts = C.search_logs(C.context_lines(W.log_lines(spark, sf)), "Spark")
-    return counts
+    """The first three hits of every source with the number of all its hits."""
+    hits, counts = C.search_logs(C.context_lines(W.log_lines(spark, sf)), "Spark", limit=3)
+    return hits.join(counts, "source").select("source", "n", "line", "matches", "first_no")
 
 
 def get_run(spark: SparkSession, sf: str) -> DataFrame:

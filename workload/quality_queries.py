@@ -48,7 +48,10 @@ def eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eval_render(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.render_metrics(Q.metrics(graded(spark, sf), W.baseline(spark, sf)))
+    """The summary, every failing case and every regression, as lines."""
+    frame, earlier = graded(spark, sf), W.baseline(spark, sf)
+    summary = Q.render_metrics(Q.metrics(frame, earlier)).select(F.lit("summary").alias("section"), F.lit("").alias("name"), F.col("text").alias("line"))
+    return summary.unionByName(Q.render_findings(frame, earlier))
 
 
 def baseline_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
