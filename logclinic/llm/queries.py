@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logclinic.llm.statements import STATEMENTS  # noqa: F401 - the SQL of these queries, where SQL can express them
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -102,6 +104,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
 }
-
-#: SQL where it can express the operator.
-STATEMENTS: dict[str, str] = {}
