@@ -59,7 +59,17 @@ def regressions(graded: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def metrics(graded: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
-    """One row of counts and ratios; a ratio without any case to judge is null."""
+    """One row of counts and ratios; a ratio without any case to judge is null.
+
+    The graded cases meet the baseline once, by name, and one aggregation counts everything.
+    """
+    rows = graded.withColumn("is_case", F.lit(True))
+    if baseline is None:
+        rows = rows.withColumn("passed_before", F.lit(False))
+    else:
+        earlier = baseline.where("ok").select("name", F.lit(True).alias("passed_before"))
+        rows = rows.join(earlier, "name", "full")
+    is_case, before, ok = (F.coalesce(c, F.lit(False)) for c in ("is_case", "passed_before", "ok"))
     positive = F.col("kind") == "positive"
     emitted = F.coalesce(F.col("predicted_status") == "diagnosed", F.lit(False))
     abstains = (F.col("expected_status") == "input_error") | (F.size("expected_ids") == 0)
@@ -69,28 +79,21 @@ def metrics(graded: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
     def ratio(hits: Column, base: Column) -> Column:
         return F.try_divide(F.count_if(base & hits), F.count_if(base))
 
-    one = graded.agg(
-        F.count("*").alias("total"),
-        F.count_if("ok").alias("passed"),
+    return rows.agg(
+        F.count_if(is_case).alias("total"),
+        F.count_if(ok).alias("passed"),
         *[F.count_if(F.col("kind") == k).alias(k) for k in ("positive", "negative", "malformed")],
-        F.try_divide(F.count_if("ok"), F.count("*")).alias("accuracy"),
-        ratio(F.col("ok"), emitted).alias("precision"),
-        ratio(F.col("ok") & emitted, positive).alias("recall"),
-        ratio(F.col("ok"), abstains).alias("abstention_quality"),
+        ratio(ok, is_case).alias("accuracy"),
+        ratio(ok, emitted).alias("precision"),
+        ratio(ok & emitted, positive).alias("recall"),
+        ratio(ok, abstains).alias("abstention_quality"),
         ratio(F.coalesce(F.col("predicted_band") == F.col("expected_band"), F.lit(False)), banded).alias("confidence_calibration"),
         ratio(evidenced, emitted).alias("evidence_coverage"),
         ratio(~evidenced | F.coalesce(F.col("top_score") < MEDIUM_FROM, F.lit(False)), emitted).alias("unsupported_claim_rate"),
         ratio(remedied, emitted).alias("remediation_coverage"),
+        ratio(~ok, before).alias("regression_rate"),
+        F.lit(None).cast("double").alias("tool_efficiency"),
     )
-    if baseline is None:
-        rate = one.withColumn("regression_rate", F.lit(None).cast("double"))
-    else:
-        failed = regressions(graded, baseline).select(F.lit(1).alias("bad"), F.lit(0).alias("base"))
-        passed = baseline.where("ok").select(F.lit(0).alias("bad"), F.lit(1).alias("base"))
-        share = failed.unionByName(passed).agg(F.try_divide(F.sum("bad"), F.sum("base")).alias("regression_rate"))
-        # two one-row results side by side
-        rate = one.withColumn("one", F.lit(1)).join(share.withColumn("one", F.lit(1)), "one").drop("one")
-    return rate.withColumn("tool_efficiency", F.lit(None).cast("double"))
 
 
 def baseline_of(graded: DataFrame) -> DataFrame:
@@ -131,3 +134,33 @@ def render_findings(graded: DataFrame, baseline: DataFrame | None = None) -> Dat
         return failing
     lost = regressions(graded, baseline)
     return failing.unionByName(lost.select(F.lit("regression").alias("section"), "name", F.concat(F.lit("REGRESSED "), "name").alias("line")))
+
+
+_CASE_FILE = "name string, kind string, expected struct<status: string, diagnosis_ids: array<string>, confidence_band: string>"
+
+
+def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled cases below a folder, and their inputs (source, size, content).
+
+    A case is a folder with ``case.json`` and an ``input.*`` file, the first by name; its name and kind default to the
+    folder's name and the parent folder's.  A case without expected status or input is refused.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    placed = files.select(
+        F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), F.col("path").alias("source"), F.col("length").alias("size"), "content"
+    )
+    described = placed.where("file = 'case.json'").select("folder", F.from_json(F.col("content").cast("string"), _CASE_FILE).alias("c"))
+    inputs = placed.where("file LIKE 'input.%'").groupBy("folder").agg(F.min_by(F.struct("source", "size", "content"), "file").alias("i"))
+    both = described.join(inputs, "folder", "left")
+    folder = F.split("folder", "/")
+    refused = F.raise_error(F.concat(F.lit("case without expected status or input file: "), "folder"))
+    cases = both.select(
+        F.coalesce("c.name", F.element_at(folder, -1)).alias("name"),
+        F.coalesce("c.kind", F.element_at(folder, -2)).alias("kind"),
+        F.concat_ws("/", F.element_at(folder, -2), F.element_at(folder, -1)).alias("label"),
+        F.col("i.source").alias("source"),
+        F.when(F.col("c.expected.status").isNull() | F.col("i").isNull(), refused.cast("string")).otherwise(F.col("c.expected.status")).alias("expected_status"),
+        F.coalesce("c.expected.diagnosis_ids", F.array().cast("array<string>")).alias("expected_ids"),
+        F.col("c.expected.confidence_band").alias("expected_band"),
+    )
+    return cases, both.where("i IS NOT NULL").select("i.*")

@@ -72,3 +72,19 @@ def catalog_groups(rules: DataFrame) -> DataFrame:
         .withColumn("title", F.coalesce(F.try_element_at(titles, F.col("family")), F.initcap(F.translate("family", "_", " "))))
         .withColumn("place", F.when(place == 0, len(FAMILIES) + 1).otherwise(place).cast("bigint"))
     )
+
+
+def catalog_text(rules: DataFrame) -> DataFrame:
+    """(family, place, text): a title with the number of rules, then one aligned line per rule in the order of ids.
+
+    A family is part of a rule base of checked size.
+    """
+    groups = catalog_groups(rules).select("family", "title", "n_rules", "name_width", "place")
+    placed = rules.withColumn("family", F.split("category", r"\.")[0]).join(groups, "family")
+    pad = F.repeat(F.lit(" "), (F.col("name_width") - F.length("name")).cast("int"))
+    line = F.concat(
+        F.lit("  "), F.rpad("rule_id", 18, " "), F.lit(" "), "name", pad, F.lit("  "), F.rpad("severity", 8, " "), F.lit(" "), F.array_join("platforms", ", ")
+    )
+    grouped = placed.groupBy("family", "place", "title", "n_rules").agg(F.array_sort(F.collect_list(F.struct("rule_id", line.alias("line")))).alias("members"))
+    head = F.concat("title", F.lit(" ("), F.col("n_rules").cast("string"), F.lit(")"))
+    return grouped.select("family", "place", F.concat_ws("\n", head, F.col("members.line")).alias("text"))

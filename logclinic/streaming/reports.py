@@ -10,12 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logclinic.plans.ingest import decode_inputs, diagnose_inputs
 from logclinic.rules.base import RuleBase
+from logclinic.sources.text_logs import MAX_INPUT_BYTES
 
 _FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def stream_reports(
-    spark: SparkSession, path: str, out: str, checkpoint: str, rules: RuleBase | None = None
+    spark: SparkSession, path: str, out: str, checkpoint: str, rules: RuleBase | None = None, max_bytes: int = MAX_INPUT_BYTES
 ) -> StreamingQuery:
     """Diagnose the files now in ``path`` and not seen before, append their reports to ``out``, then stop."""
     rules = rules or RuleBase.shipped()
@@ -24,7 +25,7 @@ def stream_reports(
     def write(batch: DataFrame, batch_id: int) -> None:
         inputs = batch.selectExpr("path AS source", "length AS size", "content")
         # one folder per batch: a batch that is run again after a failure replaces its own output
-        diagnose_inputs(decode_inputs(inputs), rules).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        diagnose_inputs(decode_inputs(inputs), rules, max_bytes=max_bytes).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
         files.writeStream.foreachBatch(write)

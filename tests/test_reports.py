@@ -139,3 +139,23 @@ def test_remediation_needs_actions(spark):
     found = diagnose_events(events(spark, {"source": "a", "error_type": "LateError"}, {"source": "b", "error_type": "EarlyError"}), own)
     cases = spark.createDataFrame([(s, "positive", s, s, "insufficient_evidence", ["OWN"], None) for s in "ab"], "name string, kind string, label string, source string, expected_status string, expected_ids array<string>, expected_band string")
     assert {r["name"]: r["has_remediation"] for r in grade(cases, found).collect()} == {"a": False, "b": True}
+
+
+def test_labelled_folders(spark, tmp_path):
+    from logclinic.operators.evaluate import grade, metrics, read_corpus
+    from logclinic.plans.ingest import decode_inputs, diagnose_inputs
+
+    log = "org.apache.spark java.lang.OutOfMemoryError: Java heap space"
+    for kind, name, case, text in [
+        ("positive", "oom", '{"expected": {"status": "diagnosed", "diagnosis_ids": ["SPARK-001"]}}', log),
+        ("negative", "calm", '{"name": "quiet", "expected": {"status": "insufficient_evidence"}}', "all good"),
+    ]:
+        folder = tmp_path / kind / name
+        folder.mkdir(parents=True)
+        (folder / "case.json").write_text(case)
+        (folder / "input.log").write_text(text)
+    cases, files = read_corpus(spark, str(tmp_path))
+    graded = grade(cases, diagnose_inputs(decode_inputs(files), RULES))
+    found = {r["name"]: (r["kind"], r["label"], r["predicted_status"]) for r in graded.collect()}
+    assert found == {"oom": ("positive", "positive/oom", "diagnosed"), "quiet": ("negative", "negative/calm", "insufficient_evidence")}
+    assert metrics(graded).first()["total"] == 2

@@ -97,6 +97,10 @@ def catalog_groups(spark: SparkSession, sf: str) -> DataFrame:
     return V.catalog_groups(_all_rules(spark, sf))
 
 
+def catalog_text(spark: SparkSession, sf: str) -> DataFrame:
+    return V.catalog_text(_all_rules(spark, sf).where("name IS NOT NULL"))
+
+
 def _reports(spark: SparkSession, sf: str) -> DataFrame:
     return diagnose_events(W.failure_events(spark, sf), RULES)
 
@@ -130,6 +134,7 @@ QUERIES = {
     "validate_refs": validate_refs,
     "catalog_list": catalog_list,
     "catalog_groups": catalog_groups,
+    "catalog_text": catalog_text,
     "report_json": report_json,
     "report_markdown": report_markdown,
     "report_text": report_text,
