@@ -155,7 +155,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int =
         if count < 2:
             break
         tasks = -(-count // TASK_ITEMS)
-        dealt = open_items.repartition(tasks, F.xxhash64("item", F.lit(turn))) if tasks > 1 else open_items.coalesce(1)
+        dealt = open_items.repartition(tasks, F.xxhash64("item", F.lit(turn))) if tasks > 1 else open_items.repartition(1)
         packed = staged(dealt.mapInArrow(_packed_again(capacity), item_schema), "round")
         closed.append(packed.filter(F.col("length") >= most))
         open_items = packed.filter(F.col("length") < most)
