@@ -1,8 +1,8 @@
 """Personal data: expressions propose spans, checksums confirm them, words nearby adjust their scores.
 
 Kinds that always stand once confirmed: email, ip (parts at most 255), card (Luhn), phone (9 to 15 digits).  Added kinds
-need a score of at least `LEAST_SCORE`: iban (mod 97), local_phone (no country code) and secret (an assigned key), which
-gain by context words nearby.  An added span that overlaps one of the first four is dropped.
+need a score of at least `LEAST_SCORE`: iban (mod 97), local_phone (no country code), secret (an assigned key) and key_id
+(keys of a known form), which gain by context words nearby.  An added span that overlaps one of the first four is dropped.
 
 Offsets count code points, ends are exclusive.  Null and empty texts have no span; null texts stay null when redacted.
 Rows with equal ids are searched one by one; an empty table gives no rows.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from logclinic.llm.blocks import blocks
 from logclinic.llm.staging import prepare
 
-KINDS = ("email", "ip", "card", "phone", "iban", "local_phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "iban", "local_phone", "secret", "key_id")
 LEAST_SCORE = 0.5
 #: Characters before a span in which context words count.
 NEARBY = 40
@@ -35,6 +35,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3,4}\)?[\x20-][0-9]{3}[\x20-][0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9+/_=.-]{16,})")
+KEY_ID = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[0-9A-Za-z_-]{35})(?![A-Za-z0-9])")
+#: Texts without any of these hold nothing but e-mail addresses.
+WORTHWHILE = "[0-9]|AKIA|gh[pousr]_|AIza"
 
 #: Words before a span that make its kind likelier.
 CONTEXT = {
@@ -45,8 +48,9 @@ CONTEXT = {
     "iban": ("iban", "account", "bank"),
     "local_phone": ("phone", "call", "tel", "mobile", "fax"),
     "secret": ("token", "key", "secret", "password"),
+    "key_id": ("key", "access", "credential"),
 }
-PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "local_phone": 0.3, "secret": 0.4}
+PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "local_phone": 0.3, "secret": 0.4, "key_id": 0.7}
 CONTEXT_GAIN = 0.3
 
 SPANS = "spans array<struct<kind: string, start: int, end: int, score: double>>"
@@ -111,6 +115,8 @@ def _proposed(text: str):
         value = m[1]
         if re.search("[0-9]", value) and re.search("[A-Za-z]", value):
             yield "secret", m.start(1), m.end(1)
+    for m in KEY_ID.finditer(text):
+        yield "key_id", m.start(), m.end()
 
 
 def find_spans(text: str, has_at: bool, has_digit: bool) -> list[tuple[str, int, int, float]]:
@@ -157,7 +163,7 @@ def _search(column: str, replace: bool):
         for block in blocks(batches):
             texts = block.column(column)
             has_at = pc.fill_null(pc.match_substring(texts, "@"), False).to_pylist()
-            has_digit = pc.fill_null(pc.match_substring_regex(texts, "[0-9]"), False).to_pylist()
+            has_digit = pc.fill_null(pc.match_substring_regex(texts, WORTHWHILE), False).to_pylist()
             rows = [k for k, (a, d) in enumerate(zip(has_at, has_digit, strict=True)) if a or d]
             some = dict(zip(rows, texts.take(pa.array(rows, pa.int64())).to_pylist(), strict=True))
             found = {k: find_spans(text, has_at[k], has_digit[k]) for k, text in some.items()}
