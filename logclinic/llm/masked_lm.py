@@ -64,7 +64,7 @@ class Network:
         rows = np.arange(len(targets))
         scores = h @ self.group + self.group_bias
         found = scores[rows, groups] - log_sum(scores)
-        order = np.argsort(groups, kind="stable")
+        order = np.argsort(groups.astype(np.uint8), kind="stable")
         borders = np.searchsorted(groups[order], np.arange(GROUPS + 1))
         for g in range(GROUPS):
             own = order[borders[g] : borders[g + 1]]
@@ -84,7 +84,7 @@ class Network:
         step = np.float32(rate / n)
         self.group += step * (h.T @ error)
         self.group_bias += step * error.sum(axis=0)
-        order = np.argsort(groups, kind="stable")
+        order = np.argsort(groups.astype(np.uint8), kind="stable")
         borders = np.searchsorted(groups[order], np.arange(GROUPS + 1))
         for g in range(GROUPS):
             own = order[borders[g] : borders[g + 1]]
@@ -99,7 +99,7 @@ class Network:
         self.hidden += step * (total.T @ back)
         for j in range(2 * SIDE):
             # rows of one word are added up first, so that a word changes once per step
-            by_word = np.argsort(around[:, j], kind="stable")
+            by_word = np.argsort(around[:, j].astype(np.uint16), kind="stable")
             sorted_words = around[by_word, j]
             heads = np.flatnonzero(np.diff(sorted_words, prepend=-1))
             self.near[j, sorted_words[heads]] += np.float32(4) * np.add.reduceat(to_total[by_word], heads, axis=0)
