@@ -27,14 +27,16 @@ _STACK = alias("stacktrace", "stackTrace", "stack_trace", "traceback")
 _PLAIN = ", ".join(f"json_extract_string(v, '$.{n}') AS {n}" for n in ("id", "service", "job", "stage", "task"))
 _BAD = " ".join(f"WHEN coalesce(json_type(json_extract(v, '$.{n}')), 'NULL') NOT IN ('VARCHAR', 'NULL') THEN 'invalid_field:{n}'" for n in ("id", "platform", "service", "job", "stage", "task"))
 _SEV = "upper(json_extract_string(v, '$.severity'))"
-cte("jchecked", f"SELECT source, seq, coalesce(reason, CASE {_BAD} WHEN {_SEV} NOT IN ('TRACE', 'DEBUG', 'INFO', 'WARN', 'ERROR', 'FATAL') THEN 'invalid_field:severity' END) AS reason, {_PLAIN}, coalesce(json_extract_string(v, '$.platform'), 'unknown') AS platform, coalesce({_SEV}, 'ERROR') AS severity, {_TYPE} AS error_type, {_MESSAGE} AS error_message, {_STACK} AS stacktrace, coalesce(len(json_keys(coalesce(json_extract(v, '$.event_attributes'), json_extract(v, '$.eventAttributes'), '{{}}'::JSON))), 0)::BIGINT AS n_attributes FROM items")
+_ATTRIBUTES = "coalesce(json_extract(v, '$.event_attributes'), json_extract(v, '$.eventAttributes'), '{}'::JSON)"
+_SHOWN = f"array_to_string(list_transform(list_sort(json_keys({_ATTRIBUTES})), lambda k: k || '=' || json_extract_string({_ATTRIBUTES}, '$.' || k)), ',')"
+cte("jchecked", f"SELECT source, seq, coalesce(reason, CASE {_BAD} WHEN {_SEV} NOT IN ('TRACE', 'DEBUG', 'INFO', 'WARN', 'ERROR', 'FATAL') THEN 'invalid_field:severity' END) AS reason, {_PLAIN}, coalesce(json_extract_string(v, '$.platform'), 'unknown') AS platform, coalesce({_SEV}, 'ERROR') AS severity, {_TYPE} AS error_type, {_MESSAGE} AS error_message, {_STACK} AS stacktrace, coalesce(len(json_keys(coalesce(json_extract(v, '$.event_attributes'), json_extract(v, '$.eventAttributes'), '{{}}'::JSON))), 0)::BIGINT AS n_attributes, {_SHOWN} AS attributes FROM items")
 cte("jerror", "SELECT source, min(seq) AS seq, arg_min(reason, seq) AS reason FROM jchecked WHERE reason IS NOT NULL GROUP BY source")
 cte("jevent", "SELECT * EXCLUDE (reason) FROM jchecked WHERE source NOT IN (SELECT source FROM jerror)")
 cte("fevents", "SELECT source, seq, platform, service, job, stage, task, error_type, error_message, stacktrace, NULL AS payload_text, CASE WHEN n_attributes > 0 THEN 'x' END AS attributes FROM jevent UNION ALL SELECT source, 1, 'unknown', NULL, NULL, NULL, NULL, NULL, error_message, stacktrace, text, NULL FROM tevent")
 diagnosis_chain("f", "fevents")
 cte("outcome", """SELECT x.source, CASE WHEN e.source IS NOT NULL THEN 'input_error' ELSE coalesce(r.status, 'insufficient_evidence') END AS status, CASE WHEN e.source IS NULL THEN coalesce(r.platform, 'unknown') END AS platform, CASE WHEN e.source IS NULL THEN coalesce(r.event_count, 0) END AS event_count, r.top_rule, r.top_score, r.top_band, r.n_matches, CASE WHEN e.source IS NOT NULL THEN e.reason || ' at ' || e.seq ELSE coalesce(r.message, 'No diagnosis matched the available evidence. There is insufficient evidence to support a conclusion.') END AS message FROM files x LEFT JOIN jerror e USING (source) LEFT JOIN f_report r USING (source)""")
 
-_EVENT = "source, seq, id, platform, service, job, stage, task, severity, error_type, error_message, stacktrace, n_attributes"
+_EVENT = "source, seq, id, platform, service, job, stage, task, severity, error_type, error_message, stacktrace, n_attributes, coalesce(attributes, '') AS attributes"
 SQL = {
     "detect_format": "SELECT source, format FROM files",
     "size_guard": "SELECT source, 'too_large' AS reason FROM files WHERE size > 4096",
