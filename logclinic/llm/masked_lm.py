@@ -5,9 +5,10 @@ a hidden layer, and a softmax in two steps, first over groups of words of simila
 document's score is the sum of the log probabilities of all its words, each given its neighbours.
 
 Word counts cover the whole corpus and are grouped by Spark; the most frequent words form the vocabulary, all others share
-one entry.  Every task trains on all its texts from the same start, and the tasks' parameters are averaged, weighted by
-words, in slices that are spread over tasks.  Only the vocabulary and the averaged parameters, both of fixed size, pass
-through the driver.
+one entry.  Texts are dealt by their hash over training tasks whose number follows from the words of the corpus.  In each
+round every task trains on its texts from the last average, and the tasks' parameters are averaged, weighted by words, in
+slices that are spread over tasks; passes over all texts go on until held-out texts stop gaining.  Only the vocabulary and
+the averaged parameters, both of fixed size, pass through the driver.
 
 Null and empty texts have no word; their sum is 0 and their mean null.  Rows with equal ids are scored one by one, equal
 texts score alike; other columns are ignored; an empty table gives no rows.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logclinic.llm.blocks import blocks, coded, words_of
-from logclinic.llm.staging import prepare
+from logclinic.llm.staging import prepare, staged
 from logclinic.llm.tokens import per_text
 
 GROUPS = 32
@@ -34,6 +35,18 @@ RATE = 0.5
 BATCH = 2048
 SLICES = 16
 
+#: Words of a training task in a pass: at least so many, and so many times the root of all words, so that a larger corpus
+#: means more tasks and more steps in each.
+TASK_WORDS = 1 << 21
+TASK_WORDS_GROWTH = 64
+#: Rounds of a pass, after each of which the tasks are averaged; a round has at least so many words per task.
+ROUNDS = 4
+ROUND_WORDS = 1 << 16
+#: One text of so many is held out, to see when training ends: when a pass gains less than this per word.
+HELD_OUT = 64
+LEAST_GAIN = 0.01
+ENTRY_BYTES = 2 << 20
+
 UNKNOWN, EDGE = 0, 1  # entries before the words themselves
 
 
@@ -145,27 +158,52 @@ def _count_words(batches):
             yield pa.RecordBatch.from_arrays([counted.field("values").cast(pa.string()), counted.field("counts")], ["word", "n"])
 
 
-def vocabulary_of(rows: DataFrame) -> list[str]:
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """word, n of every distinct word of the corpus, written once."""
+    prepare(docs.sparkSession)
+    rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return staged(rows.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def vocabulary_of(counts: DataFrame) -> list[str]:
     """Two reserved entries and the most frequent words of the corpus; a fixed number."""
-    counts = rows.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     frequent = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - 2).collect()
     return ["", " ", *(row["word"] for row in frequent)]  # no word is empty or a space
 
 
-def _train(words: list[str]):
-    """All texts of a task, block by block; the parameters leave in slices with the number of words they saw."""
+def _encode(words: list[str]):
+    """The entries of each text that has a word."""
 
-    def trained(batches):
-        network, vocabulary, n_seen = Network(), pa.array(words, pa.large_string()), 0
+    def encoded(batches):
+        vocabulary = pa.array(words, pa.large_string())
         for block in blocks(batches):
             targets, counts = targets_of(block.column("text"), vocabulary)
+            ends = np.cumsum(counts)
+            raw = [targets[e - n : e].astype("<u2").tobytes() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([block.column("key"), pa.array(raw, pa.binary())], ["key", "entries"]).filter(pa.array(counts > 0))
+
+    return encoded
+
+
+def _entries(batches):
+    """Entries of all texts of a block, and the number of each text."""
+    for block in blocks(batches, ENTRY_BYTES):
+        raw = block.column("entries").to_pylist()
+        yield np.frombuffer(b"".join(raw), "<u2").astype(np.int64), np.array([len(x) // 2 for x in raw], np.int64)
+
+
+def _train(flat: np.ndarray):
+    """All texts of a task, block by block; the parameters leave in slices with the number of words they saw."""
+
+    def trained(batches):
+        network, n_seen = Network(flat.copy()), 0
+        for targets, counts in _entries(batches):
             around = windows(targets, counts)
             # stretches of neighbouring words from all over the block in one batch
             n_batches = max(1, len(targets) // BATCH)
             for k in range(n_batches):
                 own = slice(k, None, n_batches)
-                if len(targets[own]):
-                    network.train(around[own], targets[own], RATE)
+                network.train(around[own], targets[own], RATE)
             n_seen += len(targets)
         if n_seen:
             for k, part in enumerate(np.array_split(network.flat, SLICES)):
@@ -174,6 +212,17 @@ def _train(words: list[str]):
     return trained
 
 
+def _held_out(flat: np.ndarray):
+    def measured(batches):
+        network = Network(flat.copy())
+        for targets, counts in _entries(batches):
+            around = windows(targets, counts)
+            total = sum(float(network.log_probabilities(around[a : a + 65536], targets[a : a + 65536]).sum(dtype=np.float64)) for a in range(0, len(targets), 65536))
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([len(targets)], pa.int64())], ["total", "n"])
+
+    return measured
+
+
 def _average(batches):
     """The average of each slice, weighted by words."""
     sums: dict[int, np.ndarray] = {}
@@ -187,16 +236,50 @@ def _average(batches):
         yield pa.RecordBatch.from_arrays([pa.array(sorted(sums), pa.int32()), pa.array([(sums[k] / seen[k]).astype("<f4").tobytes() for k in sorted(sums)], pa.binary())], ["slice", "parameters"])
 
 
-def train(docs: DataFrame, text: str = "text") -> tuple[list[str], np.ndarray]:
-    """The vocabulary, and the parameters averaged over all tasks."""
-    prepare(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    words = vocabulary_of(rows)
-    slices = rows.mapInArrow(_train(words), "slice int, n long, parameters binary").repartitionById(SLICES, "slice")
+def _round(texts: DataFrame, n_tasks: int, flat: np.ndarray) -> np.ndarray:
+    """Every task trains on its texts from the same parameters, in the order of their keys; the average of the tasks."""
+    dealt = texts.repartitionById(n_tasks, "task").sortWithinPartitions("key", "entries").select("entries")
+    slices = dealt.mapInArrow(_train(flat), "slice int, n long, parameters binary").repartitionById(SLICES, "slice")
     averaged = slices.mapInArrow(_average, "slice int, parameters binary").collect()
     if not averaged:
-        return words, Network().flat
-    return words, np.concatenate([np.frombuffer(row["parameters"], "<f4") for row in sorted(averaged, key=lambda r: r["slice"])])
+        return flat
+    return np.concatenate([np.frombuffer(row["parameters"], "<f4") for row in sorted(averaged, key=lambda r: r["slice"])])
+
+
+def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", counts: DataFrame | None = None) -> tuple[list[str], np.ndarray]:
+    """The vocabulary, and the parameters after as many passes as raise the log probability of held-out texts.
+
+    A pass is a few rounds of disjoint texts, each of which starts from the average of the one before.
+    """
+    prepare(docs.sparkSession)
+    counts = word_counts(docs, text) if counts is None else counts
+    words, flat = vocabulary_of(counts), Network().flat
+    n_words = counts.agg(F.sum("n")).first()[0] or 0
+    if not n_words:
+        return words, flat
+    # tasks and rounds follow from the number of words, not from the layout of files
+    task_words = max(TASK_WORDS, TASK_WORDS_GROWTH * n_words**0.5)
+    n_tasks = max(1, round(n_words / task_words))
+    n_rounds = max(1, min(ROUNDS, int(n_words / n_tasks / ROUND_WORDS)))
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.xxhash64(*([F.col(doc_id)] if doc_id in docs.columns else []), whole).alias("key"), whole.alias("text"))
+    texts = staged(rows.mapInArrow(_encode(words), "key long, entries binary"), "entries").select(
+        "key", "entries", (F.pmod("key", F.lit(HELD_OUT)) == 0).alias("held"),
+        F.pmod(F.shiftright("key", 8), F.lit(n_tasks)).cast("int").alias("task"), F.pmod(F.shiftrightunsigned("key", 40), F.lit(n_rounds)).alias("round"),
+    )
+    trained, held = texts.filter("NOT held"), texts.filter("held")
+    if held.isEmpty() or trained.isEmpty():  # a few texts only
+        trained = held = texts
+    best, value = flat, -np.inf
+    while True:
+        for k in range(n_rounds):
+            flat = _round(trained.filter(F.col("round") == k), n_tasks, flat)
+        total, n = held.select("entries").mapInArrow(_held_out(flat), "total double, n long").agg(F.sum("total"), F.sum("n")).first()
+        before, now = value, total / n
+        if now > value:
+            best, value = flat, now
+        if not now > before + LEAST_GAIN:
+            return words, best
 
 
 def score(docs: DataFrame, words: list[str], parameters: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
