@@ -5,7 +5,8 @@ a hidden layer, and a softmax in two steps, first over groups of words of simila
 document's score is the sum of the log probabilities of all its words, each given its neighbours.
 
 Word counts cover the whole corpus and are grouped by Spark; the most frequent words form the vocabulary, all others share
-one entry.  Texts are dealt by their hash over training tasks whose number follows from the words of the corpus.  In each
+one entry of the network.  Such a word's probability is that of the entry times its own among all words outside the
+vocabulary, from its count in the corpus and its spelling, so the neighbours tell that a rare word comes, not which.  Texts are dealt by their hash over training tasks whose number follows from the words of the corpus.  In each
 round every task trains on its texts from the last average, and the tasks' parameters are averaged, weighted by words, in
 slices that are spread over tasks; passes over all texts go on until held-out texts stop gaining.  Only the vocabulary and
 the averaged parameters, both of fixed size, pass through the driver.
@@ -16,13 +17,17 @@ texts score alike; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logclinic.llm.blocks import blocks, coded, words_of
+from logclinic.llm.blocks import blocks, coded, ranges, words_of
+from logclinic.llm.packs import packed, unpacked
 from logclinic.llm.staging import prepare, staged
 from logclinic.llm.tokens import per_text
 
@@ -46,6 +51,10 @@ ROUND_WORDS = 1 << 16
 HELD_OUT = 64
 LEAST_GAIN = 0.01
 ENTRY_BYTES = 2 << 20
+#: Bytes of text in a block of scored texts.
+SCORED_BYTES = 4 << 20
+#: Bytes, and the border of a word.
+SYMBOLS, END = 257, 256
 
 UNKNOWN, EDGE = 0, 1  # entries before the words themselves
 
@@ -282,17 +291,129 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", counts: D
             return words, best
 
 
+def _bigrams(batches):
+    """How often each byte follows another in the distinct words; END stands before the first and after the last."""
+    total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+    for batch in batches:
+        cells, _ = spelled(batch.column("word"))
+        total += np.bincount(cells, minlength=len(total))
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "n"])
+
+
+def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of neighbouring bytes of all words one after the other, as cells of a table, and their number per word."""
+    words = words.cast(pa.large_string())
+    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    heads = np.cumsum(lengths + 1) - lengths - 1
+    symbols = np.full(int((lengths + 1).sum()) + 1, END, np.int64)
+    symbols[ranges(heads + 1, lengths)] = np.frombuffer(b"".join(x.encode() for x in words.to_pylist()), np.uint8)
+    return symbols[:-1] * SYMBOLS + symbols[1:], lengths + 1
+
+
+@dataclass
+class RareWords:
+    """P(word | UNKNOWN) for every string: its share of the corpus's words outside the vocabulary, mixed with its spelling.
+
+    The share left to spelling is that of words seen for the first time.  The table of words stays distributed.
+    """
+
+    table: DataFrame
+    n_words: int
+    n_distinct: int
+    bigrams: np.ndarray
+
+    def log_probabilities(self, words: pa.Array, seen: np.ndarray) -> np.ndarray:
+        """Of distinct words that were seen so often in the corpus."""
+        return rare_log_probabilities(words, seen, self.n_words, self.n_distinct, self.bigrams)
+
+
+def rare_log_probabilities(words: pa.Array, seen: np.ndarray, n_words: int, n_distinct: int, bigrams: np.ndarray) -> np.ndarray:
+    if len(words) == 0:
+        return np.zeros(0)
+    cells, counts = spelled(words)
+    spelling = np.add.reduceat(bigrams[cells], np.cumsum(counts) - counts)
+    if not n_words:
+        return spelling
+    with np.errstate(divide="ignore"):
+        share = np.log(seen.astype(np.float64))
+    return np.logaddexp(share, np.log(n_distinct) + spelling) - np.log(n_words + n_distinct)
+
+
+def rare_words(counts: DataFrame, words: list[str]) -> RareWords:
+    """The words of the corpus outside the vocabulary."""
+    known = F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in words], "word string"))
+    table = counts.join(known, "word", "left_anti")
+    n_words, n_distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    found = np.ones(SYMBOLS * SYMBOLS)
+    for cell, n in table.select("word").mapInArrow(_bigrams, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
+        found[cell] += n
+    found = found.reshape(SYMBOLS, SYMBOLS)
+    return RareWords(table, n_words, n_distinct, np.log(found / found.sum(axis=1, keepdims=True)).reshape(-1))
+
+
+def score_words(docs: DataFrame, words: list[str], parameters: np.ndarray, rare: RareWords, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of `score`, with every word outside the vocabulary at its own probability.
+
+    A block of texts travels as its classes' sums and the codes of its rare words; its distinct rare words are joined to
+    the counts of the corpus, and the counts return to their block.
+    """
+    prepare(docs.sparkSession)
+
+    def posted(batches):
+        network, vocabulary = Network(np.array(parameters, np.float32)), pa.array(words, pa.large_string())
+        for block in blocks(batches, SCORED_BYTES):
+            all_words, counts = words_of(pc.utf8_lower(block.column("text").cast(pa.large_string())))
+            targets, _ = targets_of(block.column("text"), vocabulary)
+            sums = class_sums(network, targets, counts)
+            unknown = targets == UNKNOWN
+            codes, distinct = coded(all_words.filter(pa.array(unknown)))
+            n_unknown = per_text(unknown.astype(np.float64), counts).astype(np.uint32) if len(targets) else np.zeros(len(counts), np.uint32)
+            ids = block.column("doc_id")
+            blob = packed(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), counts.astype(np.uint32), sums, n_unknown, codes.astype(np.uint32))
+            own = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct.cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([blob], pa.binary()), own], ["block", "payload", "words"])
+
+    n_words, n_distinct, bigrams = rare.n_words, rare.n_distinct, rare.bigrams
+
+    def summed(batches):
+        for batch in batches:
+            for blob, own, seen in zip(batch.column("payload").to_pylist(), batch.column("words"), batch.column("seen"), strict=True):
+                ids, no_id, counts, sums, n_unknown, codes = unpacked(blob)
+                n = np.zeros(len(own), np.int64)
+                if seen.is_valid and len(seen):
+                    n[seen.values.field("at").to_numpy()] = seen.values.field("n").to_numpy()
+                if len(codes):
+                    sums = sums + per_text(rare_log_probabilities(own.values, n, n_words, n_distinct, bigrams)[codes], n_unknown.astype(np.int64))
+                counts = counts.astype(np.int64)
+                mean = pa.array(sums / np.maximum(counts, 1), mask=counts == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=no_id > 0), pa.array(counts), pa.array(sums), mean], ["doc_id", "n_words", "log_probability", "mean_log_probability"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    posts = staged(rows.mapInArrow(posted, "block string, payload binary, words array<string>"), "blocks")
+    each = posts.select("block", F.posexplode("words").alias("at", "word"))
+    seen = each.join(rare.table, "word").groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("seen"))
+    return posts.join(seen, "block", "left").select("payload", "words", "seen").mapInArrow(summed, "doc_id long, n_words long, log_probability double, mean_log_probability double")
+
+
+def class_sums(network: Network, targets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    around = windows(targets, counts)
+    found = [network.log_probabilities(around[a : a + 65536], targets[a : a + 65536]) for a in range(0, len(targets), 65536)]
+    return per_text(np.concatenate(found).astype(np.float64), counts) if found else np.zeros(len(counts))
+
+
 def score(docs: DataFrame, words: list[str], parameters: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, log_probability (sum over words), mean_log_probability of every row."""
+    """doc_id, n_words, log_probability (sum over words), mean_log_probability of every row, by the network alone.
+
+    Words outside the vocabulary count as one entry here; `score_words` gives each its own probability.
+    """
     prepare(docs.sparkSession)
 
     def scored(batches):
         network, vocabulary = Network(np.array(parameters, np.float32)), pa.array(words, pa.large_string())
         for block in blocks(batches):
             targets, counts = targets_of(block.column("text"), vocabulary)
-            around = windows(targets, counts)
-            found = [network.log_probabilities(around[a : a + 65536], targets[a : a + 65536]) for a in range(0, len(targets), 65536)]
-            sums = per_text(np.concatenate(found).astype(np.float64), counts) if found else np.zeros(len(counts))
+            sums = class_sums(network, targets, counts)
             mean = pa.array(sums / np.maximum(counts, 1), mask=counts == 0)
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums), mean], ["doc_id", "n_words", "log_probability", "mean_log_probability"])
 

@@ -68,10 +68,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from logclinic.llm.masked_lm import score, train
+    from logclinic.llm.masked_lm import rare_words, score_words, train, word_counts
 
     docs = documents(spark, sf_dir)
-    return score(docs, *train(docs))
+    counts = word_counts(docs)
+    words, parameters = train(docs, counts=counts)
+    return score_words(docs, words, parameters, rare_words(counts, words))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +133,40 @@ def test_layout_does_not_matter(spark):
     assert mean(many) > mean(start) + 2
 
 
+def test_rare_junk_scores_below_prose(spark):
+    """The query gives every word its own probability: texts of rare words only are the least likely ones."""
+    found = {r["doc_id"]: r["mean_log_probability"] for r in QUERIES["op7_masked_lm"](spark, SMALL).collect()}
+    texts = dict(pairs_of(spark.read.parquet(f"{SMALL}/documents.parquet")))
+    assert found.keys() == texts.keys()
+    counts = Counter(w for t in texts.values() for w in (t or "").lower().split())
+    rare = lambda t: np.mean([counts[w] <= 2 for w in t.lower().split()])
+    junk = [found[d] for d, t in texts.items() if t and t.split() and rare(t) > 0.9]
+    prose = [found[d] for d, t in texts.items() if t and t.split() and rare(t) < 0.3]
+    assert junk and prose and max(junk) < np.median(prose)
+
+
+def test_rare_words_have_their_own_probability(spark, odd, empty):
+    counts = masked_lm.word_counts(odd)
+    words = masked_lm.vocabulary_of(counts)[:20]
+    rare = masked_lm.rare_words(counts, words)
+    table = {r["word"]: r["n"] for r in rare.table.collect()}
+    assert table and not set(table) & set(words) and rare.n_words == sum(table.values()) and rare.n_distinct == len(table)
+    each = np.exp(rare.log_probabilities(pa.array(list(table)), np.array(list(table.values()))))
+    assert 0.5 < each.sum() < 1 and np.all(each >= np.array(list(table.values())) / (rare.n_words + rare.n_distinct) * (1 - 1e-9))
+    flat = masked_lm.Network().flat
+    own = lambda rows: sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["log_probability"]) for r in rows), key=str)
+    whole, classes = (own(f.collect()) for f in (masked_lm.score_words(odd, words, flat, rare), masked_lm.score(odd, words, flat)))
+    vocabulary, texts = set(words), [(d is None, d or 0, (t or "")) for d, t in pairs_of(odd)]
+    def more(t):
+        own = [w.decode() for w in t.lower().encode().split() if w.decode() not in vocabulary]
+        return rare.log_probabilities(pa.array(own, pa.string()), np.array([table[w] for w in own])).sum() if own else 0.0
+    assert len(whole) == len(classes) == len(texts)
+    assert np.isclose(sum(r[3] for r in whole), sum(r[3] for r in classes) + sum(more(t) for *_, t in texts))
+    assert masked_lm.score_words(empty, words, flat, rare).count() == 0
+    nothing = masked_lm.rare_words(masked_lm.word_counts(empty), ["", " "])
+    assert all(r[3] < 0 for r in own(masked_lm.score_words(odd, ["", " "], flat, nothing).collect()) if r[2])
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
