@@ -1,7 +1,7 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
 1. One pass over the texts builds each document's set of shingle hashes.  Postings (hash, document) travel packed to the
-   bucket of their hash; documents with equal sets are one class, named by its smallest id.
+   bucket of their hash; documents with equal sets are one class, named by the digest of the set.
 2. A bucket sees all classes of a hash, so it knows the exact frequency.  Only hashes of two or more classes go on: the
    others come first in the rare-first order and can match nothing.
 3. The prefix of a class, |x| - ceil(t |x|) + 1 shingles in rare-first order, mostly lies among its unique shingles; what is
@@ -12,8 +12,8 @@
    inside a group of near copies are never written out.
 5. A pair is verified once: a suffix filter bounds the overlap by parts of the sets, then the sets are intersected.
 
-Null and empty texts have no shingle and no link.  Rows with equal ids are one document for the purpose of naming; a null
-id counts as greater than all ids and is given back as null.  Other columns are ignored; an empty table gives no rows.
+Null and empty texts have no shingle and no link.  A component is named by its smallest id at the end only, so rows with
+equal or null ids are told apart by their sets; a null id counts as greater than all ids and is given back as null.  Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ PERCENT = 75
 STAR_KEYS = 3
 NULL_ID = (1 << 63) - 1
 
-POSTED = "bucket int, payload binary, doc_id long, n int, digest_a long, digest_b long"
-SHARED = "doc_id long, n int, digest_a long, digest_b long, hash long, frequency int"
+POSTED = "bucket int, payload binary, doc_id long, text_key long, n int, class binary"
+SHARED = "doc_id long, text_key long, n int, class binary, hash long, frequency int"
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +62,12 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.fromiter(map(len, sets), np.int64, len(sets))
 
 
+def names_of(digests: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
+    """Digests of two longs each as binary values; null where the mask says so."""
+    named = pa.Array.from_buffers(pa.binary(16), len(digests), [None, pa.py_buffer(np.ascontiguousarray(digests).tobytes())]).cast(pa.binary())
+    return named if mask is None else pc.if_else(pa.array(mask), pa.scalar(None, pa.binary()), named)
+
+
 def _post(width: int, n_buckets: int):
     """Rows of each document, and packed postings of the classes of a block."""
 
@@ -78,7 +84,7 @@ def _post(width: int, n_buckets: int):
                     digests[row] = np.frombuffer(digest, np.int64)
                     first.setdefault(digest, row)
             some = counts > 0
-            yield _rows(np.zeros(len(ids), np.int32), [None] * len(ids), ids, counts, pa.array(digests[:, 0], mask=~some), pa.array(digests[:, 1], mask=~some))
+            yield _rows(np.zeros(len(ids), np.int32), [None] * len(ids), ids, block.column("text_key"), counts, names_of(digests, ~some))
             chosen = np.array(sorted(first.values()), np.int64)
             if not len(chosen):
                 continue
@@ -94,24 +100,20 @@ def _post(width: int, n_buckets: int):
                 if part.start < part.stop:
                     own, index = np.unique(owner[part], return_inverse=True)
                     rows = chosen[own]
-                    by_id = np.argsort(ids[rows], kind="stable")
-                    place = np.empty(len(own), np.int64)
-                    place[by_id] = np.arange(len(own))
-                    rows = rows[by_id]
-                    index = place[index].astype(np.uint16 if len(own) < 1 << 16 else np.uint32)
-                    blobs.append(packed(steps(posted[part]), index, steps(ids[rows]), digests[rows, 0], counts[rows].astype(np.uint32)))
+                    index = index.astype(np.uint16 if len(own) < 1 << 16 else np.uint32)
+                    blobs.append(packed(steps(posted[part]), index, digests[rows, 0], digests[rows, 1], counts[rows].astype(np.uint32)))
                     names.append(b)
             for at in range(0, len(names), 16):
                 some = names[at : at + 16]
                 empty = pa.nulls(len(some), pa.int64())
-                yield _rows(np.array(some, np.int32), blobs[at : at + 16], empty, None, empty, empty)
+                yield _rows(np.array(some, np.int32), blobs[at : at + 16], empty, empty, None, pa.nulls(len(some), pa.binary()))
 
-    def _rows(bucket, payload, ids, n, digest_a, digest_b):
+    def _rows(bucket, payload, ids, text_key, n, names):
         if n is not None and len(ids):
             bucket = (ids.view(np.uint64) % np.uint64(n_buckets)).astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(bucket), pa.array(payload, pa.binary()), pa.array(ids, pa.int64()), pa.nulls(len(bucket), pa.int32()) if n is None else pa.array(n, pa.int32()), digest_a, digest_b],
-            ["bucket", "payload", "doc_id", "n", "digest_a", "digest_b"],
+            [pa.array(bucket), pa.array(payload, pa.binary()), pa.array(ids, pa.int64()), text_key, pa.nulls(len(bucket), pa.int32()) if n is None else pa.array(n, pa.int32()), names],
+            ["bucket", "payload", "doc_id", "text_key", "n", "class"],
         )
 
     return post
@@ -124,11 +126,11 @@ def _count(batches):
         is_row = pc.is_null(batch.column("payload"))
         rows = batch.filter(is_row)
         if rows.num_rows:
-            yield _shared(rows.column("doc_id"), rows.column("n"), rows.column("digest_a"), rows.column("digest_b"), pa.nulls(rows.num_rows, pa.int64()), pa.nulls(rows.num_rows, pa.int32()))
+            yield _shared(rows.column("doc_id"), rows.column("text_key"), rows.column("n"), rows.column("class"), pa.nulls(rows.num_rows, pa.int64()), pa.nulls(rows.num_rows, pa.int32()))
         for blob in batch.column("payload").filter(pc.invert(is_row)).to_pylist():
-            moves, index, id_steps, digest, n = unpacked(blob)
+            moves, index, digest_a, digest_b, n = unpacked(blob)
             parts.append((np.cumsum(moves), (index.astype(np.uint32) + np.uint32(n_classes))))
-            classes.append((np.cumsum(id_steps), digest, n.astype(np.int32)))
+            classes.append((digest_a, digest_b, n.astype(np.int32)))
             n_classes += len(n)
     if not parts:
         return
@@ -140,23 +142,23 @@ def _count(batches):
     several = ~(new & np.concatenate([new[1:], [True]]))
     hashes, owners = hashes[several], owners[order[several]]
     del order, new, several
-    ids, digest, n = (np.concatenate([c[k] for c in classes])[owners] for k in range(3))
-    order = np.lexsort((ids, digest, hashes))
-    hashes, ids, digest, n = hashes[order], ids[order], digest[order], n[order]
+    digest_a, digest_b, n = (np.concatenate([c[k] for c in classes])[owners] for k in range(3))
+    order = np.lexsort((digest_b, digest_a, hashes))
+    hashes, digest_a, digest_b, n = hashes[order], digest_a[order], digest_b[order], n[order]
     new_hash = np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)]
-    new_class = new_hash | np.concatenate([[True], digest[1:] != digest[:-1]])[: len(hashes)]
+    new_class = new_hash | np.concatenate([[True], (digest_a[1:] != digest_a[:-1]) | (digest_b[1:] != digest_b[:-1])])[: len(hashes)]
     group = np.cumsum(new_hash) - 1
     frequency = np.bincount(group, weights=new_class).astype(np.int32) if len(group) else np.zeros(0, np.int32)
     kept = new_class & (frequency[group] >= 2)
-    hashes, ids, n, frequency = hashes[kept], ids[kept], n[kept], frequency[group[kept]]
+    hashes, digests, n, frequency = hashes[kept], np.stack([digest_a[kept], digest_b[kept]], axis=1), n[kept], frequency[group[kept]]
     for at in range(0, len(hashes), 1 << 17):
         part = slice(at, at + (1 << 17))
-        none = pa.nulls(len(ids[part]), pa.int64())
-        yield _shared(pa.array(ids[part]), pa.array(n[part]), none, none, pa.array(hashes[part].view(np.int64)), pa.array(frequency[part]))
+        none = pa.nulls(len(n[part]), pa.int64())
+        yield _shared(none, none, pa.array(n[part]), names_of(digests[part]), pa.array(hashes[part].view(np.int64)), pa.array(frequency[part]))
 
 
-def _shared(ids, n, digest_a, digest_b, hashes, frequency):
-    return pa.RecordBatch.from_arrays([ids, n, digest_a, digest_b, hashes, frequency], ["doc_id", "n", "digest_a", "digest_b", "hash", "frequency"])
+def _shared(ids, text_key, n, names, hashes, frequency):
+    return pa.RecordBatch.from_arrays([ids, text_key, n, names, hashes, frequency], ["doc_id", "text_key", "n", "class", "hash", "frequency"])
 
 
 def overlap_bound(x: np.ndarray, y: np.ndarray, parts: int = 8) -> int:
@@ -195,29 +197,29 @@ def _verify(percent: int):
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets are similar; each set is fetched by a join of its own, the commoner side first."""
-    side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("hashes").alias(f"set_{s}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
+    side = lambda s: sets.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("hashes").alias(f"set_{s}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(_verify(percent), "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _members(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_key, n, class of every row, and class, component (its smallest class) of every class."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("text_key"))
     n_buckets = shuffle_partitions(spark)
     posted = rows.mapInArrow(_post(width, n_buckets), POSTED).repartitionById(n_buckets, "bucket")
     found = staged(posted.mapInArrow(_count, SHARED), "postings")
-    members = found.filter("hash IS NULL").select("doc_id", "n", "digest_a", "digest_b")
+    members = found.filter("hash IS NULL").select("doc_id", "text_key", "n", "class")
 
     # a class can only link if enough of its shingles are shared at all
     least = F.ceil(F.col("n") * percent / 100).cast("int")
     shared = (
         found.filter("hash IS NOT NULL")
-        .groupBy("doc_id", "n")
+        .groupBy("class", "n")
         .agg(F.array_sort(F.collect_list(F.struct("frequency", "hash"))).alias("keys"))
         .filter(F.size("keys") >= least)
         .select(
-            "doc_id", "n",
+            "class", "n",
             F.sort_array("keys.hash").alias("hashes"),
             F.slice("keys.hash", F.lit(1), F.size("keys") - least + 1).alias("prefix"),
             (F.col("n") - F.size("keys")).alias("n_unique"),
@@ -225,7 +227,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
         )
     )
     sets = staged(shared, "sets")
-    entries = sets.select("doc_id", "n", "n_unique", "commonness", F.size("prefix").alias("n_keys"), F.posexplode("prefix").alias("at", "hash"))
+    entries = sets.select("class", "n", "n_unique", "commonness", F.size("prefix").alias("n_keys"), F.posexplode("prefix").alias("at", "hash"))
 
     star = _verified(staged(_star_pairs(entries, percent), "pairs"), sets, percent)
     star_links = staged(star, "links")
@@ -235,26 +237,35 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
     if not across_links.isEmpty():
         labels = components(star_links.union(across_links))
 
-    classes = members.filter("digest_a IS NOT NULL").groupBy("digest_a", "digest_b").agg(F.min("doc_id").alias("first_id"))
-    named = staged(
-        classes.join(labels.withColumnRenamed("id", "first_id"), "first_id", "left").select("digest_a", "digest_b", F.coalesce("component", "first_id").alias("component")), "classes"
-    )
+    classes = members.filter("class IS NOT NULL").select("class").distinct()
+    return members, classes.join(labels.withColumnRenamed("id", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    members, classes = _members(docs, width, percent, doc_id, text)
+    known = staged(members.groupBy("class").agg(F.min("doc_id").alias("first_id")).join(classes, "class"), "classes")
+    firsts = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = staged(known.join(firsts, "component").select("class", "component_id"), "classes")
     given = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return members.join(named, ["digest_a", "digest_b"], "left").select(
-        given("doc_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce(given("component"), given("doc_id")).alias("component_id")
+    return members.join(named, "class", "left").select(
+        given("doc_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce(given("component_id"), given("doc_id")).alias("component_id")
     )
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns; equal rows stay once.
 
-    Rows with one id and different texts are told apart by their texts.
+    Rows with one id, or none, and different texts are told apart by their texts.
     """
     kind = docs.schema[doc_id].dataType
-    found = near_duplicates(docs, doc_id=doc_id, text=text, **parameters)
-    first = found.filter("doc_id = component_id OR component_id IS NULL").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__key")).distinct()
-    keyed = docs.withColumn("__key", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)))
-    kept = keyed.join(first, "__key", "left_semi").withColumn("__text", F.xxhash64(text))
+    members, classes = _members(docs, doc_id=doc_id, text=text, **parameters)
+    row = F.min(F.struct("doc_id", "text_key")).alias("row")
+    of_class = members.filter("class IS NOT NULL").groupBy("class").agg(row)
+    of_component = of_class.join(classes, "class").select("component", "row.*").groupBy("component").agg(row).select("row.*")
+    first = of_component.union(members.filter("class IS NULL").select("doc_id", "text_key")).distinct().toDF("__key", "__text")
+    keyed = docs.withColumn("__key", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))).withColumn("__text", F.xxhash64(F.col(text).cast("string")))
+    kept = keyed.join(first, ["__key", "__text"], "left_semi")
     return kept.dropDuplicates(["__key", "__text"]).select(*(F.col(f"`{c}`").cast(kind) if c == doc_id else F.col(f"`{c}`") for c in docs.columns))
 
 
@@ -268,26 +279,26 @@ def _star_pairs(entries: DataFrame, percent: int) -> DataFrame:
     The most typical class of a key is the one whose shingles are commonest on average: among edited copies of a text,
     the least edited one, which links to most others.
     """
-    salted = entries.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
-    typical = F.max(F.struct("commonness", "doc_id", "n"))
+    salted = entries.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(16)))
+    typical = F.max(F.struct("commonness", "class", "n"))
     per_salt = salted.groupBy("hash", "salt").agg(typical.alias("own"))
-    centers = per_salt.join(per_salt.groupBy("hash").agg(F.max("own").alias("center")), "hash").select("hash", "salt", F.col("center.doc_id").alias("b"), F.col("center.n").alias("n_b"))
+    centers = per_salt.join(per_salt.groupBy("hash").agg(F.max("own").alias("center")), "hash").select("hash", "salt", F.col("center.class").alias("b"), F.col("center.n").alias("n_b"))
     late = salted.filter(F.col("at") >= F.col("n_keys") - STAR_KEYS)
-    met = late.join(centers, ["hash", "salt"]).filter((F.col("doc_id") != F.col("b")) & _similar_lengths(F.col("n"), F.col("n_b"), percent))
-    return met.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
+    met = late.join(centers, ["hash", "salt"]).filter((F.col("class") != F.col("b")) & _similar_lengths(F.col("n"), F.col("n_b"), percent))
+    return met.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
 
 
 def _cross_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of different components that share a prefix key and pass the length and positional filter."""
-    labelled = entries.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "hash", "doc_id", "n", (F.col("n_unique") + F.col("at")).alias("place"), F.coalesce("component", "doc_id").alias("component")
+    labelled = entries.join(labels.withColumnRenamed("id", "class"), "class", "left").select(
+        "hash", "class", "n", (F.col("n_unique") + F.col("at")).alias("place"), F.coalesce("component", "class").alias("component")
     )
     # of two components under a key, at most one is the largest there: one side of each pair is outside of it
     sizes = labelled.groupBy("hash", "component").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("hash").agg(F.max(F.struct("size", "component")).alias("largest"), F.count("*").alias("n_components"))
     mixed = staged(largest.filter("n_components > 1").select("hash", F.col("largest.component").alias("largest")), "keys")
     met = staged(labelled.join(mixed, "hash"), "entries")
-    side = lambda s, rows: rows.select("hash", F.col("component").alias(f"c_{s}"), "largest", F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("place").alias(f"p_{s}"))
+    side = lambda s, rows: rows.select("hash", F.col("component").alias(f"c_{s}"), "largest", F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("place").alias(f"p_{s}"))
     one = side("a", met.filter("component != largest")).drop("largest")
     two = side("b", met)
     n_a, n_b, p_a, p_b = (F.col(x) for x in ("n_a", "n_b", "p_a", "p_b"))

@@ -73,6 +73,16 @@ def test_keep_first(odd):
     assert ids.count(7) == 0 and ids.count(0) == 1
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    """A near copy under a null or repeated id takes no other text of that id along."""
+    say = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(5, say("a")), (None, say("a") + " tail"), (None, say("b")), (None, say("c")), (9, say("a") + " end"), (9, say("d")), (12, say("d") + " more"), (9, say("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ordered(jaccard_join.near_duplicates(docs).collect()) == ordered(plain.near_components(rows))
+    kept = {tuple(r) for r in jaccard_join.keep_first(docs).collect()}
+    assert kept == {(5, say("a")), (None, say("b")), (None, say("c")), (9, say("d")), (9, say("e"))}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r["id"]: r["component"] for r in components(links).collect()}
