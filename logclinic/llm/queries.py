@@ -94,6 +94,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir)).drop("row_hash")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logclinic.llm.merkle import fold, leaf, prove
+
+    # a row is tampered with where 7 divides the checksum of its id
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, leaf({"n_chars": F.col("n_chars") + 1})).otherwise(leaf())
+    proved = prove(documents(spark, sf_dir), carry={"tampered": tampered})
+    shown = proved.select(
+        "doc_id", "leaf", F.col("top").alias("subroot"), "root", F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"),
+        fold(F.col("tampered"), F.col("siblings"), F.col("path")).alias("folded_root"),
+    )
+    return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_crf": op2_quality_crf,
@@ -105,4 +118,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op12_merkle": op12_merkle,
 }

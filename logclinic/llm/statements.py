@@ -66,4 +66,50 @@ reached AS (SELECT doc_id AS id, doc_id AS other FROM w UNION SELECT id, b FROM
 SELECT id AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id FROM reached LEFT JOIN sizes ON id = doc_id GROUP BY id
 """
 
-STATEMENTS = {"op1_substring_dedup": SUBSTRING_DEDUP, "op5_host_rules": HOST_RULES, "op8_jaccard_join": JACCARD_JOIN}
+#: The table of the checksum by its rule: eight shifts of each byte, xor-ed with the polynomial where a bit falls out.
+_CRC_TABLE = "list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b))"
+_BYTES = "list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)"
+_MARKED = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_MARKED.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+_TREE = """
+{0}(level, tree, i, h, n) AS (
+    SELECT 0, tree, i, h, n FROM {1}
+    UNION ALL
+    SELECT level + 1, tree, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM {0} WHERE n > 1 GROUP BY ALL
+)"""
+
+MERKLE = f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS t),
+hashed AS MATERIALIZED (
+    SELECT doc_id, lang, {_LEAF.format("n_chars")} AS leaf, {_LEAF.format("(n_chars + 1)")} AS other_leaf,
+        xor(list_reduce({_BYTES}, lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295) % 7 = 0 AS tampered
+    FROM documents, crc
+),
+leaves AS MATERIALIZED (
+    SELECT *, leaf AS h, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+        count(*) OVER (PARTITION BY lang) AS n
+    FROM hashed
+),{_TREE.format("nodes", "leaves")},
+tops AS MATERIALIZED (SELECT 0 AS tree, tree AS i, h, count(*) OVER () AS n FROM nodes WHERE n = 1),{_TREE.format("upper", "tops")},
+levels AS MATERIALIZED (SELECT tree, max(level) AS height FROM nodes GROUP BY tree),
+steps AS MATERIALIZED (
+    SELECT l.doc_id, l.leaf, s.level AS k, coalesce(o.h, '') AS sibling, (l.i >> s.level) & 1 = 1 AS at_left
+    FROM leaves l JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) s USING (tree)
+    LEFT JOIN nodes o ON o.tree = l.tree AND o.level = s.level AND o.i = xor(l.i >> s.level, 1)
+    UNION ALL
+    SELECT l.doc_id, l.leaf, height + s.level, coalesce(o.h, ''), (l.tree >> s.level) & 1 = 1
+    FROM leaves l JOIN levels USING (tree), (SELECT DISTINCT level FROM upper WHERE n > 1) s
+    LEFT JOIN upper o ON o.level = s.level AND o.i = xor(l.tree >> s.level, 1)
+),
+proofs AS (SELECT doc_id, leaf, string_agg(sibling, '' ORDER BY k) AS proof, list(struct_pack(s := sibling, l := at_left) ORDER BY k) AS path FROM steps GROUP BY doc_id, leaf),
+folded AS (
+    SELECT doc_id, leaf, tree, coalesce(proof, '') AS proof, list_reduce(
+        list_transform(coalesce(path, []), lambda x: CASE WHEN x.l THEN 'l' ELSE 'r' END || x.s),
+        lambda held, x: CASE WHEN x[1] = 'l' THEN sha256(x[2:] || held) ELSE sha256(held || x[2:]) END, CASE WHEN tampered THEN coalesce(other_leaf, leaf) ELSE leaf END) AS folded_root
+    FROM leaves LEFT JOIN proofs USING (doc_id, leaf)
+)
+SELECT doc_id, leaf, t.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = r.h AS verified
+FROM folded JOIN tops t ON t.i = folded.tree, (SELECT h FROM upper WHERE n = 1) r
+"""
+
+STATEMENTS = {"op1_substring_dedup": SUBSTRING_DEDUP, "op5_host_rules": HOST_RULES, "op8_jaccard_join": JACCARD_JOIN, "op12_merkle": MERKLE}

@@ -120,3 +120,41 @@ def edit_distance_within(item: str, text: str) -> int:
 
 def digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def merkle(rows: list[tuple]) -> list[tuple]:
+    """doc_id, leaf, subroot, root, proof digest, siblings of each (doc_id, source, lang, n_chars, text)."""
+    mark = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def tree(digests: list[str]) -> tuple[str, list[list[str]]]:
+        proofs: list[list[str]] = [[] for _ in digests]
+        nodes, below = list(digests), [[k] for k in range(len(digests))]
+        while len(nodes) > 1:
+            merged, held = [], []
+            for k in range(0, len(nodes), 2):
+                pair = nodes[k : k + 2]
+                for j, node in enumerate(pair):
+                    for member in below[k + j]:
+                        proofs[member].append("".join(pair[1 - j : 2 - j]) if len(pair) == 2 else "")
+                merged.append(digest("".join(pair)))
+                held.append([m for b in below[k : k + 2] for m in b])
+            nodes, below = merged, held
+        return nodes[0], proofs
+
+    by_lang = defaultdict(list)
+    for row in rows:
+        by_lang[row[2]].append((row[0], digest("".join(map(mark, row)))))
+    names = sorted(by_lang, key=lambda x: (x is not None, (x or "").encode()))
+    tops, own = [], []
+    for name in names:
+        by_lang[name].sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        top, proofs = tree([leaf for _, leaf in by_lang[name]])
+        tops.append(top)
+        own.append(proofs)
+    if not tops:
+        return []
+    root, upper = tree(tops)
+    return [
+        (doc_id, leaf, tops[k], root, digest("".join(own[k][j] + upper[k])), own[k][j] + upper[k])
+        for k, name in enumerate(names) for j, (doc_id, leaf) in enumerate(by_lang[name])
+    ]
