@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from logclinic.llm.statements import STATEMENTS  # noqa: F401 - the SQL of these queries, where SQL can express them
 
 TOKENIZER = "byte_bpe_50k.json"
+OTHER_TOKENIZER = "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +95,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir)).drop("row_hash")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logclinic.llm.alignment import align
+
+    return align(documents(spark, sf_dir), tokenizer_path(), tokenizer_path(OTHER_TOKENIZER))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logclinic.llm.merkle import fold, leaf, prove
 
@@ -118,5 +125,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op11_alignment": op11_alignment,
     "op12_merkle": op12_merkle,
 }

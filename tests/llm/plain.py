@@ -158,3 +158,34 @@ def merkle(rows: list[tuple]) -> list[tuple]:
         (doc_id, leaf, tops[k], root, digest("".join(own[k][j] + upper[k])), own[k][j] + upper[k])
         for k, name in enumerate(names) for j, (doc_id, leaf) in enumerate(by_lang[name])
     ]
+
+
+def aligned(rows: list[tuple[int | None, str | None]], ids_a, bytes_a, ids_b, bytes_b) -> list[tuple]:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups; ids of a text and bytes of an id are given."""
+    found, counts = [], Counter()
+    for doc_id, text in rows:
+        a, b = (ids_a(text), ids_b(text)) if text else ([], [])
+        want = f" {text}".encode()
+        if b"".join(map(bytes_a, a)) != want or b"".join(map(bytes_b, b)) != want:
+            a, b = [], []
+        ends: list[dict[int, int]] = [{}, {}]
+        for own, ids, as_bytes in ((ends[0], a, bytes_a), (ends[1], b, bytes_b)):
+            at = 0
+            for k, i in enumerate(ids):
+                at += len(as_bytes(i))
+                own[at] = k
+        links, groups, last = [], [], (-1, -1)
+        for end, i in ends[0].items():
+            if (j := ends[1].get(end)) is not None:
+                links.append((a[i], b[j]))
+                groups.append("|".join(",".join(map(str, ids[before + 1 : k + 1])) for ids, before, k in ((a, last[0], i), (b, last[1], j))))
+                last = i, j
+        counts.update(links)
+        found.append((doc_id, len(a), len(b), len(groups), links, ";".join(groups)))
+    best: dict = {}
+    for (_, j), n in counts.items():
+        best[j] = max(best.get(j, 0), n)
+    return [
+        (doc_id, n_a, n_b, n_groups, len(links), sum(counts[x] == best[x[1]] for x in links), sum(counts[x] for x in links), groups)
+        for doc_id, n_a, n_b, n_groups, links, groups in found
+    ]
