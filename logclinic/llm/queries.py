@@ -114,6 +114,16 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logclinic.llm.chat_windows import read_back_all
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    # a conversation that quotes the template's own control strings
+    said = F.lit("</s>[INST] ok [/INST]")
+    quoting = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return read_back_all(turns.unionByName(quoting), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_crf": op2_quality_crf,
@@ -127,4 +137,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_alignment": op11_alignment,
     "op12_merkle": op12_merkle,
+    "op13_chat_windows": op13_chat_windows,
 }

@@ -189,3 +189,35 @@ def aligned(rows: list[tuple[int | None, str | None]], ids_a, bytes_a, ids_b, by
         (doc_id, n_a, n_b, n_groups, len(links), sum(counts[x] == best[x[1]] for x in links), sum(counts[x] for x in links), groups)
         for doc_id, n_a, n_b, n_groups, links, groups in found
     ]
+
+
+def chat_windows(turns: list[tuple[str, int, bool]], budget: int, history_turns: int, history_tokens: int) -> list[tuple[list, list]]:
+    """Repeated and new turns of each window of one conversation; a turn: rendered text, tokens, is it the loss's."""
+    system = turns[0] if turns and turns[0][0].startswith("<<SYS>>") else None
+    found, at = [], 0
+    while at < len(turns):
+        head = [system] if system and at else []
+        history: list = []
+        for k in range(at - 1, max(at - history_turns, 1 if system else 0) - 1, -1):
+            if sum(t[1] for t in [turns[k], *history]) > history_tokens or sum(t[1] for t in [*head, turns[k], *history, turns[at]]) > budget:
+                break
+            history.insert(0, turns[k])
+        new = [turns[at]]
+        while at + len(new) < len(turns) and sum(t[1] for t in [*head, *history, *new, turns[at + len(new)]]) <= budget:
+            new.append(turns[at + len(new)])
+        found.append((head + history, new))
+        at += len(new)
+    return found
+
+
+def chat_digests(rows: list[tuple]) -> list[tuple]:
+    """conv_id, turns, turns digest, loss characters, loss digest of (conv_id, turn, role, text)."""
+    by_id = defaultdict(list)
+    for conv_id, turn, role, text in rows:
+        by_id[conv_id].append((turn is not None, turn or 0, role or "", text or ""))
+    found = []
+    for conv_id, own in by_id.items():
+        own.sort()
+        loss = "".join(text for *_, role, text in own if role == "assistant")
+        found.append((conv_id, len(own), digest("".join(f"{role}\n{text}\n" for *_, role, text in own)), len(loss), digest(loss)))
+    return found
