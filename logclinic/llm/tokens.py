@@ -6,6 +6,7 @@ at such a space, so encoding units one by one gives the ids of the whole text.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import types
@@ -26,10 +27,15 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Units that can be joined with others like them, and characters whose class is the same in all Unicode versions.
 JOINT = r"^ (?s:.*)[^\pZ\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}]$"
 COMMON = r"^[\x{0000}-\x{024F}]*$"
+#: Units that are one pre-token.
+LETTERS = r"^ ?[\p{L}]+$"
 
 #: Longer units go to the tokenizer one by one.
 LONG_UNIT = 1000
 
+#: Distinct strings whose counts a worker keeps (about 100 bytes each); beyond it the table starts anew.
+KNOWN_COUNTS = 1_000_000
+
 
 def tokenizer_of(path: str) -> BlockTokenizer:
     """The tokenizer of this file, kept for the life of the Python worker."""
@@ -54,6 +60,8 @@ class BlockTokenizer:
         import tiktoken
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's to share out
+        self.known_counts: dict[str, int] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -141,22 +149,44 @@ class BlockTokenizer:
         cuts them itself.
         """
         simple = pc.match_substring_regex(distinct, COMMON).to_numpy(zero_copy_only=False) & ~self._has_special(distinct)
+        single = pc.match_substring_regex(distinct, LETTERS).to_numpy(zero_copy_only=False) | ~simple  # one pre-token
+        counts = np.ones(len(distinct), np.int64)
         found: list[str] = []
-        counts = np.zeros(len(distinct), np.int64)
-        for k, (unit, is_simple) in enumerate(zip(distinct.to_pylist(), simple.tolist(), strict=True)):
-            own = self.pattern.findall(unit) if is_simple else [unit]
+        cut = np.flatnonzero(~single)
+        for k, unit in zip(cut.tolist(), distinct.take(pa.array(cut)).to_pylist(), strict=True):
+            own = self.pattern.findall(unit)
             counts[k] = len(own)
             found += own
-        encoded = pa.array(found, pa.large_string()).dictionary_encode()
-        return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts, encoded.dictionary
+        encoded = pa.chunked_array([distinct.filter(pa.array(single)), pa.array(found, pa.large_string())]).combine_chunks().dictionary_encode()
+        given = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = np.zeros(int(counts.sum()), np.int64)
+        heads = np.cumsum(counts) - counts
+        codes[heads[single]] = given[: int(single.sum())]
+        codes[ranges(heads[cut], counts[cut])] = given[int(single.sum()) :]
+        return codes, counts, encoded.dictionary
 
     def counts(self, distinct: pa.Array) -> np.ndarray:
-        """The number of pieces of each string, without its ids."""
-        found = np.zeros(len(distinct), np.int64)
-        for at in range(0, len(distinct), 4096):
-            for k, one in enumerate(self.tokenizer.encode_batch_fast(distinct.slice(at, 4096).to_pylist(), add_special_tokens=False), at):
-                found[k] = len(one)
-        return found
+        """The number of pieces of each string, without its ids; counts once found are kept, in bounded memory.
+
+        Pre-tokens (units cut by `pre_tokens`) of common characters are merged by rank; the rest goes to the tokenizer.
+        """
+        texts = distinct.to_pylist()
+        known, get = self.known_counts, self.known_counts.get
+        missing = np.flatnonzero(np.fromiter((get(x) is None for x in texts), bool, len(texts)))
+        if len(missing):
+            if len(known) + len(missing) > KNOWN_COUNTS:
+                known.clear()
+                missing = np.arange(len(texts))
+            rows = distinct.take(pa.array(missing))
+            simple = pc.match_substring_regex(rows, COMMON).to_numpy(zero_copy_only=False) & ~self._has_special(rows)
+            encode = self.ranked.encode_ordinary
+            own = rows.to_pylist()
+            for text, is_simple in zip(own, simple.tolist(), strict=True):
+                if is_simple:
+                    known[text] = len(encode(text))
+            for k in np.flatnonzero(~simple).tolist():
+                known[own[k]] = len(self.tokenizer.encode(own[k], add_special_tokens=False))
+        return np.fromiter(map(get, texts), np.int64, len(texts))
 
 
 def per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
