@@ -27,12 +27,15 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(strip(text), F.lit("")) == ""
 
 
+def ends_line(text: Column) -> Column:
+    return F.rlike(F.right(text, F.lit(1)), F.lit("^(?:" + LINE_BREAK + ")"))
+
+
 def lines(text: Column) -> Column:
     """All lines of ``text`` in order; a final line break opens no further line and an empty text has none."""
-    ends_in_break = F.rlike(F.right(text, F.lit(1)), F.lit("^(?:" + LINE_BREAK + ")"))
     chopped = (
         F.when(F.endswith(text, F.lit("\r\n")), F.substring(text, F.lit(1), F.length(text) - 2))
-        .when(ends_in_break, F.substring(text, F.lit(1), F.length(text) - 1))
+        .when(ends_line(text), F.substring(text, F.lit(1), F.length(text) - 1))
         .otherwise(text)
     )
     return F.when(text != "", F.split(chopped, LINE_BREAK)).otherwise(F.array().cast("array<string>"))

@@ -5,7 +5,7 @@ After this step the text is gone: what travels on is a few hundred bytes per sou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logclinic.functions import signals as S
@@ -14,18 +14,15 @@ from logclinic.functions.platforms import MARKERS, UNKNOWN, detect_platform
 from logclinic.functions.redaction import redact
 from logclinic.functions.text import LINE_BREAK, clamp, dotted_suffixes, numbered_lines
 from logclinic.operators.fence import fenced
-from logclinic.operators.pooling import PIECE_BYTES, find_cuts, pool
+from logclinic.operators.pooling import PIECE_BYTES, pool
+from logclinic.operators.seams import with_edge
 from logclinic.rules.base import RuleBase
-from logclinic.session import ensure_checkpoint_dir
 
 EXCERPT_CHARS = 200
 #: Start of the pooled text kept for short citations.
 HEAD_CHARS = 200
-#: Text on each side of a cut between two pieces that is searched again for signals across the cut.
-SEAM_CHARS = 1 << 16
-#: Pieces whose edges are searched together, and how many of them the group before shares.
-SEAM_PIECES = 64
-SEAM_OVERLAP = 16
+#: Fine buckets whose facts are merged before those of their source, as a power of two: 67 million positions.
+MERGE_BITS = 10
 
 
 def _shown(line: Column) -> Column:
@@ -76,21 +73,23 @@ def exception_cites(lines: Column, names: Column) -> Column:
 
 
 def excerpt_text() -> Column:
-    """Text whose lines are cited: the raw text if the source has any, else the pooled text."""
-    return F.when(F.col("raw"), F.coalesce("payload_text", F.lit(""))).otherwise(F.coalesce("payload_text", "text"))
+    """Text whose lines are cited: the raw text if there is any, else the pooled text."""
+    return F.coalesce("payload_text", "text")
 
 
-def scan_text(pooled: DataFrame, rules: RuleBase) -> DataFrame:
-    """Facts per pooled row: signal bits, platform, exception names and cited lines."""
+def scan_text(pooled: DataFrame, rules: RuleBase, pieces: bool = False) -> DataFrame:
+    """Facts per pooled row: signal bits, platform, exception names and cited lines; of a piece also its edges.
+
+    A declared exception that a piece mentions is cited even if only another piece names it; ``_whole`` decides.
+    """
     declared = F.array(*[F.lit(n) for n in rules.declared_exceptions]).cast("array<string>")
-    return (
+    names = F.filter(declared, lambda n: F.contains("text", n)) if pieces else F.array_intersect("exception_keys", declared)
+    scanned = (
         pooled.withColumn("low", S.folded(F.col("text")))
         .withColumn("mask", S.signal_mask())
         .withColumn("text_platform", detect_platform(F.lower("text")))
         .withColumn("text_exceptions", exception_types(F.col("text")))
-        .withColumn("first_exception", F.get("text_exceptions", F.lit(0)))
-        .withColumn("observed", F.array_distinct(F.concat(with_short(F.col("event_error_types")), "text_exceptions")))
-        .withColumn("exception_keys", dotted_suffixes(F.col("observed")))
+        .withColumns(_names_seen())
         .withColumn(
             "lines",
             F.transform(
@@ -99,16 +98,20 @@ def scan_text(pooled: DataFrame, rules: RuleBase) -> DataFrame:
             ),
         )
         .withColumn("signal_cites", signal_cites("lines", "mask"))
-        .withColumn(
-            "exception_cites", exception_cites(F.col("lines"), F.array_intersect("exception_keys", declared))
-        )
-        .withColumn("first_line", _edge_line(F.lit(0)))
-        .withColumn("last_line", _edge_line(F.size("lines") - 1))
-        .withColumn("edge", _edge_text())
-        .withColumn("n_lines", _line_count())
+        .withColumn("exception_cites", exception_cites(F.col("lines"), names))
         .withColumn("head", F.substring("text", 1, HEAD_CHARS))
-        .drop("low", "lines")
     )
+    if pieces:
+        scanned = with_edge(scanned, "text", gated=True).withColumns(
+            {"first_line": _edge_line(F.lit(0)), "last_line": _edge_line(F.size("lines") - 1), "n_lines": _line_count(), "raw": F.col("payload_text").isNotNull()}
+        )
+    return scanned.drop("low", "lines")
+
+
+def _names_seen() -> dict[str, Column]:
+    """Columns that follow from the exception names in events and text."""
+    observed = F.array_distinct(F.concat(with_short(F.col("event_error_types")), "text_exceptions"))
+    return {"first_exception": F.get("text_exceptions", F.lit(0)), "observed": observed, "exception_keys": dotted_suffixes(observed)}
 
 
 def _line_count() -> Column:
@@ -117,14 +120,6 @@ def _line_count() -> Column:
     return F.when(text == "", 0).otherwise(F.size(F.split(F.concat(text, F.lit("\n")), LINE_BREAK)) - 1)
 
 
-def _edge_text() -> Column:
-    """Start and end of a piece; a long middle is replaced by characters that end every pattern."""
-    text = F.col("text")
-    head = F.regexp_replace(F.substring(text, 1, SEAM_CHARS), r"\S*$", "")
-    tail = F.regexp_replace(F.substring(text, -SEAM_CHARS, SEAM_CHARS), r"^\S*", "")
-    return F.when(F.length(text) <= 2 * SEAM_CHARS, text).otherwise(F.concat(head, F.lit("\x01`\n\x01"), tail))
-
-
 def _edge_line(index: Column) -> Column:
     item = F.when(index >= 0, F.get("lines", index))
     return F.when(item.isNotNull(), F.struct(item["no"].alias("no"), _shown(item["line"]).alias("line")))
@@ -138,7 +133,10 @@ SOURCE_COLUMNS = [
     "source", "n_events", "platform", "signals", "error_types", "first_exception", "observed", "exception_keys",
     "has_stack", "has_metadata", "signal_cites", "exception_cites", "head",
 ]
-PIECE_COLUMNS = ["piece", "cut", "n_lines", "first_line", "last_line", "edge"]
+PIECE_COLUMNS = [
+    "n_events", "mask", "text_platform", "event_platform", "text_exceptions", "event_error_types", "has_stack", "has_metadata", "head", "edge", "raw",
+    "n_lines", "first_line", "last_line", "signal_cites", "exception_cites",
+]
 
 
 def finish(facts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -157,131 +155,123 @@ def finish(facts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def source_features(events: DataFrame, rules: RuleBase, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """One row of facts per source of an event table.
+def _moved(line: Column, start: Column) -> Column:
+    return F.when(line.isNotNull(), F.struct((line["no"] + start).alias("no"), line["line"].alias("line")))
 
-    Sources are measured first.  Only when some exceed ``piece_bytes`` does the plan contain the cutting path; its
-    per-piece facts (small, the text is gone) are checkpointed once because several aggregations read them.
-    """
-    cuts = find_cuts(events, piece_bytes)
-    if cuts.isEmpty():
-        return finish(scan_text(pool(events), rules).select(FEATURE_COLUMNS))
-    ensure_checkpoint_dir(events.sparkSession)
-    placed_cuts = cuts.checkpoint()
-    scanned = scan_text(pool(events, placed_cuts), rules).select(*FEATURE_COLUMNS, *PIECE_COLUMNS)
-    scanned = scanned.checkpoint()
-    whole = scanned.where(~F.col("cut")).select(FEATURE_COLUMNS)
-    pieces = scanned.where("cut")
-    return finish(whole.unionByName(_rejoined(pieces).select(FEATURE_COLUMNS)))
 
+def _ordered_union(column: str) -> Column:
+    """Distinct values of an array column of all pieces, in the order of the pieces."""
+    return F.array_distinct(F.flatten(F.transform("pieces", lambda p: p[column])))
 
-def text_features(pooled: DataFrame, rules: RuleBase, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row of facts per pooled source that is known to be whole; the columns ``keep`` go along."""
-    return finish(scan_text(pooled, rules).select(*FEATURE_COLUMNS, *keep), keep)
 
+def _first_marked() -> Column:
+    """Platform of highest priority found in any piece."""
+    order = F.array(*[F.lit(p) for p in [*MARKERS, UNKNOWN]])
+    return F.get(order, (F.array_min(F.transform("pieces", lambda p: F.array_position(order, p["text_platform"]))) - 1).cast("int"))
+
+
+def _cite(c: Column, flags: list[str], number: Column, before: Column | None, after: Column | None, start: Column) -> Column:
+    """A cited line moved by ``start`` lines; neighbours it lacks are taken from outside its piece."""
+    prev = (c["prev_no"] + start, c["prev_line"]) if before is None else (F.coalesce(c["prev_no"] + start, before["no"]), F.coalesce(c["prev_line"], before["line"]))
+    following = (c["next_no"] + start, c["next_line"]) if after is None else (F.coalesce(c["next_no"] + start, after["no"]), F.coalesce(c["next_line"], after["line"]))
+    return F.struct(
+        *[c[f].alias(f) for f in flags], number.alias("no"), c["line"].alias("line"), prev[0].alias("prev_no"), prev[1].alias("prev_line"),
+        following[0].alias("next_no"), following[1].alias("next_line"), c["name"].alias("name"),
+    )
+
+
+def _joined_cites(left: Column, right: Column, column: str, after: Column) -> Column:
+    """First citation per name of two neighbouring pieces; one in a stack frame gives way to one outside."""
+    flags = ["in_frame"] if column == "exception_cites" else []
+    old = F.transform(left[column], lambda c: _cite(c, flags, c["no"], None, after, F.lit(0).cast("bigint")))
+    new = F.transform(right[column], lambda c: _cite(c, flags, c["no"] + left["n_lines"], left["last_line"], None, left["n_lines"]))
+    if flags:
+        old = F.filter(old, lambda c: ~(c["in_frame"] & F.exists(right[column], lambda d: (d["name"] == c["name"]) & ~d["in_frame"])))
+        known = lambda d: F.exists(left[column], lambda c: (c["name"] == d["name"]) & (~c["in_frame"] | d["in_frame"]))
+    else:
+        known = lambda d: F.exists(left[column], lambda c: c["name"] == d["name"])
+    return F.concat(old, F.filter(new, lambda d: ~known(d)))
+
+
+def _joined_lines() -> Column:
+    """Lines and citations of all pieces in their order; where any piece has raw text, only raw text is cited."""
+    raw = F.exists("pieces", lambda p: p["raw"])
+
+    def lines_of(p: Column) -> Column:
+        cited = p["raw"] | ~raw
+        none = lambda c: F.when(cited, p[c]).otherwise(F.filter(p[c], lambda _: F.lit(False))).alias(c)
+        return F.struct(
+            F.when(cited, p["n_lines"].cast("bigint")).otherwise(0).alias("n_lines"), F.when(cited, p["first_line"]).alias("first_line"),
+            F.when(cited, p["last_line"]).alias("last_line"), none("signal_cites"), none("exception_cites"),
+        )
 
-def _rejoined(pieces: DataFrame) -> DataFrame:
-    order = Window.partitionBy("source").orderBy("piece")
-    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    # one small row per piece: its rank, where its lines start and the nearest non-blank lines outside it
-    layout = (
-        pieces.select("source", "piece", "n_lines", "first_line", "last_line")
-        .withColumn("rank", F.row_number().over(order))
-        .withColumn("start", F.coalesce(F.sum("n_lines").over(earlier), F.lit(0)))
-        .withColumn("first_line", _moved(F.col("first_line"), F.col("start")))
-        .withColumn("last_line", _moved(F.col("last_line"), F.col("start")))
-        .withColumn("line_before", F.last("last_line", ignorenulls=True).over(earlier))
-        .withColumn("line_after", F.first("first_line", ignorenulls=True).over(later))
-        .select("source", "piece", "rank", "start", "line_before", "line_after")
-    )
-    placed = pieces.drop("first_line", "last_line", "n_lines").join(layout, ["source", "piece"])
-    facts = placed.groupBy("source").agg(
-        F.sum("n_events").alias("n_events"),
-        F.bit_or("mask").alias("mask"),
-        _first_marked().alias("text_platform"),
-        F.expr("min_by(event_platform, rank) filter (where event_platform is not null)").alias("event_platform"),
-        F.expr("min_by(first_exception, rank) filter (where first_exception is not null)").alias("first_exception"),
-        F.bool_or("has_stack").alias("has_stack"),
-        F.bool_or("has_metadata").alias("has_metadata"),
-        F.min_by("head", "rank").alias("head"),
-    )
-    for column in ("text_exceptions", "event_error_types", "observed", "exception_keys"):
-        facts = facts.join(_collected(placed, column), "source", "left")
-    for column in ("signal_cites", "exception_cites"):
-        facts = facts.join(_first_cites(placed, column), "source", "left")
-    empty = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("text_exceptions", "event_error_types", "observed", "exception_keys")}
-    seams = _seam_masks(placed).groupBy("source").agg(F.bit_or("seam_mask").alias("seam_mask"))
-    return (
-        facts.join(seams, "source", "left")
-        .withColumn("mask", F.col("mask").bitwiseOR(F.coalesce("seam_mask", F.lit(0).cast("bigint"))))
-        .withColumns(empty)
-    )
+    def join(left: Column, right: Column) -> Column:
+        after = _moved(right["first_line"], left["n_lines"])
+        return F.struct(
+            (left["n_lines"] + right["n_lines"]).alias("n_lines"), F.coalesce(left["first_line"], after).alias("first_line"),
+            F.coalesce(_moved(right["last_line"], left["n_lines"]), left["last_line"]).alias("last_line"),
+            *[_joined_cites(left, right, c, after).alias(c) for c in ("signal_cites", "exception_cites")],
+        )
 
+    shown = F.transform("pieces", lines_of)
+    return F.aggregate(F.slice(shown, F.lit(2), F.size("pieces")), F.get(shown, F.lit(0)), join)
 
-def _moved(line: Column, start: Column) -> Column:
-    return F.when(line.isNotNull(), F.struct((line["no"] + start).alias("no"), line["line"].alias("line")))
 
+def _merged(facts: DataFrame, *keys: str | Column) -> DataFrame:
+    """Facts of neighbouring pieces as facts of one: (keys, place, PIECE_COLUMNS).
 
-def _first_marked() -> Column:
-    """Platform of highest priority found in any piece."""
-    order = F.array(*[F.lit(p) for p in [*MARKERS, UNKNOWN]])
-    return F.get(order, (F.min(F.array_position(order, F.col("text_platform"))) - 1).cast("int"))
+    ``place`` orders pieces and stays the place of the first.  Signals across cuts are searched in the joined edges.
+    """
+    several = F.size("pieces") > 1
+    first_known = lambda c: F.get(F.filter(F.transform("pieces", lambda p: p[c]), lambda x: x.isNotNull()), F.lit(0))
+    filled = lambda c: F.filter(F.transform("pieces", lambda p: p[c]), lambda x: x != "")
+    any_of = lambda c: F.exists("pieces", lambda p: p[c])
+    names = [k if isinstance(k, str) else "block" for k in keys]
+    merged = (
+        facts.groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("place", *PIECE_COLUMNS)), lambda a, b: _compared(a["place"], b["place"])).alias("pieces"))
+        .withColumn("joined", F.when(several, F.array_join(filled("edge"), "\n")))
+        .withColumn("low", S.folded(F.col("joined")))
+        .withColumn("seam_mask", S.signal_mask("joined"))
+        .withColumn("lines", _joined_lines())
+    )
+    merged = with_edge(merged, "joined", gated=False)
+    one = F.get("pieces", F.lit(0))
+    masks = F.aggregate("pieces", F.col("seam_mask"), lambda held, p: held.bitwiseOR(p["mask"]))
+    return merged.select(
+        *names, one["place"].alias("place"),
+        F.aggregate("pieces", F.lit(0).cast("bigint"), lambda held, p: held + p["n_events"]).alias("n_events"), masks.alias("mask"), _first_marked().alias("text_platform"),
+        first_known("event_platform").alias("event_platform"), _ordered_union("text_exceptions").alias("text_exceptions"),
+        F.array_sort(_ordered_union("event_error_types")).alias("event_error_types"), any_of("has_stack").alias("has_stack"), any_of("has_metadata").alias("has_metadata"),
+        F.substring(F.array_join(filled("head"), "\n"), 1, HEAD_CHARS).alias("head"), F.when(several, F.col("edge")).otherwise(one["edge"]).alias("edge"), any_of("raw").alias("raw"),
+        "lines.n_lines", "lines.first_line", "lines.last_line", "lines.signal_cites", "lines.exception_cites",
+    )
 
 
-def _collected(placed: DataFrame, column: str) -> DataFrame:
-    """Distinct values over all pieces of a source."""
-    return (
-        placed.select("source", F.explode(column).alias("value"))
-        .distinct()
-        .groupBy("source")
-        .agg(F.array_sort(F.collect_list("value")).alias(column))
-    )
+def _compared(a: Column, b: Column) -> Column:
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
 
 
-def _first_cites(placed: DataFrame, column: str) -> DataFrame:
-    """First citation per signal or exception over all pieces, numbers counted through the whole source."""
-    cite = F.col("cite")
-    flags = [F.col("cite.in_frame").alias("in_frame")] if column == "exception_cites" else []
-    before, after = F.col("line_before"), F.col("line_after")
-
-    def number(prefix: str, outside: Column) -> Column:
-        return F.coalesce(cite[prefix + "no"] + F.col("start"), outside["no"]).alias(prefix + "no")
-
-    moved = F.struct(
-        *flags,
-        (cite["no"] + F.col("start")).alias("no"),
-        cite["line"].alias("line"),
-        number("prev_", before),
-        F.coalesce(cite["prev_line"], before["line"]).alias("prev_line"),
-        number("next_", after),
-        F.coalesce(cite["next_line"], after["line"]).alias("next_line"),
-        cite["name"].alias("name"),
-    )
-    return (
-        placed.select("source", "start", "line_before", "line_after", F.explode(column).alias("cite"))
-        .select("source", moved.alias("cite"))
-        .groupBy("source", "cite.name")
-        .agg(F.min("cite").alias("cite"))
-        .groupBy("source")
-        .agg(F.collect_list("cite").alias(column))
-    )
+def _whole(merged: DataFrame) -> DataFrame:
+    """Facts of a source from those of all its pieces."""
+    named = merged.withColumns(_names_seen())
+    return named.withColumn("exception_cites", F.filter("exception_cites", lambda c: F.array_contains("exception_keys", c["name"])))
 
 
-def _seam_masks(placed: DataFrame) -> DataFrame:
-    """Signals that only show when the ends of neighbouring pieces are read together.
+def source_features(events: DataFrame, rules: RuleBase, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """One row of facts per source of an event table.
 
-    Neighbouring pieces are grouped by rank, a few pieces belonging to two groups, and only their edges are joined.
+    Texts travel once, to their pieces.  The pieces' facts are merged in order by a tree: neighbours first, so that the
+    heaviest source is merged by many tasks, then what is left of each source.  Every source takes this path.
     """
-    rank = F.col("rank")
-    group = F.floor(rank / SEAM_PIECES)
-    groups = F.when(rank % SEAM_PIECES < SEAM_OVERLAP, F.array(group, group - 1)).otherwise(F.array(group))
-    joined = F.array_join(F.transform("edges", lambda e: e["edge"]), "\n")
-    return (
-        placed.where(F.col("edge") != "")
-        .select("source", "rank", "edge", F.explode(groups).alias("group"))
-        .groupBy("source", "group")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "edge"))).alias("edges"))
-        .select("source", joined.alias("text"))
-        .withColumn("low", S.folded(F.col("text")))
-        .select("source", S.signal_mask().alias("seam_mask"))
-    )
+    scanned = scan_text(pool(events, piece_bytes), rules, pieces=True)
+    facts = fenced(scanned.select("source", "fine", F.struct("fine", "part").alias("place"), *PIECE_COLUMNS))
+    merged = _merged(facts, "source", F.shiftright("place.fine", MERGE_BITS).alias("block"))
+    return finish(_whole(_merged(merged, "source")).select(FEATURE_COLUMNS))
+
+
+def text_features(pooled: DataFrame, rules: RuleBase, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row of facts per pooled source that is known to be whole; the columns ``keep`` go along."""
+    return finish(scan_text(pooled, rules).select(*FEATURE_COLUMNS, *keep), keep)
+
+

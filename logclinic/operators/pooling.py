@@ -1,8 +1,8 @@
-"""Joining the events of one source into one text without ever building an unbounded group.
+"""Joining the events of one source into texts of bounded size, without ever building an unbounded group.
 
-A source up to ``piece_bytes`` of text (10 MiB by default, the accepted size of one input) is pooled whole.  A larger
-one, which a single input can never be, is cut along event borders into pieces of that size; ``features`` evaluates
-pieces in parallel and joins their facts again, so the heaviest source is spread over many tasks.
+Events are pooled in pieces: neighbouring positions share a piece until it holds ``piece_bytes`` of text.  A piece is
+known by its place (``fine``, ``part``), which needs no other event of its source but the neighbours in its own bucket of
+``FINE_ROWS`` positions, so one shuffle of the events does it, and the heaviest source is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from logclinic.functions.platforms import UNKNOWN
 
 PIECE_BYTES = 10 * 1024 * 1024
-#: Neighbouring positions per fine bucket, and fine buckets per coarse bucket, when sources are measured.
-FINE_ROWS = 256
-FINE_PER_COARSE = 256
+#: Neighbouring positions whose events may share a piece.
+FINE_ROWS = 1 << 16
 # every event costs a little even without text, so that the number of events of a piece is bounded as well
 _EVENT_COST = 64
 
@@ -54,9 +53,6 @@ def pool_single(events: DataFrame) -> DataFrame:
     """Pooled form of sources that hold exactly one event each (raw text logs): no shuffle at all."""
     return _parts(events).select(
         "source",
-        F.lit(0).cast("bigint").alias("piece"),
-        F.lit(False).alias("cut"),
-        F.lit(False).alias("raw"),
         "text",
         "payload_text",
         F.lit(1).cast("bigint").alias("n_events"),
@@ -69,14 +65,15 @@ def pool_single(events: DataFrame) -> DataFrame:
     )
 
 
-def pool(events: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
-    """One row per source, or per piece of a source listed in ``cuts`` (see ``find_cuts``)."""
-    parts = _parts(events)
-    placed = place(parts, cuts) if cuts is not None else parts.select(
-        "*", F.lit(0).alias("piece"), F.lit(False).alias("cut"), F.lit(False).alias("raw")
-    )
+def pool(events: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """One row per piece of a source, in the order of (fine, part)."""
+    size = (F.octet_length("text") + _EVENT_COST).cast("bigint")
+    order = Window.partitionBy("source", "fine").orderBy("seq", "text", "payload_text")
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = _parts(events).withColumn("fine", F.floor(F.col("seq") / FINE_ROWS))
     return (
-        placed.groupBy("source", "piece")
+        placed.withColumn("part", F.floor(before / piece_bytes))
+        .groupBy("source", "fine", "part")
         .agg(
             F.array_sort(F.collect_list(F.struct("seq", "text", "payload_text"))).alias("items"),
             F.count("*").alias("n_events"),
@@ -84,8 +81,6 @@ def pool(events: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
             F.array_sort(F.collect_set("error_type")).alias("event_error_types"),
             F.bool_or("has_stack").alias("has_stack"),
             F.bool_or("has_metadata").alias("has_metadata"),
-            F.bool_or("cut").alias("cut"),
-            F.bool_or("raw").alias("raw"),
         )
         .withColumn("text", _joined("text"))
         .withColumn("payload_text", F.nullif(_joined("payload_text"), F.lit("")))
@@ -96,63 +91,3 @@ def pool(events: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
 def _joined(field: str) -> Column:
     texts = F.filter(F.transform("items", lambda x: x[field]), lambda t: t != "")
     return F.array_join(texts, "\n")
-
-
-def _size() -> Column:
-    return (F.octet_length("text") + _EVENT_COST).cast("bigint")
-
-
-def find_cuts(events: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """Where to cut sources larger than ``piece_bytes``: one row per fine bucket of such a source, usually none.
-
-    Bytes are summed per fine bucket of neighbouring positions; running sums are taken over those sums, first inside
-    coarse buckets, then over coarse buckets, so no step gathers the rows of a heavy source in one task.
-    """
-    fine = (
-        _parts(events)
-        .groupBy("source", F.floor(F.col("seq") / FINE_ROWS).alias("fine"))
-        .agg(F.sum(_size()).alias("bytes"), F.bool_or(F.col("payload_text").isNotNull()).alias("raw"))
-        .withColumn("coarse", F.floor(F.col("fine") / FINE_PER_COARSE))
-    )
-    per_source = Window.partitionBy("source")
-    before = per_source.orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)
-    heavy = (
-        fine.groupBy("source", "coarse")
-        .agg(F.sum("bytes").alias("coarse_bytes"), F.bool_or("raw").alias("raw"))
-        .withColumn("total", F.sum("coarse_bytes").over(per_source))
-        .withColumn("source_raw", F.bool_or("raw").over(per_source))
-        .withColumn("coarse_start", F.coalesce(F.sum("coarse_bytes").over(before), F.lit(0)))
-        .where(F.col("total") > piece_bytes)
-        .select("source", "coarse", "coarse_start", "source_raw")
-    )
-    inside = Window.partitionBy("source", "coarse").orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        fine.drop("raw")
-        .join(heavy, ["source", "coarse"])
-        .withColumn("start", F.col("coarse_start") + F.coalesce(F.sum("bytes").over(inside), F.lit(0)))
-        .select("source", "fine", "start", "source_raw", F.lit(piece_bytes).alias("piece_bytes"))
-    )
-
-
-def place(parts: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Add (piece, cut, raw) to every event.
-
-    Cuts are joined on source *and* fine bucket; the running offset inside a bucket is a window over at most
-    ``FINE_ROWS`` events.  Events of sources that need no cut take neither path.
-    """
-    keyed = parts.withColumn("fine", F.floor(F.col("seq") / FINE_ROWS))
-    light = keyed.join(cuts.select("source").distinct(), "source", "left_anti").select(
-        *parts.columns, F.lit(0).cast("bigint").alias("piece"), F.lit(False).alias("cut"), F.lit(False).alias("raw")
-    )
-    inside = Window.partitionBy("source", "fine").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    heavy = (
-        keyed.join(cuts, ["source", "fine"])
-        .withColumn("offset", F.col("start") + F.coalesce(F.sum(_size()).over(inside), F.lit(0)))
-        .select(
-            *parts.columns,
-            F.floor(F.col("offset") / F.col("piece_bytes")).alias("piece"),
-            F.lit(True).alias("cut"),
-            F.col("source_raw").alias("raw"),
-        )
-    )
-    return light.unionByName(heavy)

@@ -9,7 +9,10 @@ _FIRST = f"substr({stripped('split_part(excerpt, chr(32) || chr(124) || chr(32),
 _STATUS = "SELECT source, platform, event_count, error_types, n_matches, top_rule, top_score, top_band, status, message FROM {p}_report"
 
 SQL = {
-    "pool_text": "SELECT source, n_events, text FROM w_pool",
+    "pool_text": f"""SELECT source, fine, part, count(*) AS n_events, coalesce(string_agg(t, chr(10) ORDER BY seq) FILTER (WHERE t <> ''), '') AS text FROM (
+        SELECT *, (coalesce(sum(strlen(t) + 64) OVER (PARTITION BY source, fine ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1000)::BIGINT AS part
+        FROM (SELECT source, seq, (seq // 65536)::BIGINT AS fine, concat_ws(chr(10), {", ".join(f"nullif({c}, '')" for c in ("error_message", "stacktrace", "payload_text"))}) AS t FROM fe)
+    ) GROUP BY source, fine, part""",
     "detect_platform": "SELECT source, text_platform AS platform FROM w_plat",
     "resolve_platform": "SELECT source, platform FROM w_plat",
     "annotate_events": "SELECT f.source, f.seq, CASE WHEN f.platform = 'unknown' THEN q.platform ELSE f.platform END AS platform, coalesce(f.error_type, x.first_exception) AS error_type FROM fe f JOIN w_plat q USING (source) LEFT JOIN w_first x USING (source)",

@@ -42,13 +42,16 @@ def single_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pool_text(spark: SparkSession, sf: str) -> DataFrame:
-    return pool(W.failure_events(spark, sf)).select("source", "n_events", "text")
+    """The pieces of every source; small ones, so that sources of the given tables have several."""
+    return pool(W.failure_events(spark, sf), piece_bytes=1000).select("source", "fine", "part", "n_events", "text")
 
 
 def detect_platform(spark: SparkSession, sf: str) -> DataFrame:
-    return pool(W.failure_events(spark, sf)).select(
-        "source", platforms.detect_platform(F.lower("text")).alias("platform")
-    )
+    """The marked platform of highest priority in any piece of a source."""
+    ranked = F.array(*[F.lit(p) for p in [*platforms.MARKERS, platforms.UNKNOWN]])
+    of_piece = pool(W.failure_events(spark, sf)).select("source", platforms.detect_platform(F.lower("text")).alias("platform"))
+    best = of_piece.groupBy("source").agg(F.min(F.array_position(ranked, F.col("platform"))).cast("int").alias("rank"))
+    return best.select("source", F.element_at(ranked, F.col("rank")).alias("platform"))
 
 
 def resolve_platform(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,7 +65,7 @@ def annotated(spark: SparkSession, sf: str) -> DataFrame:
 
 def extract_exceptions(spark: SparkSession, sf: str) -> DataFrame:
     pooled = pool(W.failure_events(spark, sf))
-    return pooled.select("source", F.explode(exceptions.exception_types(F.col("text"))).alias("exception"))
+    return pooled.select("source", F.explode(exceptions.exception_types(F.col("text"))).alias("exception")).distinct()
 
 
 def observed_exceptions(spark: SparkSession, sf: str) -> DataFrame:
