@@ -8,8 +8,9 @@ Word counts cover the whole corpus and are grouped by Spark; the most frequent w
 one entry of the network.  Such a word's probability is that of the entry times its own among all words outside the
 vocabulary, from its count in the corpus and its spelling, so the neighbours tell that a rare word comes, not which.  Texts are dealt by their hash over training tasks whose number follows from the words of the corpus.  In each
 round every task trains on its texts from the last average, and the tasks' parameters are averaged, weighted by words, in
-slices that are spread over tasks; passes over all texts go on until held-out texts stop gaining.  Only the vocabulary and
-the averaged parameters, both of fixed size, pass through the driver.
+slices that are spread over tasks.  Training starts from the corpus's own word frequencies and divides every parameter's
+steps by the size of its gradients so far, so that one pass over all texts is enough; more are a parameter.  Only the
+vocabulary and the averaged state, both of fixed size, pass through the driver.
 
 Null and empty texts have no word; their sum is 0 and their mean null.  Rows with equal ids are scored one by one, equal
 texts score alike; other columns are ignored; an empty table gives no rows.
@@ -36,8 +37,11 @@ GROUP_WORDS = 32
 VOCABULARY = GROUPS * GROUP_WORDS
 SIDE = 2
 WIDTH = 16
-RATE = 0.5
-BATCH = 2048
+#: Size of a step; every parameter divides it by the root of the squares of its gradients so far, which start here.
+RATE = 0.2
+FIRST_SQUARE = 1e-6
+#: Words of a batch, and the batches of a block that make them fewer, down to a least number of words.
+BATCH, BLOCK_BATCHES, LEAST_BATCH = 8192, 128, 256
 SLICES = 16
 
 #: Words of a training task in a pass: at least so many, and so many times the root of all words, so that a larger corpus
@@ -47,7 +51,9 @@ TASK_WORDS_GROWTH = 64
 #: Rounds of a pass, after each of which the tasks are averaged; a round has at least so many words per task.
 ROUNDS = 4
 ROUND_WORDS = 1 << 16
-#: One text of so many is held out, to see when training ends: when a pass gains less than this per word.
+#: The greatest number of passes over all texts.  The first starts from the words' frequencies and learns nearly all.
+PASSES = 1
+#: With more passes, one text of so many is held out, to see when training ends: when a pass gains less than this per word.
 HELD_OUT = 64
 LEAST_GAIN = 0.01
 ENTRY_BYTES = 2 << 20
@@ -60,19 +66,28 @@ UNKNOWN, EDGE = 0, 1  # entries before the words themselves
 
 
 class Network:
-    """Parameters as one flat vector with named views."""
-
-    def __init__(self, flat: np.ndarray | None = None):
-        shapes = {"near": (2 * SIDE, VOCABULARY, WIDTH), "hidden": (WIDTH, WIDTH), "group": (WIDTH, GROUPS), "group_bias": (GROUPS,), "word": (GROUPS, WIDTH, GROUP_WORDS), "word_bias": (GROUPS, GROUP_WORDS)}
-        total = sum(int(np.prod(s)) for s in shapes.values())
-        if flat is None:
-            flat = np.random.default_rng(7).normal(0, 0.1, total).astype(np.float32)
-        self.flat = flat
-        at = 0
-        for name, shape in shapes.items():
-            size = int(np.prod(shape))
-            setattr(self, name, flat[at : at + size].reshape(shape))
-            at += size
+    """Parameters as one flat vector with named views, and the squares of their gradients (of `near`, one per row)."""
+
+    SHAPES = {"near": (2 * SIDE, VOCABULARY, WIDTH), "hidden": (WIDTH, WIDTH), "group": (WIDTH, GROUPS), "group_bias": (GROUPS,), "word": (GROUPS, WIDTH, GROUP_WORDS), "word_bias": (GROUPS, GROUP_WORDS)}
+    SQUARES = SHAPES | {"near": (2 * SIDE, VOCABULARY)}
+
+    def __init__(self, flat: np.ndarray | None = None, squares: np.ndarray | None = None):
+        size = lambda shapes: sum(int(np.prod(s)) for s in shapes.values())
+        self.flat = np.random.default_rng(7).normal(0, 0.1, size(self.SHAPES)).astype(np.float32) if flat is None else flat
+        self.squares = np.full(size(self.SQUARES), FIRST_SQUARE, np.float32) if squares is None else squares
+        self.square: dict[str, np.ndarray] = {}
+        for shapes, vector, put in ((self.SHAPES, self.flat, self.__setattr__), (self.SQUARES, self.squares, self.square.__setitem__)):
+            at = 0
+            for name, shape in shapes.items():
+                put(name, vector[at : at + int(np.prod(shape))].reshape(shape))
+                at += int(np.prod(shape))
+
+    def start_from(self, counts: np.ndarray) -> None:
+        """Biases as the logarithms of the entries' frequencies, so that training has only the neighbours to learn."""
+        own = np.log(np.maximum(counts, 0.5)).reshape(GROUPS, GROUP_WORDS)
+        of_group = log_sum(own)
+        self.word_bias[:] = own - of_group[:, None]
+        self.group_bias[:] = of_group - log_sum(of_group[None])
 
     def hidden_of(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total = self.near[0, around[:, 0]]
@@ -95,36 +110,44 @@ class Network:
                 found[own] += scores[np.arange(len(own)), inner[own]] - log_sum(scores)
         return found
 
+    def _move(self, name: str, gradient: np.ndarray, rate: np.float32, at: int | slice = slice(None)) -> None:
+        squares = self.square[name]
+        squares[at] += gradient * gradient
+        getattr(self, name)[at] += rate * gradient / np.sqrt(squares[at])
+
     def train(self, around: np.ndarray, targets: np.ndarray, rate: float) -> None:
         """One step of gradient ascent over a batch."""
+        rate, share = np.float32(rate), np.float32(1 / len(targets))
         total, h = self.hidden_of(around)
-        groups, inner = targets // GROUP_WORDS, targets % GROUP_WORDS
-        n = len(targets)
+        groups = targets // GROUP_WORDS
+        order = np.argsort(groups.astype(np.uint8), kind="stable")
+        borders = np.searchsorted(groups[order], np.arange(GROUPS + 1)).tolist()
+        around, total, h, inner = around[order], total[order], h[order], (targets % GROUP_WORDS)[order]
         error = -soft_max(h @ self.group + self.group_bias)
-        error[np.arange(n), groups] += 1
+        error[np.arange(len(targets)), groups[order]] += 1
         to_h = error @ self.group.T
-        step = np.float32(rate / n)
-        self.group += step * (h.T @ error)
-        self.group_bias += step * error.sum(axis=0)
-        order = np.argsort(groups.astype(np.uint8), kind="stable")
-        borders = np.searchsorted(groups[order], np.arange(GROUPS + 1))
+        self._move("group", (h.T @ error) * share, rate)
+        self._move("group_bias", error.sum(axis=0) * share, rate)
         for g in range(GROUPS):
-            own = order[borders[g] : borders[g + 1]]
-            if len(own):
-                error = -soft_max(h[own] @ self.word[g] + self.word_bias[g])
-                error[np.arange(len(own)), inner[own]] += 1
-                to_h[own] += error @ self.word[g].T
-                self.word[g] += step * (h[own].T @ error)
-                self.word_bias[g] += step * error.sum(axis=0)
+            a, b = borders[g], borders[g + 1]
+            if a < b:
+                error = -soft_max(h[a:b] @ self.word[g] + self.word_bias[g])
+                error[np.arange(b - a), inner[a:b]] += 1
+                to_h[a:b] += error @ self.word[g].T
+                self._move("word", (h[a:b].T @ error) * share, rate, g)
+                self._move("word_bias", error.sum(axis=0) * share, rate, g)
         back = to_h * (1 - h * h)
-        to_total = step * (back @ self.hidden.T)
-        self.hidden += step * (total.T @ back)
+        to_total = back @ self.hidden.T
+        self._move("hidden", (total.T @ back) * share, rate)
         for j in range(2 * SIDE):
             # rows of one word are added up first, so that a word changes once per step
             by_word = np.argsort(around[:, j].astype(np.uint16), kind="stable")
             sorted_words = around[by_word, j]
             heads = np.flatnonzero(np.diff(sorted_words, prepend=-1))
-            self.near[j, sorted_words[heads]] += np.float32(4) * np.add.reduceat(to_total[by_word], heads, axis=0)
+            rows, gradient = sorted_words[heads], np.add.reduceat(to_total[by_word], heads, axis=0) * share
+            squares = self.square["near"][j]
+            squares[rows] += (gradient * gradient).mean(axis=1)
+            self.near[j, rows] += rate * gradient / np.sqrt(squares[rows])[:, None]
 
 
 def log_sum(scores: np.ndarray) -> np.ndarray:
@@ -176,8 +199,15 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def vocabulary_of(counts: DataFrame) -> list[str]:
     """Two reserved entries and the most frequent words of the corpus; a fixed number."""
+    return list(entry_counts(counts))
+
+
+def entry_counts(counts: DataFrame) -> dict[str, int]:
+    """The vocabulary with the words of each entry in the corpus."""
     frequent = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - 2).collect()
-    return ["", " ", *(row["word"] for row in frequent)]  # no word is empty or a space
+    known = {row["word"]: row["n"] for row in frequent}
+    n_words = counts.agg(F.sum("n")).first()[0] or 0
+    return {"": n_words - sum(known.values()), " ": 0} | known  # no word is empty or a space
 
 
 def _encode(words: list[str]):
@@ -201,21 +231,21 @@ def _entries(batches):
         yield np.frombuffer(b"".join(raw), "<u2").astype(np.int64), np.array([len(x) // 2 for x in raw], np.int64)
 
 
-def _train(flat: np.ndarray):
+def _train(state: np.ndarray, size: int):
     """All texts of a task, block by block; the parameters leave in slices with the number of words they saw."""
 
     def trained(batches):
-        network, n_seen = Network(flat.copy()), 0
+        network, n_seen = Network(state[:size].copy(), state[size:].copy()), 0
         for targets, counts in _entries(batches):
             around = windows(targets, counts)
             # stretches of neighbouring words from all over the block in one batch
-            n_batches = max(1, len(targets) // BATCH)
+            n_batches = max(1, -(-len(targets) // BATCH), min(BLOCK_BATCHES, len(targets) // LEAST_BATCH))
             for k in range(n_batches):
                 own = slice(k, None, n_batches)
                 network.train(around[own], targets[own], RATE)
             n_seen += len(targets)
         if n_seen:
-            for k, part in enumerate(np.array_split(network.flat, SLICES)):
+            for k, part in enumerate(np.array_split(np.concatenate([network.flat, network.squares]), SLICES)):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n_seen], pa.int64()), pa.array([part.astype("<f4").tobytes()], pa.binary())], ["slice", "n", "parameters"])
 
     return trained
@@ -245,27 +275,34 @@ def _average(batches):
         yield pa.RecordBatch.from_arrays([pa.array(sorted(sums), pa.int32()), pa.array([(sums[k] / seen[k]).astype("<f4").tobytes() for k in sorted(sums)], pa.binary())], ["slice", "parameters"])
 
 
-def _round(texts: DataFrame, n_tasks: int, flat: np.ndarray) -> np.ndarray:
-    """Every task trains on its texts from the same parameters, in the order of their keys; the average of the tasks."""
+def _round(texts: DataFrame, n_tasks: int, state: np.ndarray, size: int) -> np.ndarray:
+    """Every task trains on its texts from the same state, in the order of their keys; the average of the tasks.
+
+    The state: `size` parameters and the squares of their gradients.
+    """
     dealt = texts.repartitionById(n_tasks, "task").sortWithinPartitions("key", "entries").select("entries")
-    slices = dealt.mapInArrow(_train(flat), "slice int, n long, parameters binary").repartitionById(SLICES, "slice")
+    slices = dealt.mapInArrow(_train(state, size), "slice int, n long, parameters binary").repartitionById(SLICES, "slice")
     averaged = slices.mapInArrow(_average, "slice int, parameters binary").collect()
     if not averaged:
-        return flat
+        return state
     return np.concatenate([np.frombuffer(row["parameters"], "<f4") for row in sorted(averaged, key=lambda r: r["slice"])])
 
 
 def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", counts: DataFrame | None = None) -> tuple[list[str], np.ndarray]:
-    """The vocabulary, and the parameters after as many passes as raise the log probability of held-out texts.
+    """The vocabulary, and the parameters after PASSES passes, or fewer if held-out texts stop gaining.
 
     A pass is a few rounds of disjoint texts, each of which starts from the average of the one before.
     """
     prepare(docs.sparkSession)
     counts = word_counts(docs, text) if counts is None else counts
-    words, flat = vocabulary_of(counts), Network().flat
-    n_words = counts.agg(F.sum("n")).first()[0] or 0
+    entries = entry_counts(counts)
+    words, n_words, network = list(entries), sum(entries.values()), Network()
     if not n_words:
-        return words, flat
+        return words, network.flat
+    of_entry = np.zeros(VOCABULARY)
+    of_entry[: len(words)] = list(entries.values())
+    network.start_from(of_entry)
+    state, size = np.concatenate([network.flat, network.squares]), len(network.flat)
     # tasks and rounds follow from the number of words, not from the layout of files
     task_words = max(TASK_WORDS, TASK_WORDS_GROWTH * n_words**0.5)
     n_tasks = max(1, round(n_words / task_words))
@@ -276,19 +313,22 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", counts: D
         "key", "entries", (F.pmod("key", F.lit(HELD_OUT)) == 0).alias("held"),
         F.pmod(F.shiftright("key", 8), F.lit(n_tasks)).cast("int").alias("task"), F.pmod(F.shiftrightunsigned("key", 40), F.lit(n_rounds)).alias("round"),
     )
-    trained, held = texts.filter("NOT held"), texts.filter("held")
-    if held.isEmpty() or trained.isEmpty():  # a few texts only
+    trained, held = (texts, None) if PASSES == 1 else (texts.filter("NOT held"), texts.filter("held"))
+    if held is not None and (held.isEmpty() or trained.isEmpty()):  # a few texts only
         trained = held = texts
-    best, value = flat, -np.inf
-    while True:
+    best, value = state, -np.inf
+    for _ in range(PASSES):
         for k in range(n_rounds):
-            flat = _round(trained.filter(F.col("round") == k), n_tasks, flat)
-        total, n = held.select("entries").mapInArrow(_held_out(flat), "total double, n long").agg(F.sum("total"), F.sum("n")).first()
+            state = _round(trained.filter(F.col("round") == k), n_tasks, state, size)
+        if held is None:
+            return words, state[:size]
+        total, n = held.select("entries").mapInArrow(_held_out(state[:size]), "total double, n long").agg(F.sum("total"), F.sum("n")).first()
         before, now = value, total / n
         if now > value:
-            best, value = flat, now
+            best, value = state, now
         if not now > before + LEAST_GAIN:
-            return words, best
+            break
+    return words, best[:size]
 
 
 def _bigrams(batches):

@@ -80,13 +80,42 @@ def test_gradient_of_the_network():
     around, targets = pick.integers(0, masked_lm.VOCABULARY, (64, 4)), pick.integers(0, masked_lm.VOCABULARY, 64)
     before = network.log_probabilities(around, targets).sum()
     for _ in range(20):
-        network.train(around, targets, 0.5)
+        network.train(around, targets, 0.1)
     assert network.log_probabilities(around, targets).sum() > before + 1
     all_words = np.arange(masked_lm.VOCABULARY)
     total = np.exp(network.log_probabilities(np.repeat(around[:1], len(all_words), axis=0), all_words)).sum()
     assert abs(total - 1) < 1e-3
 
 
+def test_whole_texts_score_as_in_plain_python(spark):
+    """Every word's log probability from a softmax over groups and one inside the group, summed over a whole text."""
+    words = ["", " ", *"abcdefgh"]
+    network = masked_lm.Network()
+    network.start_from(np.arange(masked_lm.VOCABULARY) + 1.0)
+    texts = ["a b c", "h", "", "a zz b  d\nq e f " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["log_probability"] for r in masked_lm.score(docs, words, network.flat).collect()}
+    soft = lambda x: x - np.log(np.exp(x - x.max()).sum()) - x.max()
+    for doc_id, text in enumerate(texts):
+        own = [words.index(w) if w in words else masked_lm.UNKNOWN for w in text.split()]
+        total = 0.0
+        for k, target in enumerate(own):
+            around = [own[k + d] if 0 <= k + d < len(own) else masked_lm.EDGE for d in (-2, -1, 1, 2)]
+            h = np.tanh(sum(network.near[j, w].astype(float) for j, w in enumerate(around)) @ network.hidden.astype(float))
+            g, i = divmod(target, masked_lm.GROUP_WORDS)
+            total += soft(h @ network.group + network.group_bias)[g] + soft(h @ network.word[g] + network.word_bias[g])[i]
+        assert abs(total - found[doc_id]) <= 1e-4 * max(1, len(own))
+
+
+def test_training_starts_from_frequencies():
+    network = masked_lm.Network()
+    network.group[:], network.word[:] = 0, 0
+    counts = np.random.default_rng(1).integers(1, 1000, masked_lm.VOCABULARY)
+    network.start_from(counts)
+    found = network.log_probabilities(np.zeros((masked_lm.VOCABULARY, 4), int), np.arange(masked_lm.VOCABULARY))
+    assert np.allclose(found, np.log(counts / counts.sum()), atol=1e-4)
+
+
 def test_windows_stay_inside_texts():
     around = masked_lm.windows(np.array([5, 6, 7, 8]), np.array([3, 0, 1]))
     edge = masked_lm.EDGE
