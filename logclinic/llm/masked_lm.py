@@ -18,12 +18,12 @@ texts score alike; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +41,7 @@ WIDTH = 16
 RATE = 0.2
 FIRST_SQUARE = 1e-6
 #: Words of a batch, and the batches of a block that make them fewer, down to a least number of words.
-BATCH, BLOCK_BATCHES, LEAST_BATCH = 8192, 128, 256
+BATCH, BLOCK_BATCHES, LEAST_BATCH = 8192, 64, 256
 SLICES = 16
 
 #: Words of a training task in a pass: at least so many, and so many times the root of all words, so that a larger corpus
@@ -176,10 +176,19 @@ def windows(targets: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def targets_of(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The entry of every word of all texts, and the number of words of each text."""
+    targets, counts, *_ = coded_targets(texts, vocabulary)
+    return targets, counts
+
+
+def coded_targets(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The same, and the codes and distinct words of all that are outside the vocabulary."""
     words, counts = words_of(pc.utf8_lower(texts.cast(pa.large_string())))
     codes, distinct = coded(words)
-    entries = pc.fill_null(pc.index_in(distinct, vocabulary), UNKNOWN).to_numpy(zero_copy_only=False)
-    return (entries[codes] if len(codes) else np.zeros(0, np.int64)).astype(np.int64), counts
+    entries = pc.fill_null(pc.index_in(distinct, vocabulary), UNKNOWN).to_numpy(zero_copy_only=False).astype(np.int64)
+    targets = entries[codes] if len(codes) else np.zeros(0, np.int64)
+    outside = entries == UNKNOWN
+    place = np.cumsum(outside) - 1
+    return targets, counts, place[codes[targets == UNKNOWN]] if len(codes) else np.zeros(0, np.int64), distinct.filter(pa.array(outside))
 
 
 def _count_words(batches):
@@ -402,17 +411,16 @@ def score_words(docs: DataFrame, words: list[str], parameters: np.ndarray, rare:
 
     def posted(batches):
         network, vocabulary = Network(np.array(parameters, np.float32)), pa.array(words, pa.large_string())
-        for block in blocks(batches, SCORED_BYTES):
-            all_words, counts = words_of(pc.utf8_lower(block.column("text").cast(pa.large_string())))
-            targets, _ = targets_of(block.column("text"), vocabulary)
+        task = TaskContext.get().partitionId() << 32
+        for number, block in enumerate(blocks(batches, SCORED_BYTES)):
+            targets, counts, codes, distinct = coded_targets(block.column("text"), vocabulary)
             sums = class_sums(network, targets, counts)
             unknown = targets == UNKNOWN
-            codes, distinct = coded(all_words.filter(pa.array(unknown)))
             n_unknown = per_text(unknown.astype(np.float64), counts).astype(np.uint32) if len(targets) else np.zeros(len(counts), np.uint32)
             ids = block.column("doc_id")
             blob = packed(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), counts.astype(np.uint32), sums, n_unknown, codes.astype(np.uint32))
             own = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct.cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([blob], pa.binary()), own], ["block", "payload", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([task + number], pa.int64()), pa.array([blob], pa.binary()), own], ["block", "payload", "words"])
 
     n_words, n_distinct, bigrams = rare.n_words, rare.n_distinct, rare.bigrams
 
@@ -430,7 +438,7 @@ def score_words(docs: DataFrame, words: list[str], parameters: np.ndarray, rare:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, mask=no_id > 0), pa.array(counts), pa.array(sums), mean], ["doc_id", "n_words", "log_probability", "mean_log_probability"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    posts = staged(rows.mapInArrow(posted, "block string, payload binary, words array<string>"), "blocks")
+    posts = staged(rows.mapInArrow(posted, "block long, payload binary, words array<string>"), "blocks")
     each = posts.select("block", F.posexplode("words").alias("at", "word"))
     seen = each.join(rare.table, "word").groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("seen"))
     return posts.join(seen, "block", "left").select("payload", "words", "seen").mapInArrow(summed, "doc_id long, n_words long, log_probability double, mean_log_probability double")
