@@ -64,6 +64,11 @@ def stack_lines(all_lines: Column) -> Column:
     return F.nullif(joined, F.lit(""))
 
 
+def padded(text: Column, width: int) -> Column:
+    """Blanks added up to the width; longer texts stay whole."""
+    return F.concat(text, F.repeat(F.lit(" "), F.greatest(width - F.length(text), F.lit(0))))
+
+
 def clamp(text: Column, limit: int) -> Column:
     """Cut to ``limit`` characters, the last three being dots when something was cut."""
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 3), F.lit("..."))).otherwise(text)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logclinic import schema
 from logclinic.functions.signals import ALL_SIGNALS
+from logclinic.functions.text import padded
 from logclinic.rules.base import format_checks, problems_of, signal_table, with_defaults
 from logclinic.rules.catalog import FAMILIES
 
@@ -83,7 +84,7 @@ def catalog_text(rules: DataFrame) -> DataFrame:
     placed = rules.withColumn("family", F.split("category", r"\.")[0]).join(groups, "family")
     pad = F.repeat(F.lit(" "), (F.col("name_width") - F.length("name")).cast("int"))
     line = F.concat(
-        F.lit("  "), F.rpad("rule_id", 18, " "), F.lit(" "), "name", pad, F.lit("  "), F.rpad("severity", 8, " "), F.lit(" "), F.array_join("platforms", ", ")
+        F.lit("  "), padded(F.col("rule_id"), 18), F.lit(" "), "name", pad, F.lit("  "), padded(F.col("severity"), 8), F.lit(" "), F.array_join("platforms", ", ")
     )
     grouped = placed.groupBy("family", "place", "title", "n_rules").agg(F.array_sort(F.collect_list(F.struct("rule_id", line.alias("line")))).alias("members"))
     head = F.concat("title", F.lit(" ("), F.col("n_rules").cast("string"), F.lit(")"))

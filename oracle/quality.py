@@ -58,7 +58,7 @@ SQL = {
 }
 _NAMED = "(SELECT *, split_part(category, '.', 1) AS family FROM arule WHERE rname IS NOT NULL)"
 _TITLE = "coalesce(t.title, upper(substr(g.family, 1, 1)) || lower(substr(g.family, 2)))"
-SQL["catalog_text"] = f"""SELECT g.family, coalesce(t.place, {len(FAMILIES) + 1}) AS place, {_TITLE} || ' (' || g.n || ')' || chr(10) || string_agg('  ' || CASE WHEN length(r.rule_id) > 18 THEN substr(r.rule_id, 1, 18) ELSE rpad(r.rule_id, 18, ' ') END || ' ' || rpad(r.rname, g.width::INTEGER, ' ') || '  ' || rpad(r.severity, 8, ' ') || ' ' || array_to_string(r.platforms, ', '), chr(10) ORDER BY r.rule_id) AS text
+SQL["catalog_text"] = f"""SELECT g.family, coalesce(t.place, {len(FAMILIES) + 1}) AS place, {_TITLE} || ' (' || g.n || ')' || chr(10) || string_agg('  ' || rpad(r.rule_id, greatest(18, length(r.rule_id))::INTEGER, ' ') || ' ' || rpad(r.rname, g.width::INTEGER, ' ') || '  ' || rpad(r.severity, 8, ' ') || ' ' || array_to_string(r.platforms, ', '), chr(10) ORDER BY r.rule_id) AS text
 FROM {_NAMED} r JOIN (SELECT family, count(*) AS n, max(length(rname)) AS width FROM {_NAMED} GROUP BY family) g USING (family) LEFT JOIN family_title t ON t.family = g.family GROUP BY g.family, t.place, t.title, g.n, g.width"""
 _RATIOS = ["accuracy", "precision", "recall", "abstention_quality", "confidence_calibration", "evidence_coverage", "unsupported_claim_rate", "remediation_coverage", "regression_rate", "tool_efficiency"]
 _SHOWN = " || chr(10) || ".join(f"'  ' || rpad('{r.replace('_', ' ')}', 25, ' ') || coalesce(printf('%.3f', {r}), 'n/a')" for r in _RATIOS)
