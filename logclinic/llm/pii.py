@@ -1,8 +1,8 @@
 """Personal data: expressions propose spans, checksums confirm them, words nearby adjust their scores.
 
 Kinds that always stand once confirmed: email, ip (parts at most 255), card (Luhn), phone (9 to 15 digits).  Added kinds
-need a score of at least `LEAST_SCORE`: iban (mod 97), local_phone (no country code), secret (an assigned key) and key_id
-(keys of a known form), which gain by context words nearby.  An added span that overlaps one of the first four is dropped.
+need a score of at least `LEAST_SCORE`: iban (mod 97), local_phone (no country code), secret (an assigned key, whose own
+name counts as context) and key_id (keys of a known form), which gain by context words nearby.  An added span that overlaps one of the first four is dropped.
 
 Offsets count code points, ends are exclusive.  Null and empty texts have no span; null texts stay null when redacted.
 Rows with equal ids are searched one by one; an empty table gives no rows.
@@ -34,7 +34,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3,4}\)?[\x20-][0-9]{3}[\x20-][0-9]{4}(?![0-9-])")
-SECRET = re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9+/_=.-]{16,})")
+# the key word may end a longer name (client_secret, AWS_SECRET_ACCESS_KEY) and be quoted, as in JSON
+SECRET = re.compile(
+    r"(?i)(?:token|secret(?:[_-]?key)?|passw(?:or)?d|api[_-]?key|access[_-]?key)\b[\"']?\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9+/_=.-]{16,})"
+)
 KEY_ID = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[0-9A-Za-z_-]{35})(?![A-Za-z0-9])")
 #: Texts without any of these hold nothing but e-mail addresses.
 WORTHWHILE = "[0-9]|AKIA|gh[pousr]_|AIza"
@@ -47,7 +50,7 @@ CONTEXT = {
     "phone": ("phone", "call", "tel", "mobile"),
     "iban": ("iban", "account", "bank"),
     "local_phone": ("phone", "call", "tel", "mobile", "fax"),
-    "secret": ("token", "key", "secret", "password"),
+    "secret": ("token", "key", "secret", "passw"),
     "key_id": ("key", "access", "credential"),
 }
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "local_phone": 0.3, "secret": 0.4, "key_id": 0.7}
@@ -102,13 +105,17 @@ def _numbers(text: str):
 
 
 def _proposed(text: str):
-    for m in IBAN.finditer(text):
-        # upper-case words may follow: the longest start that the checksum confirms
+    m = IBAN.search(text)
+    while m:
+        # upper-case words or a further number may follow: the longest start that the checksum confirms
+        onward = m.start() + 1
         for end in range(m.end(), m.start() + 14, -1):
             own = text[m.start() : end].replace(" ", "")
             if text[end - 1] != " " and (end == len(text) or not text[end].isalnum()) and 15 <= len(own) <= 34 and mod97(own):
                 yield "iban", m.start(), end
+                onward = end
                 break
+        m = IBAN.search(text, onward)
     for m in LOCAL_PHONE.finditer(text):
         yield "local_phone", m.start(), m.end()
     for m in SECRET.finditer(text):
