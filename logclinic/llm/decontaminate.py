@@ -7,8 +7,8 @@ each hit.  Items and texts are compared in lower case with white space collapsed
 Items travel to the tasks in blocks of bounded size; a larger benchmark means more passes, never a larger broadcast.
 Texts stay where they are: nothing is shuffled, so no hot document or source can arise.
 
-Items shorter than `LEAST_CHARS` are not searched, nor are null items; equal items are all reported.  Null and empty texts
-hold nothing.  Rows with equal ids are searched one by one; other columns are ignored, empty tables give no rows.
+Items shorter than `LEAST_CHARS` must occur unchanged, as whole words; null and blank items occur nowhere; equal items are
+all reported.  Null and empty texts hold nothing.  Rows with equal ids are searched one by one; other columns are ignored, empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from logclinic.llm.blocks import blocks
 from logclinic.llm.staging import prepare
 
 EDITS_PER = 20
+#: Shorter items allow no edit: almost any text is within an edit or two of a part of another one.
 LEAST_CHARS = 24
 #: Characters of benchmark items that one pass over the texts searches.
 BLOCK_CHARS = 4 << 20
@@ -34,13 +35,23 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def edits_of(item: str) -> int:
+    return len(item) // EDITS_PER if len(item) >= LEAST_CHARS else 0
+
+
 def pieces_of(item: str) -> list[tuple[int, str]]:
     """Start and text of one piece more than the edits allowed."""
-    n = len(item) // EDITS_PER + 1
+    n = edits_of(item) + 1
     cuts = [k * len(item) // n for k in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def is_whole(text: str, begin: int, end: int) -> bool:
+    """Whether the part neither begins nor ends inside a word."""
+    cut = [at for at in (begin, end) if 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()]
+    return not cut
+
+
 def letter_masks(item: str) -> dict[str, int]:
     masks: dict[str, int] = {}
     for k, c in enumerate(item):
@@ -95,7 +106,12 @@ class Matcher:
                 hits.setdefault(k, set()).add(last + 1 - length - start)
         for k, begins in hits.items():
             name, item, masks = self.items[k]
-            allowed = len(item) // EDITS_PER
+            if len(item) < LEAST_CHARS:
+                ends = [begin + len(item) for begin in begins if is_whole(own, begin, begin + len(item))]
+                if ends:
+                    yield name, 0, min(ends)
+                continue
+            allowed = edits_of(item)
             best = None
             low = high = None
             for begin in [*sorted(begins), None]:
@@ -116,7 +132,7 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[
     held, size = [], 0
     for row in benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).filter("text IS NOT NULL").toLocalIterator():
         own = normal(row["text"])
-        if len(own) < LEAST_CHARS:
+        if not own:
             continue
         if held and size + len(own) > BLOCK_CHARS:
             yield held
