@@ -36,6 +36,12 @@ UNKNOWN_PRIOR = 0.01
 LEAST_PROBABILITY = 0.5
 #: Bytes of text judged together: a worker then peaks at 255 MB instead of 414.
 BLOCK_BYTES = 4 << 20
+#: Entities that letters and common signs are written as; `amp` last, so that nothing is decoded twice.
+ENTITIES = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "auml": "ä", "ouml": "ö", "uuml": "ü", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "szlig": "ß",
+    "agrave": "à", "acirc": "â", "aacute": "á", "ccedil": "ç", "eacute": "é", "egrave": "è", "ecirc": "ê", "iacute": "í", "ntilde": "ñ", "oacute": "ó", "ocirc": "ô",
+    "uacute": "ú", "ugrave": "ù", "amp": "&",
+}
 SUFFIXES = {"uk": "en", "us": "en", "au": "en", "ie": "en", "fr": "fr", "de": "de", "at": "de", "es": "es", "mx": "es", "ar": "es"}
 
 
@@ -96,6 +102,28 @@ def _score(model: np.ndarray):
     return score
 
 
+def page_text(html: Column) -> Column:
+    """What a page shows: without head, scripts, styles, comments and menus, tags as spaces, entities as letters."""
+    shown = F.regexp_replace(html, r"(?is)<!--.*?-->", " ")
+    shown = F.regexp_replace(shown, r"(?is)<(head|script|style|template|nav)\b[^>]*>.*?</\1\s*>", " ")
+    shown = F.regexp_replace(shown, r"(?s)<[a-zA-Z/!?][^>]*>", " ")
+    for entity, letter in ENTITIES.items():
+        shown = F.replace(shown, F.lit(f"&{entity};"), F.lit(letter))
+    return shown
+
+
+def documents_and_pages(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Both tables as rows that `identify` can judge together: doc_id, page_id, text, source, lang, html, url.
+
+    Pages take the ids -1, -2, ... by page_id, so that no document shares one.
+    """
+    missing = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    number = F.col("page_id").cast("long")
+    return docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", "source", "lang", *missing("html", "url")).unionByName(
+        pages.select((-1 - number).alias("doc_id"), number.alias("page_id"), page_text(F.col("html")).alias("text"), *missing("source", "lang"), "html", "url")
+    )
+
+
 def text_model(rows: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
     """Log probabilities of the table's slots per language, and an even row for the unknown; of bounded size."""
     declared = rows.filter(F.col("declared").isin(*languages)).select("text", "declared")
@@ -116,10 +144,11 @@ def host_priors(scored: DataFrame, n: int) -> DataFrame:
     read = [f"r{k}" for k in range(n)]
     by_host = scored.groupBy("host", "domain").agg(*(F.sum((F.col("read") == k).cast("long")).alias(f"r{k}") for k in range(n)))
     by_domain = by_host.groupBy(F.col("domain").alias("d")).agg(*sums("d", read))
-    overall = by_domain.agg(*sums("a", [f"d{k}" for k in range(n)]))
+    # one row: the counts of all texts
+    read_all = [count or 0 for count in by_domain.agg(*sums("a", [f"d{k}" for k in range(n)])).first()]
     total = lambda prefix: sum((F.col(f"{prefix}{k}") for k in range(1, n)), F.col(f"{prefix}0"))
-    rows = by_host.join(by_domain, F.col("domain").eqNullSafe(F.col("d"))).withColumn("one", F.lit(1)).join(F.broadcast(overall.withColumn("one", F.lit(1))), "one")
-    top = [(F.col(f"a{k}") + 1) / (total("a") + n) for k in range(n)]
+    rows = by_host.join(by_domain, F.col("domain").eqNullSafe(F.col("d")))
+    top = [F.lit((count + 1) / (sum(read_all) + n)) for count in read_all]
     middle = _smoothed([F.col(f"d{k}") for k in range(n)], total("d"), top)
     return rows.select(F.col("host").alias("of_host"), F.array(*_smoothed([F.col(r) for r in read], total("r"), middle)).alias("prior"))
 

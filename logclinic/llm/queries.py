@@ -90,9 +90,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from logclinic.llm.language_id import identify
+    """Documents by declared language and source, pages by markup, address and host; page n has doc_id -1 - n."""
+    from logclinic.llm.language_id import documents_and_pages, identify
 
-    return identify(documents(spark, sf_dir)).drop("row_hash")
+    rows = documents_and_pages(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = identify(rows, markup="html", url="url").drop("row_hash")
+    return found.withColumn("page_id", F.when(F.col("doc_id") < 0, -1 - F.col("doc_id")))
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,3 +221,54 @@ def chat_digests(rows: list[tuple]) -> list[tuple]:
         loss = "".join(text for *_, role, text in own if role == "assistant")
         found.append((conv_id, len(own), digest("".join(f"{role}\n{text}\n" for *_, role, text in own)), len(loss), digest(loss)))
     return found
+
+
+def languages(rows, names=("en", "fr", "de", "es")):
+    """(language, probability) of every row (text, declared, host, domain, suffix), evidence by evidence."""
+    import math
+
+    import numpy as np
+
+    from logclinic.llm import language_id as L
+    from logclinic.llm.blocks import mixed
+
+    n = len(names)
+
+    def slots(text):
+        found = []
+        for word in words(text):
+            if not re.search(rb"[0-9]", word):
+                padded = b" " + word.decode().lower().encode() + b" "
+                found += [padded[i] << 16 | padded[i + 1] << 8 | padded[i + 2] for i in range(len(padded) - 2)]
+        return (mixed(np.array(found, np.uint64)) % np.uint64(L.TABLE)).astype(int).tolist() if found else []
+
+    of_row = [slots(row[0]) for row in rows]
+    table = [[1] * L.TABLE for _ in range(n + 1)]
+    for row, found in zip(rows, of_row, strict=True):
+        if row[1] in names:
+            for slot in found:
+                table[names.index(row[1])][slot] += 1
+    totals = [sum(line) for line in table]
+    text_part = [[L.TEMPER * sum(math.log(table[k][slot] / totals[k]) for slot in found) for k in range(n + 1)] for found in of_row]
+    hosts, domains, everywhere = {}, {}, [0] * n
+    for row, part in zip(rows, text_part, strict=True):
+        best = max(part[:n])
+        if words(row[0]) and best > part[n]:
+            read = part.index(best)
+            for counts in (hosts.setdefault(row[2], [0] * n), domains.setdefault(row[3], [0] * n), everywhere):
+                counts[read] += 1
+    top = [(c + 1) / (sum(everywhere) + n) for c in everywhere]
+    smoothed = lambda counts, prior: [(c + L.HOST_WEIGHT * p) / (sum(counts) + L.HOST_WEIGHT) for c, p in zip(counts, prior, strict=True)]
+    result = []
+    for row, part in zip(rows, text_part, strict=True):
+        if not words(row[0]):
+            result.append(("und", 0.0))
+            continue
+        prior = smoothed(hosts.get(row[2], [0] * n), smoothed(domains.get(row[3], [0] * n), top))
+        logs = [a + math.log(p * (1 - L.UNKNOWN_PRIOR)) for a, p in zip(part[:n], prior, strict=True)] + [part[n] + math.log(L.UNKNOWN_PRIOR)]
+        for said, right in ((row[1], L.DECLARED_RIGHT), (L.SUFFIXES.get(row[4]), L.SUFFIX_RIGHT)):
+            if said in names:
+                logs = [v + math.log(right if x == said else (1 - right) / n) for v, x in zip(logs, (*names, "und"), strict=True)]
+        best = max(logs)
+        result.append(((*names, "und")[logs.index(best)], 1 / sum(math.exp(v - best) for v in logs)))
+    return result

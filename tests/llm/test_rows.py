@@ -190,6 +190,53 @@ def test_evidence_of_pages(spark, small):
     assert found[10_011]["language"] == "und" and not found[10_011]["accepted"]
 
 
+def _sites(spark, small, hidden: int = 0, folder: str = SMALL):
+    """Documents and pages together; one page in `hidden` without its declared language, one in five at a country address."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    country = F.when(F.col("page_id") % 5 == 0, F.regexp_replace("url", r"example\.(com|net|org)", "example.fr")).otherwise(F.col("url"))
+    bare = F.when(F.col("page_id") % hidden == 0, F.regexp_replace("html", ' lang="[a-z]*"', "")).otherwise(F.col("html")) if hidden else F.col("html")
+    return pages, language_id.documents_and_pages(small, pages.select("page_id", country.alias("url"), bare.alias("html")))
+
+
+def test_language_against_plain_fusion(spark, small):
+    _, table = _sites(spark, small, hidden=3)
+    found = {r["doc_id"]: r for r in language_id.identify(table, markup="html", url="url").collect()}
+    rows, ids = [], []
+    for r in table.collect():
+        marked = re.search(r'<html[^>]* lang="([a-z]+)"', r["html"] or "")
+        address = re.match(r"https?://([^/:?#]+)", r["url"] or "")
+        host = address[1] if address else r["source"]
+        parts = (host or "").split(".")
+        rows.append((r["text"], r["lang"] or (marked[1] if marked else None), host, host and ".".join(parts[-2:]), parts[-1] if len(parts) > 1 else None))
+        ids.append(r["doc_id"])
+    for doc_id, (language, probability) in zip(ids, plain.languages(rows), strict=True):
+        assert found[doc_id]["language"] == language, doc_id
+        assert abs(found[doc_id]["probability"] - probability) < 1e-6, doc_id
+
+
+def test_language_of_pages_that_declare_none(spark, small):
+    pages, table = _sites(spark, small, hidden=3, folder="/root/testdata/sf0.01")
+    found = {r["doc_id"]: r for r in language_id.identify(table, markup="html", url="url").collect()}
+    truth = {r["page_id"]: re.search(r'lang="([a-z]+)"', r["html"])[1] for r in pages.collect()}
+    hidden = [p for p in truth if p % 3 == 0 and p % 5]
+    assert len(hidden) > 20 and sum(found[-1 - p]["language"] == truth[p] for p in hidden) >= 0.95 * len(hidden)
+
+
+def test_every_evidence_counts(spark, small):
+    """Without markup, address, declared language or hosts some rows get another probability."""
+    _, table = _sites(spark, small)
+    read = lambda frame, **columns: {r["doc_id"]: r["probability"] for r in language_id.identify(frame, **{"markup": "html", "url": "url"} | columns).collect()}
+    every = read(table)
+    changed = lambda other: sum(abs(every[k] - other[k]) > 1e-9 for k in every)
+    assert changed(read(table, markup=None)) and changed(read(table, url=None)) and changed(read(table, declared=None)) and changed(read(table, host=None))
+
+
+def test_text_of_pages(spark):
+    html = '<html lang="fr"><head><title>t</title></head><body><!-- <p>no</p> --><script>if (a<b) x("</p>")</script><NAV><a>menu</a></NAV><p class="a">l&eacute;gende 1 < 2 &amp;lt;</p></body></html>'
+    rows = spark.createDataFrame([(html,), (None,), ("",), ("<p>open <!-- comment",)], "html string").select(language_id.page_text(F.col("html")).alias("t")).collect()
+    assert [r["t"] and r["t"].split() for r in rows] == [["légende", "1", "<", "2", "&lt;"], None, "", ["open", "<!--", "comment"]]
+
+
 def test_language_of_odd_tables(odd, empty):
     found = language_id.identify(odd).collect()
     assert len(found) == odd.count()
