@@ -48,6 +48,7 @@ SQL = {
     "event_validate": "SELECT source, seq, reason FROM jerror",
     "alias_coalesce": "SELECT source, seq, error_type, error_message, stacktrace FROM jevent",
     "input_status": "SELECT source, status, platform, event_count, top_rule, top_score, message FROM outcome",
+    "scan_batch": "SELECT o.source, f.size + 1 AS size, f.format, o.status, o.platform, o.event_count, o.top_rule, o.top_score, o.message, 'diagnosed ' || (count(*) FILTER (WHERE o.status = 'diagnosed') OVER ()) || ' of ' || (count(*) OVER ()) || ' input(s)' AS summary FROM outcome o JOIN files f USING (source) WHERE o.source IN (SELECT source FROM inputs)",
     "batch_verdict": "SELECT *, FALSE AS fail_never, diagnosed > 0 AS fail_diagnosed, errors > 0 AS fail_error, 'diagnosed ' || diagnosed || ' of ' || total || ' input(s)' AS summary FROM (SELECT count(*) AS total, count(*) FILTER (WHERE status = 'diagnosed') AS diagnosed, count(*) FILTER (WHERE status = 'input_error') AS errors FROM outcome)",
 }
 STATEMENTS = {name: statement(sql) for name, sql in SQL.items()}
