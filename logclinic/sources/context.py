@@ -29,10 +29,15 @@ def _kind(v: str) -> str:
     return f"coalesce(schema_of_variant({v}), 'VOID')"
 
 
-def parse_context(texts: DataFrame) -> ParsedContext:
-    """(source, text) to context tables; ``runs`` and ``logs`` are accepted for ``previous_runs`` and ``log_lines``.
+def _struct(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in fields.items()) + ")"
+
+
+def context_rows(texts: DataFrame) -> DataFrame:
+    """(source, text) to (source, reason, runs, columns, metrics, plans, logs): every table as an array, in one pass.
 
-    A bare text is a run id, a bare number a metric value; keys name tables and metrics that do not name themselves.
+    A context is one row, so nothing leaves it; the arrays of a rejected one are null.  ``runs`` and ``logs`` are accepted for ``previous_runs`` and
+    ``log_lines``.  A bare text is a run id, a bare number a metric value; keys name tables and metrics that do not name themselves.
     A mapping that breaks these forms is rejected as a whole.
     """
     first = lambda a, b: f"coalesce({_v(a)}, {_v(b)})"
@@ -84,41 +89,41 @@ def parse_context(texts: DataFrame) -> ParsedContext:
         f"WHEN NOT {absent_or('given_plan', f"{_kind('given_plan')} = 'STRING'")} THEN 'query_plan' END"
     )
     checked = fenced(doc.selectExpr("*", f"{reason} AS reason"))
-    good = checked.where("reason IS NULL")
 
-    def run(v: str, ordinal: str, current: str) -> list[str]:
+    def run(v: str, ordinal: str, current: str) -> str:
         named = f"if({_kind(v)} = 'STRING', try_variant_get({v}, '$', 'string'), coalesce({_s('run_id', v)}, ''))"
-        return [
-            "source", f"CAST({ordinal} AS BIGINT) AS ordinal", f"{current} AS is_current", f"{named} AS run_id",
-            f"coalesce({_s('status', v)}, 'unknown') AS status", f"{_s('job', v)} AS job", f"{_s('stage', v)} AS stage",
-            f"{_s('error', v)} AS error",
-        ]
-
-    current = good.where("current_run IS NOT NULL AND NOT is_variant_null(current_run)").selectExpr(*run("current_run", "0", "true"))
-    previous = good.selectExpr("source", "posexplode(previous) AS (pos, r)").selectExpr(*run("r", "pos + 1", "false"))
-    columns = (
-        good.selectExpr("source", "schemas", "posexplode(tables) AS (tbl_ord, k)")
-        .selectExpr("source", "tbl_ord", "k", "try_element_at(schemas, k) AS s")
-        .selectExpr(
-            "source", "tbl_ord", f"coalesce({_s('table', 's')}, k) AS table_name", "s",
-            f"posexplode_outer(try_variant_get({_v('columns', 's')}, '$', 'array<string>')) AS (pos, column_name)",
-        )
-        .selectExpr(
-            "source", "tbl_ord", "table_name", "pos", "column_name",
-            f"try_element_at(try_variant_get({_v('data_types', 's')}, '$', 'map<string,string>'), column_name) AS data_type",
+        return _struct(
+            ordinal=f"CAST({ordinal} AS BIGINT)", is_current=current, run_id=named, status=f"coalesce({_s('status', v)}, 'unknown')",
+            job=_s("job", v), stage=_s("stage", v), error=_s("error", v),
         )
+
+    current = f"if(current_run IS NOT NULL AND NOT is_variant_null(current_run), array({run('current_run', '0', 'true')}), array())"
+    previous = f"transform(coalesce(previous, array()), (r, i) -> {run('r', 'i + 1', 'false')})"
+    # a lambda over an array of one element names a value, so that it is computed once
+    column = _struct(
+        tbl_ord="o", table_name=f"coalesce({_s('table', 's')}, k)", pos="if(c.name IS NULL AND c.none, NULL, i)", column_name="c.name",
+        data_type=f"try_element_at(try_variant_get({_v('data_types', 's')}, '$', 'map<string,string>'), c.name)",
     )
+    named = (
+        f"transform(array(try_variant_get({_v('columns', 's')}, '$', 'array<string>')), n -> if(coalesce(size(n), 0) <= 0, "
+        "array(named_struct('none', true, 'name', CAST(NULL AS STRING))), transform(n, x -> named_struct('none', false, 'name', x))))[0]"
+    )
+    columns = f"flatten(transform(coalesce(tables, array()), (k, o) -> flatten(transform(array(try_element_at(schemas, k)), s -> transform({named}, (c, i) -> {column})))))"
     number = f"if({is_map('m')}, try_variant_get(m, '$.value', 'double'), try_variant_get(m, '$', 'double'))"
-    metrics = (
-        good.selectExpr("source", "metrics", "posexplode(measured) AS (ord, k)")
-        .selectExpr("source", "CAST(ord AS BIGINT) AS ord", "k", "try_element_at(metrics, k) AS m")
-        .selectExpr(
-            "source", "ord", f"coalesce({_s('name', 'm')}, k) AS name", f"{number} AS value", f"{_s('unit', 'm')} AS unit",
-            f"coalesce(try_variant_get({_v('labels', 'm')}, '$', 'map<string,string>'), CAST(map() AS MAP<STRING, STRING>)) AS labels",
-            f"{_s('window', 'm')} AS window",
-        )
+    metric = _struct(
+        ord="CAST(o AS BIGINT)", name=f"coalesce({_s('name', 'm')}, k)", value=number, unit=_s("unit", "m"),
+        labels=f"coalesce(try_variant_get({_v('labels', 'm')}, '$', 'map<string,string>'), CAST(map() AS MAP<STRING, STRING>))", window=_s("window", "m"),
     )
-    plans = good.selectExpr("source", f"{_s('query_plan', 'doc')} AS plan").where("plan <> ''")
-    logs = good.selectExpr("source", "posexplode(logs) AS (pos, line)").selectExpr("source", "CAST(pos + 1 AS BIGINT) AS n", "line")
-    errors = checked.where("reason IS NOT NULL").select("source", "reason")
-    return ParsedContext(Context(current.unionByName(previous), columns, metrics, plans, logs), errors)
+    metrics = f"flatten(transform(coalesce(measured, array()), (k, o) -> transform(array(try_element_at(metrics, k)), m -> {metric})))"
+    plans = f"filter(array({_struct(plan=_s('query_plan', 'doc'))}), p -> p.plan <> '')"
+    logs = f"transform(coalesce(logs, array()), (x, i) -> {_struct(n='CAST(i + 1 AS BIGINT)', line='x')})"
+    found = {"runs": f"concat({current}, {previous})", "columns": columns, "metrics": metrics, "plans": plans, "logs": logs}
+    return fenced(checked.selectExpr("source", "reason", *[f"if(reason IS NULL, {sql}, NULL) AS {name}" for name, sql in found.items()]))
+
+
+def parse_context(texts: DataFrame) -> ParsedContext:
+    """``context_rows`` as context tables; each of them reads the texts anew, so one that needs all takes the rows."""
+    rows = context_rows(texts)
+    table = lambda name: rows.selectExpr("source", f"inline({name})")
+    errors = rows.where("reason IS NOT NULL").select("source", "reason")
+    return ParsedContext(Context(table("runs"), table("columns"), table("metrics"), table("plans"), table("logs")), errors)

@@ -117,3 +117,13 @@ def test_repeated_lines_and_wrong_items_keep_their_places(spark):
     assert all(found[n][2] == 0 for n in ("e.jsonl", "f.json", "g.log"))
     small = {r["source"]: r["message"] for r in diagnose_inputs(given, max_bytes=10).collect()}
     assert small["a.jsonl"] == "too_large"
+
+
+def test_contexts_are_parsed_in_one_pass_by_many_tasks(spark):
+    """All tables come from one scan; texts are dealt before they are parsed, as the given table may be a single file."""
+    from workload.context_queries import context_normalize
+
+    plan = context_normalize(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    assert "REPARTITION_BY_NUM" in context_normalize(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan

@@ -10,7 +10,7 @@ from logclinic.operators import investigate as I
 from logclinic.operators.reports import top_matches
 from logclinic.plans.investigate import investigation
 from logclinic.rules.base import RuleBase
-from logclinic.sources.context import parse_context
+from logclinic.sources.context import context_rows
 from workload import tables as W
 from workload.core_queries import reports, single_reports
 
@@ -128,26 +128,21 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 def context_normalize(spark: SparkSession, sf: str) -> DataFrame:
     """All context tables and rejects as one long table."""
-    found, errors = parse_context(W.context_texts(spark, sf))
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    rows = context_rows(W.context_texts(spark, sf))
 
-    def rows(frame: DataFrame, kind: str, order: str | None, *columns: str) -> DataFrame:
-        place = F.col(order).cast("bigint") if order else F.lit(0).cast("bigint")
-        return frame.select("source", F.lit(kind).alias("kind"), place.alias("ord"), F.concat_ws("/", *[text(c) for c in columns]).alias("content"))
+    def listed(items: str, kind: str, order: str, *columns: str) -> str:
+        content = ", ".join(f"coalesce(CAST({c} AS STRING), '-')" for c in columns)
+        return f"transform(coalesce({items}, array()), x -> named_struct('kind', '{kind}', 'ord', CAST({order} AS BIGINT), 'content', concat_ws('/', {content})))"
 
-    metrics = found.metrics.withColumn("stage", F.try_element_at("labels", F.lit("stage")))
     parts = [
-        rows(found.runs, "run", "ordinal", "is_current", "run_id", "status", "job", "stage"),
-        rows(found.schemas, "schema", "pos", "tbl_ord", "table_name", "column_name", "data_type"),
-        rows(metrics, "metric", "ord", "name", "value", "unit", "stage"),
-        rows(found.plans, "plan", None, "plan"),
-        rows(found.log_lines, "log", "n", "line"),
-        rows(errors, "error", None, "reason"),
+        listed("runs", "run", "x.ordinal", "x.is_current", "x.run_id", "x.status", "x.job", "x.stage"),
+        listed("columns", "schema", "x.pos", "x.tbl_ord", "x.table_name", "x.column_name", "x.data_type"),
+        listed("metrics", "metric", "x.ord", "x.name", "x.value", "x.unit", "try_element_at(x.labels, 'stage')"),
+        listed("plans", "plan", "0", "x.plan"),
+        listed("logs", "log", "x.n", "x.line"),
+        listed("filter(array(reason), r -> r IS NOT NULL)", "error", "0", "x"),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return rows.selectExpr("source", f"inline(concat({', '.join(parts)}))")
 
 
 QUERIES = {

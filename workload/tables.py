@@ -281,4 +281,4 @@ def context_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"current_run": '), current, F.lit(', "'), runs_key, F.lit('": '), older, F.lit(', "logs": '), logs, F.lit(', "metrics": '), measured,
         F.lit(', "schemas": '), snapshots, F.lit(', "query_plan": '), plan, F.lit("}"),
     )
-    return read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), key).alias("source"), text.alias("text"))
+    return dealt(read(spark, sf_dir, "orders"), "o_orderkey").select(F.concat(F.lit("o"), key).alias("source"), text.alias("text"))
