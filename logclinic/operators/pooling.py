@@ -70,7 +70,9 @@ def pool(events: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     size = (F.octet_length("text") + _EVENT_COST).cast("bigint")
     order = Window.partitionBy("source", "fine").orderBy("seq", "text", "payload_text")
     before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = _parts(events).withColumn("fine", F.floor(F.col("seq") / FINE_ROWS))
+    # pieces are small for what scanning them costs, so a number of tasks chosen by bytes leaves cores idle
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = _parts(events).withColumn("fine", F.floor(F.col("seq") / FINE_ROWS)).repartition(tasks, "source", "fine")
     return (
         placed.withColumn("part", F.floor(before / piece_bytes))
         .groupBy("source", "fine", "part")

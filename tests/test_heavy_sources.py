@@ -9,6 +9,7 @@ import pytest
 from helpers import events
 from pyspark.sql import functions as F
 
+from logclinic.operators.pooling import pool
 from logclinic.operators import features, pooling
 from logclinic.plans.diagnose import diagnose_events
 from logclinic.rules.base import RuleBase
@@ -149,3 +150,11 @@ def test_leading_text_of_cut_sources(spark, small_buckets):
     assert {r["source"]: r["excerpt"] for r in render._input_excerpt(frame, 1).collect()} == want
     pooling.FINE_ROWS = 8
     assert any(len(x) == render.PROMPT_CHARS for x in want.values()) and all(x is not None for x in want.values())
+
+
+def test_scanning_tasks_are_not_merged_by_their_bytes(spark):
+    """One shuffle of the events, into the session's number of tasks: pieces are small for what scanning them costs."""
+    rows = events(spark, {"error_message": "a", "seq": 1}, {"error_message": "b", "seq": 2})
+    plan = pool(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    assert pool(rows).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
