@@ -127,3 +127,24 @@ def test_contexts_are_parsed_in_one_pass_by_many_tasks(spark):
     assert plan.count("FileScan parquet") == 1
     assert "REPARTITION_BY_NUM" in context_normalize(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Union" not in plan
+
+
+def test_an_event_is_read_in_one_pass_over_its_keys(spark):
+    """No search per key and alias; keys that differ in case only, JSON nulls and null items keep their meaning."""
+    rows = [
+        ("a.json", '[{"stackTrace": "s1", "error_type": null, "errorType": "x.AError", "job": "j"}, null]'),
+        ("b.json", '{"stacktrace": "", "stackTrace": "java.lang.OutOfMemoryError: org.apache.spark", "msg": null, "severity": null, "platform": null}'),
+        ("c.jsonl", '{"stacktrace": "one", "stackTrace": "two", "message": "", "errorMessage": "data skew", "platform": "spark"}\n'),
+        ("d.json", "null"),
+        ("e.json", '{"message": "data skew", "other": {"message": 5}, "timestamp": true, "event_attributes": {}}'),
+    ]
+    given = spark.createDataFrame([(n, len(t), t) for n, t in rows], "source string, size long, text string")
+    report = diagnose_inputs(given)
+    found = {r["source"]: r for r in report.collect()}
+    shown = {n: (r["status"], r["message"]) for n, r in found.items() if r["status"] == "input_error"}
+    assert shown == {"a.json": ("input_error", "item_not_object at 2"), "d.json": ("input_error", "not_object_or_array at 1")}
+    assert found["b.json"]["matches"][0]["rule_id"] == "SPARK-001" and found["b.json"]["platform"] == "spark"
+    assert found["c.jsonl"]["matches"][0]["rule_id"] == "SPARK-005" and found["c.jsonl"]["platform"] == "spark"
+    assert found["e.json"]["matches"][0]["rule_id"] == "SPARK-005"
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.message" not in plan and "$.errorType" not in plan
